@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_store
+from . import bpe, decontam, lines, minhash, quality, token_store
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +24,34 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.crc(token_store.round_trip(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_token_store": op2_token_store}
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more documents share."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.drop_common_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdict of every document."""
+    return quality.judged(table(spark, sf_dir, "documents")).drop("failures")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_token_store": op2_token_store,
+    "op3_minhash": op3_minhash,
+    "op4_line_dedup": op4_line_dedup,
+    "op8_decontamination": op8_decontamination,
+    "op10_quality": op10_quality,
+}
 
 SQL: dict[str, str] = {}
