@@ -14,14 +14,15 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts
+from .common import gathered, small_batches, texts
 
 #: Bits that hold a token id in a packed pair of ids.
 SHIFT = 20
@@ -30,8 +31,11 @@ MEMORY = 700_000
 #: Pre-split of byte-level BPE with white space spelled out: fixed values of the vocabulary's public format.
 SPACE = r"\t\n\v\f\r \x85\xa0  -     　"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Marks that follow words; neither letters, numbers nor white space.
+MARKS = ".,;:!?*$%&#"
 #: A space beside other white space: only there can a space fail to begin a word.
-IRREGULAR = r" \s|\s "
+WIDE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}"
+IRREGULAR = rf" [\t\n\v\f\r {WIDE}]|[\t\n\v\f\r {WIDE}] "
 
 
 def byte_symbols() -> dict[str, int]:
@@ -184,40 +188,73 @@ class Encoder:
 
     def __init__(self, encode_many, special: dict[str, int]):
         self.encode_many = encode_many
-        self.irregular = regex.compile(IRREGULAR).search
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
         self.special = {k: v.to_bytes(4, "little") for k, v in special.items()}
         self.words = regex.compile(WORDS).findall
         self.memory: dict[str, bytes] = {}
 
-    def _keys(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if self.irregular(text):
-            return [key_of(w) for w in self.words(text)]
-        keys = text.split(" ")
-        if keys[0]:
-            keys[0] = " " + keys[0]
-        else:
-            del keys[0]
-        if keys and not keys[-1]:
-            keys[-1] = "  "
-        return keys
+    def _values(self, keys: list[str]) -> list[bytes]:
+        """Ids of distinct keys; new ones are encoded and remembered."""
+        memory = self.memory
+        if len(memory) > MEMORY:
+            memory.clear()
+        values = list(map(memory.get, keys))
+        missing = [k for k, v in zip(keys, values, strict=True) if v is None]
+        if missing:
+            found = dict(zip(missing, self.encode_many(missing), strict=True))
+            memory.update(found)
+            values = [v if v is not None else found[k] for k, v in zip(keys, values, strict=True)]
+        return values
+
+    def _regular(self, texts: list[str]) -> list[bytes]:
+        """Texts where every space begins a word: cut at spaces, look up distinct pieces, put their ids in line."""
+        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = pieces.offsets.to_numpy()
+        coded = pieces.flatten().dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        keys = coded.dictionary.to_pylist()
+        # a text's first piece has no space before it; an empty last one is the space that ends the text
+        extra: dict[str, int] = {}
+        for i in np.flatnonzero(ends[1:] - ends[:-1] > 1).tolist():
+            if not keys[at[ends[i + 1] - 1]]:
+                at[ends[i + 1] - 1] = extra.setdefault("  ", len(keys) + len(extra))
+        for i in ends[:-1].tolist():
+            word = keys[at[i]]
+            at[i] = extra.setdefault(" " + word if word else "", len(keys) + len(extra))
+        keys += extra
+        asked = [k for k in keys if k]
+        known = dict(zip(asked, self._values(asked), strict=True)) | {"": b""}
+        values = list(map(known.__getitem__, keys))
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ids = np.frombuffer(b"".join(values), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        until = np.cumsum(n)
+        line = ids[np.repeat(begins[at] - until + n, n) + np.arange(int(until[-1]))].tobytes()
+        cuts = (np.concatenate(([0], until))[ends] * 4).tolist()
+        return [line[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), IRREGULAR).to_pylist()
+        regular = [i for i, x in enumerate(odd) if not x]
+        if regular:
+            for i, x in zip(regular, self._regular([texts[i] for i in regular]), strict=True):
+                out[i] = x
+        for i, text in enumerate(texts):
+            if out[i] is None:
+                keys = [key_of(w) for w in self.words(text)]
+                distinct = list(dict.fromkeys(keys))
+                known = dict(zip(distinct, self._values(distinct), strict=True))
+                out[i] = b"".join(map(known.__getitem__, keys))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts: list[list] = []
-        for text in texts:
-            if self.split is None or not any(x in text for x in self.special):
-                parts.append([self._keys(text)])
-            else:
-                parts.append([self.special.get(x) or self._keys(x) for x in self.split(text)])
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        memory = self.memory
-        missing = list({k for p in parts for keys in p if isinstance(keys, list) for k in keys}.difference(memory))
-        memory.update(zip(missing, self.encode_many(missing), strict=True))
-        get = memory.__getitem__
-        return [b"".join([x if isinstance(x, bytes) else b"".join(map(get, x)) for x in p]) for p in parts]
+        if self.split is None or not any(x in text for text in texts for x in self.special):
+            return self._plain(texts)
+        parts = [self.split(text) for text in texts]
+        plain = iter(self._plain([x for p in parts for x in p if x not in self.special]))
+        return [b"".join([self.special.get(x) or next(plain) for x in p]) for p in parts]
 
 
 def key_of(word: str) -> str:
@@ -230,51 +267,68 @@ def piece_of(key: str) -> str:
     return key[1:] if key[0] == " " else " " + key
 
 
-def automaton_encoder(automaton: Automaton) -> Encoder:
-    """An encoder that splits pieces into words and runs each through the automaton."""
-    words = regex.compile(WORDS).findall
+def word_encoder(encode_words, special: dict[str, int]) -> Encoder:
+    """An encoder that splits pieces into words and gives distinct new words to ``encode_words``, many at a time."""
+    split = regex.compile(WORDS).findall
 
     def many(keys: list[str]) -> list[bytes]:
+        memory = encoder.memory
         known: dict[str, bytes] = {}
+        parts: dict[str, list[str]] = {}
+        new: dict[str, None] = {}
+        for k in keys:
+            if k.isalpha():
+                new[k] = None
+                continue
+            stem = k.rstrip(MARKS)
+            if stem.isalpha():  # a word and the marks behind it
+                parts[k] = words = [stem, " " + k[len(stem) :]]
+            else:
+                parts[k] = words = [key_of(w) for w in split(piece_of(k))]
+            for w in words:
+                if w not in new:
+                    ids = memory.get(w)
+                    if ids is None:
+                        new[w] = None
+                    else:
+                        known[w] = ids
+        known.update(zip(new, encode_words(list(map(piece_of, new))), strict=True))
+        return [known[k] if k not in parts else b"".join([known[w] for w in parts[k]]) for k in keys]
+
+    encoder = Encoder(many, special)
+    return encoder
 
-        def word(w: str) -> bytes:
-            key = key_of(w)
-            ids = encoder.memory.get(key) or known.get(key)
-            if ids is None:
-                ids = known[key] = array("I", automaton.encode_word(w.encode())).tobytes()
-            return ids
-
-        keys = [(k, piece_of(k)) for k in keys]
-        return [word(x) if x[1:].isalpha() and k[0] != " " else b"".join([word(w) for w in words(x)]) for k, x in keys]
 
-    encoder = Encoder(many, automaton.special)
-    return encoder
+def automaton_encoder(automaton: Automaton) -> Encoder:
+    """An encoder that runs each word through the automaton."""
+    return word_encoder(lambda words: [array("I", automaton.encode_word(w.encode())).tobytes() for w in words], automaton.special)
 
 
 def library_encoder(tokenizer, special: dict[str, int]) -> Encoder:
-    """An encoder that gives pieces to the tokenizers library, many in one call."""
-    import numpy as np
+    """An encoder that gives words to the tokenizers library, whose model encodes many in one call.
 
-    begins = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(tokenizer.get_vocab_size())])
+    The words are already split, so they go in as the model's own byte symbols with white space between them."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
 
-    def many(keys: list[str]) -> list[bytes]:
-        spaced = [k for k in keys if k[0] != " "]
-        out: dict[str, bytes] = {}
-        for at in range(0, len(spaced), 2000):
-            run = spaced[at : at + 2000]
-            ids = np.array(tokenizer.encode("".join(map(piece_of, run)), add_special_tokens=False).ids, "<u4")
-            starts = np.flatnonzero(begins[ids])
-            if len(starts) == len(run):  # every piece begins with the only space in it
-                whole, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
-                out.update(zip(run, (whole[a:b] for a, b in zip((starts * 4).tolist(), ends, strict=True)), strict=True))
-            else:
-                out.update((k, np.array(tokenizer.encode(piece_of(k), add_special_tokens=False).ids, "<u4").tobytes()) for k in run)
-        for k in keys:
-            if k[0] == " ":
-                out[k] = np.array(tokenizer.encode(piece_of(k), add_special_tokens=False).ids, "<u4").tobytes()
-        return [out[k] for k in keys]
+    model = Tokenizer(tokenizer.model)
+    model.pre_tokenizer = WhitespaceSplit()
+    symbols = {b: c for c, b in byte_symbols().items()} | {0x100: " "}
+    sizes = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])
+
+    def encode(words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 4000):
+            raw = [w.encode() for w in words[at : at + 4000]]
+            text = " ".join([x.decode("latin-1").translate(symbols) for x in raw])
+            ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            # a token's symbols are its bytes: a word ends where its bytes are used up
+            ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(x) for x in raw])) + 1
+            whole, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
+            out += [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
 
-    return Encoder(many, special)
+    return word_encoder(encode, special)
 
 
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -293,7 +347,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
         labels = {**automaton.labels, **{i: s.encode() for s, i in automaton.special.items()}}
         emit = labels.__getitem__
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in gathered(batches):
             ids = encode(batch.column("text").to_pylist())
             decoded = [b"".join(map(emit, memoryview(x).cast("I"))) if x else b"" for x in ids]
             columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids]), pa.array([sha(x).hexdigest() for x in decoded])]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,17 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) of ``docs``; any other columns are left out."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Join small batches until they hold about ``limit`` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)

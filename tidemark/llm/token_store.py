@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import library_encoder
-from .common import small_batches, shared_dir, texts
+from .common import gathered, small_batches, shared_dir, texts
 
 BLOCK = 256
 #: Share of a block's values that its width is chosen for.
@@ -52,7 +52,8 @@ def pack(ids: np.ndarray) -> bytes:
     for w in np.unique(widths):
         rows = np.flatnonzero(widths == w)
         if w:
-            bits = ((rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
+            kind = np.uint16 if w <= 16 else np.uint32
+            bits = ((rest[rows].astype(kind)[:, :, None] >> np.arange(w, dtype=kind)) & kind(1)).astype(np.uint8)
             packed = np.packbits(bits.reshape(len(rows), -1), axis=1)
             payload[(starts[rows][:, None] + np.arange(packed.shape[1])).ravel()] = packed.ravel()
     head = struct.pack("<III", n, blocks, len(where))
@@ -78,14 +79,19 @@ def unpack(page: bytes) -> np.ndarray:
         rows = np.flatnonzero(widths == w)
         if w:
             packed = payload[starts[rows][:, None].astype(np.int64) + np.arange(int(w) * (BLOCK // 8))]
-            bits = np.unpackbits(packed, axis=1).reshape(len(rows), BLOCK, w)
-            rest[rows] = np.bitwise_or.reduce(bits.astype(np.uint32) << np.arange(w, dtype=np.uint32), axis=2)
+            whole = 16 if w <= 16 else 32
+            bits = np.zeros((len(rows), BLOCK, whole), np.uint8)
+            bits[:, :, :w] = np.unpackbits(packed, axis=1).reshape(len(rows), BLOCK, w)
+            rest[rows] = np.packbits(bits, axis=2, bitorder="little").view(f"<u{whole // 8}")[:, :, 0]
     flat = rest.ravel()
     flat[where] = values
     return (flat.reshape(blocks, BLOCK) + least[:, None]).ravel()[:n]
 
 
-PAGES = "shard int, page int, doc_ids binary, lengths binary, ids binary, n_ids long"
+#: Shards whose places may be broadcast (16 bytes each).
+BROADCAST_SHARDS = 1_000_000
+
+PAGES = "shard int, before long, doc_ids binary, lengths binary, ids binary, n_ids long"
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2) -> None:
@@ -108,20 +114,20 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
         tokenizer.no_padding()
         special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         encode = library_encoder(tokenizer, special)
-        shard, number = TaskContext.get().partitionId(), 0
+        shard, before = TaskContext.get().partitionId(), 0
         names, parts, held = [], [], 0
 
         def page() -> pa.RecordBatch:
-            nonlocal number
+            nonlocal before
             ids = np.frombuffer(b"".join(parts), "<u4")
             known = np.array([x is not None for x in names])
             who = np.array([0 if x is None else x for x in names], "<i8")
-            row = [[shard], [number], [known.tobytes() + who.tobytes()], [np.array([len(x) // 4 for x in parts], "<u4").tobytes()], [pack(ids)], [len(ids)]]
-            number += 1
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["shard", "page", "doc_ids", "lengths", "ids", "n_ids"])
+            row = [[shard], [before], [known.tobytes() + who.tobytes()], [np.array([len(x) // 4 for x in parts], "<u4").tobytes()], [pack(ids)], [len(ids)]]
+            before += len(ids)
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["shard", "before", "doc_ids", "lengths", "ids", "n_ids"])
 
-        for batch in batches:
+        for batch in gathered(batches):
             for who, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                 names.append(who)
                 parts.append(ids + end)
@@ -141,12 +147,11 @@ def read_store(spark, path: str) -> DataFrame:
     """``doc_id``, ``start`` (ids before the document), ``n_tokens`` and ``ids`` (little-endian) of each document."""
     pages = spark.read.schema(PAGES).parquet(path)
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each shard, however much it holds
+    # one row for each shard (a partition of the writer), however much it holds; pages know their place in the shard
     bases = pages.groupBy("shard").agg(F.sum("n_ids").alias("held")).select(F.col("shard").alias("base_shard"), F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("shard").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pages.select("shard", "page", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("offset")).join(bases, F.col("shard") == F.col("base_shard")).select(F.col("shard").alias("at_shard"), F.col("page").alias("at_page"), (F.col("base") + F.col("offset")).alias("start"))
-    # shard and page are a page's key: a row of a few bytes for each page
-    placed = pages.join(offsets, (F.col("shard") == F.col("at_shard")) & (F.col("page") == F.col("at_page"))).select("start", "doc_ids", "lengths", "ids")
+    if bases.count() <= BROADCAST_SHARDS:
+        bases = F.broadcast(bases)
+    placed = pages.join(bases, F.col("shard") == F.col("base_shard")).select((F.col("base") + F.col("before")).alias("start"), "doc_ids", "lengths", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
