@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import block_links
 from .common import small_batches, stored, texts
 from .components import components
 
@@ -25,8 +26,10 @@ BANDS, ROWS = 36, 4
 SIZE = BANDS * ROWS
 #: Link sets with 100 * intersection >= 75 * union.
 PERCENT = 75
-#: Star rounds before pairs across components are compared one by one.
+#: Rounds in which each bucket's members are compared with one centre.
 STARS = 2
+#: Members of a bucket whose pairs across components are compared one by one.
+SMALL = 24
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -139,13 +142,25 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return with_both.select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
 
 
+def _sets(texts_: list[str]) -> list[np.ndarray]:
+    known = _WordHashes()
+    return [shingle_set(words_of(x), known) for x in texts_]
+
+
+def _pairs(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """Distinct pairs of a bucket's members and centres that are in different components and of similar size."""
+    different = F.expr("a.bucket = b.bucket AND a.component <> b.component AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)")
+    return rows.alias("a").join(centres.alias("b"), different).selectExpr("least(a.rep, b.rep) AS u", "greatest(a.rep, b.rep) AS v").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (least linked ``doc_id``), ``kept`` for every row of ``docs``.
 
     Rows with the same words are one class, whose least ``doc_id`` stands for it. Classes that share a band hash are
-    candidates. In each bucket a centre is compared with all others first; then only pairs that are still in different
-    components are compared, each on whole sets, so no bucket gives all its pairs and no pair is skipped. A document
-    without words is linked with nothing and kept. Rows that share a ``doc_id`` count as one document. A null
+    candidates. First each bucket's most connected member is compared with its others. Then only members that are still
+    in different components are compared: pair by pair in buckets of at most ``SMALL``, and block by block in families
+    of larger buckets. Every comparison is on whole sets and no candidate pair across components is skipped. A
+    document without words is linked with nothing and kept. Rows that share a ``doc_id`` count as one document. A null
     ``doc_id`` can't name a component: null ``component_id``, not kept. An empty table gives no rows."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -154,33 +169,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = features.filter("doc_id is not null and n_shingles > 0")
     classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     bands = classes.select(F.explode("bands").alias("bucket"), F.struct("rep", "n").alias("x"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    members = stored(bands.join(shared, "bucket").select("bucket", "x.rep", "x.n"))
-
-    similar_size = "100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)"
-    pair = ["least(a.rep, b.rep) AS u", "greatest(a.rep, b.rep) AS v"]
-    checked = links = None
-    live = members.withColumn("component", F.col("rep"))
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            first = F.struct((F.xxhash64(F.col("rep"), F.lit(turn)) if turn else F.col("rep")).alias("order"), "rep", "n", "component")
-            centres = live.groupBy("bucket").agg(F.min(first).alias("c")).select("bucket", "c.rep", "c.n", "c.component")
-        else:
-            centres = live
-        pairs = live.alias("a").join(centres.alias("b"), F.expr("a.bucket = b.bucket AND a.component <> b.component AND " + similar_size)).selectExpr(*pair).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["u", "v"], "left_anti")
-        pairs = stored(pairs)
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    found = bands.join(shared, "bucket").select("bucket", "x.rep", "x.n", "size")
+    members = stored(found)
+    degrees = members.groupBy("rep").agg(F.sum("size").alias("degree")).withColumnRenamed("rep", "degree_of")
+
+    links = None
+    live = members.join(degrees, F.col("rep") == F.col("degree_of")).select("bucket", "rep", "n", "size", F.col("rep").alias("component"), F.struct((-F.col("degree")).alias("order"), "rep").alias("order"))
+    for turn in range(STARS):
+        centres = live.groupBy("bucket").agg(F.min(F.struct("order", "rep", "n", "component")).alias("c")).select("bucket", "c.rep", "c.n", "c.component")
+        pairs = stored(_pairs(live, centres))
         links_now = _linked(pairs, docs)
-        checked = pairs if checked is None else checked.union(pairs)
         links = stored(links_now if links is None else links.union(links_now))
         groups = components(links)
-        if turn < STARS:
-            placed = members.join(groups, members["rep"] == groups["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-            split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-            live = stored(placed.join(split, "bucket"))
-            if live.isEmpty():
-                break
+        placed = members.join(groups, members["rep"] == groups["node"], "left").select("bucket", "rep", "n", "size", F.coalesce("component", "rep").alias("component"))
+        split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+        live = stored(placed.join(split, "bucket").withColumn("order", F.struct(F.xxhash64("component", "rep", F.lit(turn)).alias("order"), "rep")))
+    small, large = live.filter(F.col("size") <= SMALL), live.filter(F.col("size") > SMALL)
+    more = _linked(stored(_pairs(small, small)), docs)
+    if not large.isEmpty():
+        heads = large.groupBy("bucket").agg(F.min("rep").alias("head"))
+        family = components(large.join(heads, "bucket").select(F.col("rep").alias("u"), F.col("head").alias("v")))
+        dealt = large.select("rep", "n", F.col("component").alias("now")).distinct().join(family, F.col("rep") == F.col("node"))
+        text = texts(docs).select(F.col("doc_id").alias("rep"), "text")
+        more = more.union(block_links(dealt.select(F.col("component").alias("family"), "rep", "n", F.col("now").alias("component")), text, _sets, PERCENT))
+    groups = components(stored(links.union(more)))
 
     rows = features.select("doc_id", "n_shingles", "k1", "k2")
     out = rows.join(classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
