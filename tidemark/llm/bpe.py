@@ -31,6 +31,8 @@ MEMORY = 700_000
 #: Pre-split of byte-level BPE with white space spelled out: fixed values of the vocabulary's public format.
 SPACE = r"\t\n\v\f\r \x85\xa0  -     　"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Pieces of letters only, in ranges where every character is one.
+LETTERS = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+$"
 #: Marks that follow words; neither letters, numbers nor white space.
 MARKS = ".,;:!?*$%&#"
 #: A space beside other white space: only there can a space fail to begin a word.
@@ -186,8 +188,8 @@ class Encoder:
     distinct piece is encoded once as long as it is remembered. A key of the memory is a piece without the space
     before it; a piece that has none is kept under a key that begins with a space. ``encode_many`` maps keys to ids."""
 
-    def __init__(self, encode_many, special: dict[str, int]):
-        self.encode_many = encode_many
+    def __init__(self, encode_many, special: dict[str, int], encode_array=None):
+        self.encode_many, self.encode_array = encode_many, encode_array
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
         self.special = {k: v.to_bytes(4, "little") for k, v in special.items()}
         self.words = regex.compile(WORDS).findall
@@ -206,27 +208,32 @@ class Encoder:
             values = [v if v is not None else found[k] for k, v in zip(keys, values, strict=True)]
         return values
 
+    def _remembered(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each key has, and all ids in a row."""
+        keys = keys.to_pylist()
+        asked = [k for k in keys if k]
+        known = dict(zip(asked, self._values(asked), strict=True)) | {"": b""}
+        values = list(map(known.__getitem__, keys))
+        return np.fromiter(map(len, values), np.int64, len(values)) // 4, np.frombuffer(b"".join(values), "<u4")
+
     def _regular(self, texts: list[str]) -> list[bytes]:
         """Texts where every space begins a word: cut at spaces, look up distinct pieces, put their ids in line."""
         pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         ends = pieces.offsets.to_numpy()
         coded = pieces.flatten().dictionary_encode()
         at = coded.indices.to_numpy().astype(np.int64)
-        keys = coded.dictionary.to_pylist()
+        pieces = coded.dictionary
         # a text's first piece has no space before it; an empty last one is the space that ends the text
         extra: dict[str, int] = {}
         for i in np.flatnonzero(ends[1:] - ends[:-1] > 1).tolist():
-            if not keys[at[ends[i + 1] - 1]]:
-                at[ends[i + 1] - 1] = extra.setdefault("  ", len(keys) + len(extra))
+            if not pieces[at[ends[i + 1] - 1]].as_py():
+                at[ends[i + 1] - 1] = extra.setdefault("  ", len(pieces) + len(extra))
         for i in ends[:-1].tolist():
-            word = keys[at[i]]
-            at[i] = extra.setdefault(" " + word if word else "", len(keys) + len(extra))
-        keys += extra
-        asked = [k for k in keys if k]
-        known = dict(zip(asked, self._values(asked), strict=True)) | {"": b""}
-        values = list(map(known.__getitem__, keys))
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        ids = np.frombuffer(b"".join(values), "<u4")
+            word = pieces[at[i]].as_py()
+            at[i] = extra.setdefault(" " + word if word else "", len(pieces) + len(extra))
+        sizes, ids = (self.encode_array or self._remembered)(pieces)
+        more = self._remembered(pa.array(list(extra), pa.large_string()))
+        sizes, ids = np.concatenate((sizes, more[0])), np.concatenate((ids, more[1]))
         begins = np.cumsum(sizes) - sizes
         n = sizes[at]
         until = np.cumsum(n)
@@ -313,22 +320,60 @@ def library_encoder(tokenizer, special: dict[str, int]) -> Encoder:
 
     model = Tokenizer(tokenizer.model)
     model.pre_tokenizer = WhitespaceSplit()
-    symbols = {b: c for c, b in byte_symbols().items()} | {0x100: " "}
+    symbols = {b: c for c, b in byte_symbols().items()}
+    spaced = symbols | {0x20: " " + symbols[0x20]}
     sizes = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])
 
-    def encode(words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(words), 4000):
-            raw = [w.encode() for w in words[at : at + 4000]]
-            text = " ".join([x.decode("latin-1").translate(symbols) for x in raw])
-            ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            # a token's symbols are its bytes: a word ends where its bytes are used up
-            ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(x) for x in raw])) + 1
-            whole, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
-            out += [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return out
-
-    return word_encoder(encode, special)
+    begins = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(tokenizer.get_vocab_size())])
+
+    def run(encoder, text: str) -> np.ndarray:
+        return np.array(encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def words(lengths: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Words given as symbols with spaces between: a token's symbols are its bytes, so a word ends with its last byte."""
+        ids = run(model, text)
+        ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum(lengths)) + 1
+        return np.diff(ends, prepend=0), ids
+
+    def encode(words_: list[str]) -> list[bytes]:
+        if not words_:
+            return []
+        raw = [w.encode() for w in words_]
+        n, ids = words(np.array([len(x) for x in raw]), " ".join([x.decode("latin-1").translate(symbols) for x in raw]))
+        whole, cuts = ids.tobytes(), [0, *(np.cumsum(n) * 4).tolist()]
+        return [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def array_(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pieces that each follow one space and hold none: letters go to the model, others are split first."""
+        plain = pc.match_substring_regex(pieces, LETTERS).to_numpy(zero_copy_only=False)
+        filled = pc.greater(pc.binary_length(pieces), 0).to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(pieces), np.int64)
+        found = []
+        for which in (plain, filled & ~plain):
+            at = np.flatnonzero(which)
+            for start in range(0, len(at), 20_000):
+                some = at[start : start + 20_000]
+                part = pieces.take(pa.array(some))
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), pa.scalar(" ", part.type))[0].as_py()
+                if which is plain:
+                    text = text.encode().decode("latin-1").translate(spaced)
+                    n, ids = words(pc.binary_length(part).to_numpy() + 1, symbols[0x20] + text)
+                else:
+                    ids = run(tokenizer, " " + text)
+                    starts = np.flatnonzero(begins[ids])
+                    n = np.diff(starts, append=len(ids))
+                counts[some] = n
+                found.append((some, n, ids))
+        # ids in the order of the pieces
+        places = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), "<u4")
+        for some, n, ids in found:
+            out[np.repeat(places[some] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+        return counts, out
+
+    encoder = word_encoder(encode, special)
+    encoder.encode_array = array_
+    return encoder
 
 
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:

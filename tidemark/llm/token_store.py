@@ -24,7 +24,7 @@ from .common import gathered, small_batches, shared_dir, texts
 
 BLOCK = 256
 #: Share of a block's values that its width is chosen for.
-SHARE = 0.9
+SHARE = 0.98
 #: Ids after which a page is closed.
 PAGE = 1 << 16
 
@@ -127,7 +127,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["shard", "before", "doc_ids", "lengths", "ids", "n_ids"])
 
-        for batch in gathered(batches):
+        for batch in gathered(batches, 16 << 20):
             for who, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                 names.append(who)
                 parts.append(ids + end)
