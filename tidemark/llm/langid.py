@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import gathered, small_batches
 
 #: n-gram lengths and the number of hashed n-grams.
 SIZES, BUCKETS = (1, 2, 3), 1 << 17
@@ -34,10 +35,32 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def grams(word: str) -> list[int]:
-    """Hashed n-grams of a word with its ends marked."""
-    w = f"^{word}$"
-    return [xxhash.xxh3_64_intdigest(w[i : i + n]) % BUCKETS for n in SIZES for i in range(len(w) - n + 1) if n > 1 or 0 < i < len(w) - 1]
+@lru_cache(1)
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' letters in lower case, in order: for each, its word's place and its three n-grams (hashed).
+
+    An n-gram is a letter, with the one before it, and with the ones on both sides; a mark stands at words' ends. Words
+    must not hold white space; other characters than letters don't count."""
+    mark = 10
+    points = np.frombuffer("\n".join(words).lower().encode("utf-32-le"), "<u4")
+    points = points[_is_letter()[points] | (points == mark)]
+    x = np.concatenate(([mark], points, [mark])).astype(np.uint64)
+    at = np.flatnonzero(x != mark)
+    word = np.cumsum(x == mark)[at] - 1
+    out = np.empty((len(SIZES), len(at)), np.int32)
+    left, here, right = x[at - 1], x[at], x[at + 1]
+    for i, parts in enumerate(((here,), (left, here), (left, here, right))):
+        h = np.full(len(at), i + 1, np.uint64)
+        for part in parts:
+            h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ part
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+        out[i] = (h >> np.uint64(40)) % np.uint64(BUCKETS)
+    return word, out
 
 
 def letters(word: str) -> str:
@@ -52,10 +75,15 @@ class Model:
         self.languages = languages
         self.logs = (np.log(counts + SMOOTH) - np.log(counts.sum(axis=0) + SMOOTH * BUCKETS)).astype(np.float32)
 
-    def word(self, word: str) -> np.ndarray | None:
-        """Log likelihood of a word in each language; null without letters."""
-        w = letters(word)
-        return TEMPER * self.logs[grams(w)].sum(axis=0) if w else None
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log likelihoods of words in each language; NaN for words without letters."""
+        at, found = grams(words)
+        out = np.empty((len(words), len(self.languages)), np.float32)
+        for i in range(len(self.languages)):
+            column = self.logs[:, i]
+            out[:, i] = TEMPER * np.bincount(at, column[found[0]] + column[found[1]] + column[found[2]], len(words))
+        out[np.bincount(at, minlength=len(words)) == 0] = np.nan
+        return out
 
 
 def mixture(logs: np.ndarray, start: np.ndarray | None = None, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -118,10 +146,9 @@ def fit(labelled: DataFrame) -> Model:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found.setdefault(lang, Counter()).update(text.split())
         for lang, words in found.items():
-            total = np.zeros(BUCKETS, np.int64)
-            for word, n in words.items():
-                if w := letters(word):
-                    np.add.at(total, grams(w), n)
+            at, hashed = grams(list(words))
+            times = np.fromiter(words.values(), np.float64, len(words))[at]
+            total = sum(np.bincount(row, times, BUCKETS) for row in hashed).astype(np.int64)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["lang", "gram", "n"])
 
@@ -145,29 +172,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        size, limit = len(model.languages), 300_000
-        table = np.zeros((limit + 1, max(size, 1)), np.float32)
-        place: dict[str, int] = {}
-
-        def known(words: list[str]) -> np.ndarray:
-            if len(place) + len(words) > limit:
-                place.clear()
-                if len(words) > limit:  # a text of its own size: only distinct words count against the memory
-                    distinct = list(dict.fromkeys(words))
-                    rows = [model.word(w) for w in distinct]
-                    at = {w: i for i, w in enumerate(distinct)}
-                    own = np.array([np.full(size, np.nan) if r is None else r for r in rows], np.float32)
-                    return own[[at[w] for w in words]]
-            for w in set(words).difference(place):
-                row = model.word(w)
-                table[len(place)] = np.nan if row is None else row
-                place[w] = len(place)
-            return table[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
-
-        for batch in batches:
+        size = len(model.languages)
+        for batch in gathered(batches):
+            # each distinct word of the batch is looked at once
+            pieces = pc.utf8_split_whitespace(pc.fill_null(batch.column("text").cast(pa.large_string()), ""))
+            ends = pieces.offsets.to_numpy()
+            coded = pieces.flatten().dictionary_encode()
+            at = coded.indices.to_numpy()
+            table = model.words(coded.dictionary.to_pylist()) if size and len(at) else np.zeros((0, max(size, 1)), np.float32)
             pred, score, all_ = [], [], []
-            for text in batch.column("text").to_pylist():
-                logs = known(text.split()) if text and size else np.zeros((0, 1))
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                logs = table[at[lo:hi]] if size else table
                 logs = logs[~np.isnan(logs[:, 0])]
                 if not len(logs):
                     pred.append(UNDEFINED)
