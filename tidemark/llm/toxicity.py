@@ -107,20 +107,23 @@ def train(found: list[np.ndarray], labels: np.ndarray) -> Machine:
     return machine
 
 
-def fit(labelled: DataFrame) -> Machine:
-    """Train on at most ``SAMPLE`` rows (``doc_id``, ``text``, ``toxic``); rows without a label don't count.
+def fit(docs: DataFrame, labels: DataFrame) -> Machine:
+    """Train on at most ``SAMPLE`` labelled documents; null labels don't count, of repeated ids one row does.
 
-    Only hashed terms of that many documents reach the driver."""
-    rows = labelled.filter("toxic is not null").select(F.xxhash64("doc_id").alias("order"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    drawn = rows.orderBy("order", "doc_id", F.xxhash64("text"), "toxic").limit(SAMPLE)
+    The sample is drawn from the labels alone, so that texts don't move; its ids are broadcast (at most ``SAMPLE``), and
+    only hashed terms of that many documents reach the driver."""
+    marks = labels.filter("toxic is not null and doc_id is not null").select(F.xxhash64("doc_id").alias("order"), F.col("doc_id").alias("label_of"), F.col("toxic").cast("int").alias("toxic"))
+    drawn = marks.orderBy("order", "label_of", "toxic").limit(SAMPLE).select("label_of", "toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("label_of")).select("label_of", "toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Terms()
         for batch in batches:
             sets = [sorted({t for w in set(x.split()) for t in known[w]}) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())), batch.column("toxic")], ["terms", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column("label_of").cast(pa.int64()), batch.column("toxic"), pa.array(sets, pa.list_(pa.int32()))], ["label_of", "toxic", "terms"])
 
-    got = drawn.select("text", "toxic").mapInArrow(run, "terms array<int>, toxic int").toArrow()
+    found = rows.mapInArrow(run, "label_of long, toxic int, terms array<int>").groupBy("label_of").agg(F.min(F.struct("toxic", "terms")).alias("x"))
+    got = found.select("label_of", "x.toxic", "x.terms").toArrow().sort_by("label_of")
     sets = [x.values.to_numpy(zero_copy_only=False) for x in got.column("terms")]
     return train(sets, (got.column("toxic").to_numpy() > 0).astype(float))
 
@@ -157,7 +160,6 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 def scored(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5) -> DataFrame:
     """Fit on the labelled rows outside fold ``held_out``, score every row; adds ``held_out`` and ``predicted``."""
     fold = F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False))
-    marks = labels.select(F.col("doc_id").alias("label_of"), "toxic")
-    train_rows = docs.select("doc_id", "text").filter(~fold).join(marks, F.col("doc_id") == F.col("label_of"))
-    out = score(docs, fit(train_rows))
+    small_batches(docs.sparkSession)
+    out = score(docs, fit(docs, labels.filter(~fold)))
     return out.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
