@@ -7,6 +7,7 @@ policy would keep without one of its rules) read the ledger alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,31 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << list(RULES).index(r) for r in rules)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, wherever the optimiser moves the expression to."""
+    return F.transform(F.array(value), body)[0]
+
+
+def repeated_words(words: Column) -> Column:
+    """Words in windows of ``WINDOW`` words that occur twice or more in the text, the first included."""
+
+    def covered(s: Column) -> Column:  # windows with their places, in order: keep places whose neighbour is equal
+        last = F.size(s) - 1
+        equal = F.filter(F.sequence(F.lit(0), last), lambda j: ((j > 0) & (s[F.greatest(j - 1, F.lit(0))]["k"] == s[j]["k"])) | ((j < last) & (s[F.least(j + 1, last)]["k"] == s[j]["k"])))
+        start = F.struct(F.lit(-WINDOW).alias("before"), F.lit(0).alias("n"))
+        return F.aggregate(F.array_sort(F.transform(equal, lambda j: s[j]["p"])), start, lambda a, p: F.struct(p.alias("before"), (a["n"] + F.least(F.lit(WINDOW), p - a["before"])).alias("n")), lambda a: a["n"])
+
+    def counted(w: Column) -> Column:  # most texts repeat no window and are not sorted
+        placed = F.transform(w, lambda k, i: F.struct(k.alias("k"), i.alias("p")))
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), let(F.array_sort(placed), covered)).otherwise(0)
+
+    def windows(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(h) - WINDOW)
+        return F.when(F.size(h) >= WINDOW, let(F.transform(starts, lambda i: F.xxhash64(*[h[i + k] for k in range(WINDOW)])), counted)).otherwise(0)
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = reduce(lambda x, c: F.replace(x, F.lit(c)), SYMBOLS, text)
@@ -45,29 +71,15 @@ def _measured(docs: DataFrame) -> DataFrame:
         (F.length(text) - F.length(bare)).cast("long").alias("n_symbols"),
         lines.alias("lines"),
     )
-    rows = rows.select(
+    return rows.select(
         "doc_id",
         "n_symbols",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_full_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
+        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
     )
-    measured = [c for c in rows.columns if c != "h"]
-    starts = F.sequence(F.lit(0), F.size("h") - WINDOW)
-    windows = F.transform(starts, lambda i: F.xxhash64(*[F.col("h")[i + k] for k in range(WINDOW)]))
-    rows = rows.select(*measured, F.when(F.size("h") >= WINDOW, windows).alias("w"))
-    # only texts with a repeated window go on: sort windows with their places, keep places whose neighbour is equal
-    repeats = F.size(F.array_distinct("w")) < F.size("w")
-    rows = rows.select(*measured, F.when(repeats, F.array_sort(F.arrays_zip(F.col("w").alias("k"), F.sequence(F.lit(0), F.size("w") - 1).alias("p")))).alias("s"))
-    last = F.size("s") - 1
-    equal = F.filter(F.sequence(F.lit(0), last), lambda j: ((j > 0) & (F.col("s")[F.greatest(j - 1, F.lit(0))]["k"] == F.col("s")[j]["k"])) | ((j < last) & (F.col("s")[F.least(j + 1, last)]["k"] == F.col("s")[j]["k"])))
-    places = F.array_sort(F.transform(equal, lambda j: F.col("s")[j]["p"]))
-    rows = rows.select(*measured, F.when(F.col("s").isNotNull(), places).alias("places"))
-    start = F.struct(F.lit(-WINDOW).alias("before"), F.lit(0).alias("n"))
-    covered = F.aggregate("places", start, lambda a, p: F.struct(p.alias("before"), (a["n"] + F.least(F.lit(WINDOW), p - a["before"])).alias("n")), lambda a: a["n"])
-    return rows.select(*measured, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
