@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import risk, text
-from ..operators import alerts, frames, merge, rules
+from ..operators import alerts, frames, merge, rules, validate
 from ..sources import files
 from ..sources.views import view
 
@@ -269,3 +269,42 @@ def jn_15(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix = spark.createDataFrame([("54", "food"), ("58", "dining"), ("51", "supplies")], "start string, loose string")
     joined = rows.join(F.broadcast(exact), F.col("mcc") == F.col("code"), "left").join(F.broadcast(prefix), F.left("mcc", F.lit(2)) == F.col("start"), "left")
     return joined.select("transaction_id", F.coalesce("exact", "loose", F.lit("other")).alias("name"))
+
+
+
+
+@query("flt_18_validated", """
+    WITH v AS (SELECT transaction_id, CASE WHEN country IN ('US', 'GB', 'DE', 'FR', 'JP', 'BR') THEN 0 ELSE 1 END + CASE WHEN mcc_slot IS NULL THEN 1 ELSE 0 END + CASE WHEN length(channel) > 5 THEN 1 ELSE 0 END + CASE WHEN amount < 1 THEN 1 ELSE 0 END + CASE WHEN us < (SELECT MAX(us) FROM txn) - 7776000000000 THEN 1 ELSE 0 END AS errors,
+                 CASE WHEN amount > 50 AND CAST(amount AS DOUBLE) = FLOOR(CAST(amount AS DOUBLE)) THEN 1 ELSE 0 END + CASE WHEN amount > 99 THEN 1 ELSE 0 END AS warnings FROM txn)
+    SELECT transaction_id, errors = 0 AS is_valid, errors, warnings FROM v""")
+def flt_18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows checked field by field and across fields."""
+    txns = view(spark, sf_dir, "txn")
+    now = txns.agg(F.max("us").alias("now")).first()["now"] or 0
+    spec = {"country": {"required": True, "allowed": ["US", "GB", "DE", "FR", "JP", "BR"]}, "mcc_slot": {"required": True}, "channel": {"max_length": 5, "pattern": "[a-z]+"}, "amount": {"minimum": 1, "number": True}}
+    rows = validate.validated(txns, spec, validate.transaction_rules(F.lit(now)))
+    count = lambda severity: F.size(F.filter("issues", lambda x: x["severity"] == severity))
+    return rows.select("transaction_id", "is_valid", count("error").alias("errors"), count("warning").alias("warnings"))
+
+
+@query("prj_01_variant", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, props->>'$.missing' AS missing FROM events")
+def prj_01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed columns from a variant."""
+    v = F.parse_json("props")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.try_variant_get(v, "$.missing", "string").alias("missing"))
+
+
+@query("agg_53_stage_metrics", """
+    SELECT transaction_type AS stage, COUNT(*) AS n, COUNT(*) FILTER (WHERE status = 'declined') AS failed, CAST(COUNT(*) FILTER (WHERE status <> 'declined') AS DOUBLE) / COUNT(*) AS success_rate, CAST(MIN(amount) AS DOUBLE) AS least, CAST(MAX(amount) AS DOUBLE) AS most, CAST(SUM(amount) AS DOUBLE) / COUNT(*) AS mean FROM txn GROUP BY transaction_type""")
+def agg_53(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of each stage in one aggregate."""
+    amount = F.col("amount").cast("double")
+    ok = F.count(F.when(F.col("status") != "declined", 1)).cast("double")
+    return view(spark, sf_dir, "txn").groupBy(F.col("transaction_type").alias("stage")).agg(F.count("*").alias("n"), F.count(F.when(F.col("status") == "declined", 1)).alias("failed"), (ok / F.count("*")).alias("success_rate"), F.min(amount).alias("least"), F.max(amount).alias("most"), (F.sum("amount").cast("double") / F.count("*")).alias("mean"))
+
+
+@query("st_07_transitions", "SELECT alert_id, status IN ('new', 'escalated') AS may_investigate, status = 'resolved' OR status = 'false_positive' AS may_close FROM alert")
+def st_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves that each alert's state allows."""
+    rows = view(spark, sf_dir, "alert").select("alert_id", F.col("status").alias("from_status"), F.lit("investigating").alias("a"), F.lit("closed").alias("b"))
+    return rows.select("alert_id", alerts.allowed(to="a").alias("may_investigate"), alerts.allowed(to="b").alias("may_close"))
