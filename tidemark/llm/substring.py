@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, texts
 
 #: Words of the shortest run that is removed; stock lines of a few words stay.
-MIN_WORDS = 30
+MIN_WORDS = 25
 #: A unit: from a character that is not white space to the end of its sentence or line.
 UNIT = re.compile(r"\S.*?(?:[.!?]+(?=\s)|$)", re.MULTILINE)
 
