@@ -126,8 +126,9 @@ REPORTS: dict[str, str] = {
         SELECT period, ROUND(AVG(score), 9) AS mean, ROUND(STDDEV_POP(score), 9) AS sd, ROUND(PERCENTILE_CONT(0.05) WITHIN GROUP (ORDER BY score), 9) AS p05, ROUND(PERCENTILE_CONT(0.25) WITHIN GROUP (ORDER BY score), 9) AS p25, ROUND(PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY score), 9) AS p50, ROUND(PERCENTILE_CONT(0.75) WITHIN GROUP (ORDER BY score), 9) AS p75, ROUND(PERCENTILE_CONT(0.95) WITHIN GROUP (ORDER BY score), 9) AS p95 FROM scored_label GROUP BY period""",
     "agg_46_latency": "SELECT ROUND(PERCENTILE_CONT(0.95) WITHIN GROUP (ORDER BY latency_ms), 6) AS p95_ms, CAST(COUNT(*) FILTER (WHERE latency_ms > 190) AS DOUBLE) / COUNT(*) AS error_rate FROM txn_score",
     "agg_47_nearest_rank": """
-        WITH placed AS (SELECT latency_ms, ROW_NUMBER() OVER (ORDER BY latency_ms, transaction_id, scored_us) - 1 AS place, COUNT(*) OVER () AS n FROM txn_score)
-        SELECT MAX(CASE WHEN place = CAST(FLOOR(n * 95 / 100e0) AS BIGINT) THEN latency_ms END) AS p95_ms FROM placed""",
+        WITH counts AS (SELECT latency_ms, COUNT(*) AS n FROM txn_score GROUP BY latency_ms),
+        run AS (SELECT latency_ms, SUM(n) OVER (ORDER BY latency_ms ROWS UNBOUNDED PRECEDING) AS upto, SUM(n) OVER () AS total FROM counts)
+        SELECT MIN(CASE WHEN upto > FLOOR(total * 95 / 100e0) THEN latency_ms END) AS p95_ms FROM run""",
     "agg_48_threshold_sweep": """
         WITH cuts AS (SELECT 0.1e0 AS cut UNION ALL SELECT 0.25e0 UNION ALL SELECT 0.5e0 UNION ALL SELECT 0.75e0 UNION ALL SELECT 0.9e0),
         counts AS (SELECT cut, COUNT(*) FILTER (WHERE label = 1 AND score >= cut) AS tp, COUNT(*) FILTER (WHERE label = 0 AND score >= cut) AS fp, COUNT(*) FILTER (WHERE label = 1 AND score < cut) AS fn, COUNT(*) FILTER (WHERE label = 0 AND score < cut) AS tn FROM scored_label CROSS JOIN cuts GROUP BY cut)
@@ -186,7 +187,11 @@ REPORTS: dict[str, str] = {
     "win_11_rapid_succession": "SELECT transaction_id, COUNT(*) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND 1 PRECEDING) > 0 AS rapid FROM txn",
     "win_12_symmetric": "SELECT transaction_id, COUNT(*) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 600000000 PRECEDING AND 600000000 FOLLOWING) - 1 AS around FROM txn",
     "win_14_latest_per_key": "SELECT customer_id, transaction_id, us FROM (SELECT customer_id, transaction_id, us, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY us DESC, transaction_id DESC) AS rn FROM txn) r WHERE rn = 1",
-    "win_16_time_split": "SELECT transaction_id, CASE WHEN rn <= FLOOR(n * 0.7e0) THEN 'train' WHEN rn <= FLOOR(n * 0.7e0) + FLOOR(n * 0.15e0) THEN 'validation' ELSE 'test' END AS part FROM (SELECT transaction_id, ROW_NUMBER() OVER (ORDER BY us, transaction_id) AS rn, COUNT(*) OVER () AS n FROM txn) placed",
+    "win_16_time_split": """
+        WITH days AS (SELECT @div{us||,||86400000000} AS day, COUNT(*) AS n FROM txn GROUP BY @div{us||,||86400000000}),
+        run AS (SELECT day, COALESCE(SUM(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier, SUM(n) OVER () AS n FROM days),
+        placed AS (SELECT t.transaction_id, r.n, r.earlier + ROW_NUMBER() OVER (PARTITION BY r.day ORDER BY t.us, t.transaction_id) AS rn FROM txn t JOIN run r ON @div{t.us||,||86400000000} = r.day)
+        SELECT transaction_id, CASE WHEN rn <= FLOOR(n * 0.7e0) THEN 'train' WHEN rn <= FLOOR(n * 0.7e0) + FLOOR(n * 0.15e0) THEN 'validation' ELSE 'test' END AS part FROM placed""",
     "win_17_first_kept": "SELECT transaction_id FROM (SELECT transaction_id, ROW_NUMBER() OVER (PARTITION BY account_id, merchant_id, channel ORDER BY us, transaction_id) AS rn FROM txn) r WHERE rn = 1",
     "win_20_drift_windows": """
         WITH ends AS (SELECT MAX(scored_us) AS now_us FROM txn_score)
