@@ -15,6 +15,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ from .common import gathered, small_batches, texts
 SHIFT = 20
 #: Entries after which a worker's memory of words starts afresh.
 MEMORY = 700_000
+#: The same where most pieces are encoded a batch at a time and only odd ones are remembered, for as long as a worker lives.
+LIBRARY_MEMORY = 50_000
+#: Pieces that one call of the library takes.
+PART = 20_000
 #: Pre-split of byte-level BPE with white space spelled out: fixed values of the vocabulary's public format.
 SPACE = r"\t\n\v\f\r \x85\xa0  -     　"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -188,8 +193,8 @@ class Encoder:
     distinct piece is encoded once as long as it is remembered. A key of the memory is a piece without the space
     before it; a piece that has none is kept under a key that begins with a space. ``encode_many`` maps keys to ids."""
 
-    def __init__(self, encode_many, special: dict[str, int], encode_array=None):
-        self.encode_many, self.encode_array = encode_many, encode_array
+    def __init__(self, encode_many, special: dict[str, int], encode_array=None, limit: int = MEMORY):
+        self.encode_many, self.encode_array, self.limit = encode_many, encode_array, limit
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
         self.special = {k: v.to_bytes(4, "little") for k, v in special.items()}
         self.words = regex.compile(WORDS).findall
@@ -198,7 +203,7 @@ class Encoder:
     def _values(self, keys: list[str]) -> list[bytes]:
         """Ids of distinct keys; new ones are encoded and remembered."""
         memory = self.memory
-        if len(memory) > MEMORY:
+        if len(memory) > self.limit:
             memory.clear()
         values = list(map(memory.get, keys))
         missing = [k for k, v in zip(keys, values, strict=True) if v is None]
@@ -221,7 +226,7 @@ class Encoder:
         pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         ends = pieces.offsets.to_numpy()
         coded = pieces.flatten().dictionary_encode()
-        at = coded.indices.to_numpy().astype(np.int64)
+        at = coded.indices.to_numpy().copy()
         pieces = coded.dictionary
         # a text's first piece has no space before it; an empty last one is the space that ends the text
         extra: dict[str, int] = {}
@@ -234,11 +239,9 @@ class Encoder:
         sizes, ids = (self.encode_array or self._remembered)(pieces)
         more = self._remembered(pa.array(list(extra), pa.large_string()))
         sizes, ids = np.concatenate((sizes, more[0])), np.concatenate((ids, more[1]))
-        begins = np.cumsum(sizes) - sizes
         n = sizes[at]
-        until = np.cumsum(n)
-        line = ids[np.repeat(begins[at] - until + n, n) + np.arange(int(until[-1]))].tobytes()
-        cuts = (np.concatenate(([0], until))[ends] * 4).tolist()
+        line = ids[spread((np.cumsum(sizes) - sizes)[at], n)].tobytes()
+        cuts = (np.concatenate(([0], np.cumsum(n)))[ends] * 4).tolist()
         return [line[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -264,6 +267,16 @@ class Encoder:
         return [b"".join([self.special.get(x) or next(plain) for x in p]) for p in parts]
 
 
+def spread(begins: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n[i]`` places that follow each other from each ``begins[i]`` on, in 32 bits where they fit."""
+    until = np.cumsum(n)
+    total = int(until[-1]) if len(until) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(begins) or int(begins.max()) < 1 << 31) else np.int64
+    out = np.repeat((begins - until + n).astype(kind), n)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
 def key_of(word: str) -> str:
     """The memory key of a word that the pre-split gave."""
     return word[1:] if word[0] == " " and not word[1:2].isspace() and len(word) > 1 else " " + word
@@ -274,7 +287,7 @@ def piece_of(key: str) -> str:
     return key[1:] if key[0] == " " else " " + key
 
 
-def word_encoder(encode_words, special: dict[str, int]) -> Encoder:
+def word_encoder(encode_words, special: dict[str, int], limit: int = MEMORY) -> Encoder:
     """An encoder that splits pieces into words and gives distinct new words to ``encode_words``, many at a time."""
     split = regex.compile(WORDS).findall
 
@@ -302,7 +315,7 @@ def word_encoder(encode_words, special: dict[str, int]) -> Encoder:
         known.update(zip(new, encode_words(list(map(piece_of, new))), strict=True))
         return [known[k] if k not in parts else b"".join([known[w] for w in parts[k]]) for k in keys]
 
-    encoder = Encoder(many, special)
+    encoder = Encoder(many, special, limit=limit)
     return encoder
 
 
@@ -343,39 +356,62 @@ def library_encoder(tokenizer, special: dict[str, int]) -> Encoder:
         whole, cuts = ids.tobytes(), [0, *(np.cumsum(n) * 4).tolist()]
         return [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def letters(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of letters that each follow one space."""
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), pa.scalar(" ", pieces.type))[0].as_py()
+        return words(pc.binary_length(pieces).to_numpy() + 1, symbols[0x20] + text.encode().decode("latin-1").translate(spaced))
+
+    def others(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Any other pieces that each follow one space and hold none."""
+        ids = run(tokenizer, " " + " ".join(pieces.to_pylist()))
+        return np.diff(np.flatnonzero(begins[ids]), append=len(ids)), ids
+
+    def by_parts(encode_some, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        done = [encode_some(pieces.slice(start, PART)) for start in range(0, len(pieces), PART)]
+        return np.concatenate([np.zeros(0, np.int64), *(n for n, _ in done)]), np.concatenate([np.zeros(0, "<u4"), *(ids for _, ids in done)])
+
     def array_(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct pieces that each follow one space and hold none: letters go to the model, others are split first."""
-        plain = pc.match_substring_regex(pieces, LETTERS).to_numpy(zero_copy_only=False)
-        filled = pc.greater(pc.binary_length(pieces), 0).to_numpy(zero_copy_only=False)
+        """Distinct pieces that each follow one space and hold none. Marks behind letters are words of their own, so the
+        distinct words before them go to the model; whatever is left is split by the library."""
+        stems = pc.utf8_rtrim(pieces, characters=MARKS)
+        lettered = pc.match_substring_regex(stems, LETTERS)
+        filled = pc.greater(pc.binary_length(pieces), 0)
+        odd = pc.and_(filled, pc.invert(lettered))
+        coded = stems.filter(lettered).dictionary_encode()
+        tails = pc.replace_substring_regex(pieces.filter(lettered), LETTERS[:-1], "").dictionary_encode()
+        parts = []  # where pieces lie, the sizes and ids of what they may be, and which one each of them is
+        at = np.flatnonzero(lettered.to_numpy(zero_copy_only=False))
+        parts.append((at, *by_parts(letters, coded.dictionary), coded.indices.to_numpy()))
+        keys = pa.array([" " + x if x else "" for x in tails.dictionary.to_pylist()], pa.large_string())
+        parts.append((at, *encoder._remembered(keys), tails.indices.to_numpy()))
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        parts.append((at, *by_parts(others, pieces.filter(odd)), np.arange(len(at))))
         counts = np.zeros(len(pieces), np.int64)
-        found = []
-        for which in (plain, filled & ~plain):
-            at = np.flatnonzero(which)
-            for start in range(0, len(at), 20_000):
-                some = at[start : start + 20_000]
-                part = pieces.take(pa.array(some))
-                text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), pa.scalar(" ", part.type))[0].as_py()
-                if which is plain:
-                    text = text.encode().decode("latin-1").translate(spaced)
-                    n, ids = words(pc.binary_length(part).to_numpy() + 1, symbols[0x20] + text)
-                else:
-                    ids = run(tokenizer, " " + text)
-                    starts = np.flatnonzero(begins[ids])
-                    n = np.diff(starts, append=len(ids))
-                counts[some] = n
-                found.append((some, n, ids))
-        # ids in the order of the pieces
+        for at, n, _, which in parts:
+            counts[at] += n[which]
         places = np.cumsum(counts) - counts
         out = np.zeros(int(counts.sum()), "<u4")
-        for some, n, ids in found:
-            out[np.repeat(places[some] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+        for at, n, ids, which in parts:
+            out[spread(places[at], n[which])] = ids[spread((np.cumsum(n) - n)[which], n[which])]
+            places[at] += n[which]
         return counts, out
 
-    encoder = word_encoder(encode, special)
+    encoder = word_encoder(encode, special, LIBRARY_MEMORY)
     encoder.encode_array = array_
     return encoder
 
 
+@lru_cache(maxsize=2)
+def worker_encoder(spec: str) -> Encoder:
+    """The library's encoder of a tokenizer file's text, made once for each Python worker."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(spec)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return library_encoder(tokenizer, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()})
+
+
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` (and ``ids``, binary) of each row's whole text.
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import library_encoder
+from .bpe import worker_encoder
 from .common import gathered, small_batches, shared_dir, texts
 
 BLOCK = 256
@@ -107,13 +107,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(spec.value)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        encode = library_encoder(tokenizer, special)
+        encode = worker_encoder(spec.value)
         shard, before = TaskContext.get().partitionId(), 0
         names, parts, held = [], [], 0
 
@@ -128,6 +122,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["shard", "before", "doc_ids", "lengths", "ids", "n_ids"])
 
         for batch in gathered(batches, 16 << 20):
+            pa.default_memory_pool().release_unused()
             for who, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                 names.append(who)
                 parts.append(ids + end)
