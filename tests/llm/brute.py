@@ -95,3 +95,15 @@ def op2(rows, tokenizer):
         out.append((i, start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
         start += len(ids)
     return out
+
+
+def op7(rows, n=25):
+    """Places of words, by document, in ``n`` words that stand earlier and don't overlap their first place."""
+    first, out = {}, defaultdict(set)
+    for i, text in sorted(rows):
+        w = (text or "").lower().split()
+        for k in range(len(w) - n + 1):
+            d, p = first.setdefault(tuple(w[k : k + n]), (i, k))
+            if d != i or k >= p + n:
+                out[i] |= set(range(k, k + n))
+    return dict(out)

@@ -170,6 +170,23 @@ def test_substrings(docs, empty):
     assert substring.removed(empty).count() == 0 and substring.without_repeats(empty).count() == 0
 
 
+def test_substrings_equal_brute_force(spark, rows):
+    """Passages pasted into other text with no regard to sentences, of every length around the limit, and self-repeats."""
+    own = [f"w{i}" for i in range(200)]
+    some = list(enumerate([t for _, t in rows] + [" ".join(own)]))
+    for n in (24, 25, 26, 51, 70):
+        for at in (0, 33, 120):
+            some.append((len(some), f"{prose(15)} {' '.join(own[at : at + n]).upper()}\n{prose(15)}"))
+    some += [(len(some), "Z. " * 60), (len(some) + 1, " ".join(own[:40] * 2 + own[90:120] + own[20:60]))]
+    got = {}
+    for r in substring.removed(spark.createDataFrame(some, "doc_id long, text string").repartition(3)).collect():
+        text = some[r["doc_id"]][1]
+        at = len(text[: r["start"]].split())
+        assert len(text[r["start"] : r["end"]].split()) == r["n_words"]
+        got.setdefault(r["doc_id"], set()).update(range(at, at + r["n_words"]))
+    assert got == brute.op7(some)
+
+
 def test_decontamination(spark, docs, empty):
     words = [f"{rng.choice(WORDS)}{rng.choice(WORDS)}".lower() for _ in range(40)]
     changed = [w if i % 9 else "other" for i, w in enumerate(words)]

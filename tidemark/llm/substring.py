@@ -1,9 +1,10 @@
-"""Substring dedup by hashing sentences of lines.
+"""Substring dedup: passages of words that stand earlier in the corpus.
 
-Units are the sentences of each line. Their normalised forms are hashed and grouped over all documents; the earliest
-occurrence, by ``doc_id`` and place, is kept. Neighbouring units that occurred earlier form a run, and runs of at least
-``MIN_WORDS`` words are removed, with their offsets in the original text. A run may lie anywhere in a line, so passages
-pasted into other text are found as well as repeated lines and paragraphs.
+A passage is ``MIN_WORDS`` neighbouring words, compared without regard to case and white space. Of each passage the
+earliest occurrence, by ``doc_id`` and place, is kept; the others are removed, wherever they begin and end, also inside
+other text. Passages are found in two passes. First every document gives the least hashes of ``SHORT`` neighbouring
+words within each passage (winnowing): copies of a passage share one. Then all passages that hold a hash met more than
+once are hashed whole and grouped.
 """
 
 from __future__ import annotations
@@ -17,81 +18,160 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, texts
+from .common import gathered, small_batches, stored, texts
 
-#: Words of the shortest run that is removed; stock lines of a few words stay.
+#: Words of the shortest passage that is removed; stock lines of a few words stay.
 MIN_WORDS = 25
-#: A unit: from a character that is not white space to the end of its sentence or line.
-UNIT = re.compile(r"\S.*?(?:[.!?]+(?=\s)|$)", re.MULTILINE)
+#: Words of a hash of the first pass.
+SHORT = 8
+WORD = re.compile(r"\S+")
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 RUN = "start: int, end: int, n_words: int, n_units: int, first_doc: long"
 
 
-def units(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Start and end (code points), words and 64-bit digest of each unit."""
-    starts, ends, words, digests = [], [], [], []
-    for m in UNIT.finditer(text):
-        w = m.group().lower().split()
-        starts.append(m.start())
-        ends.append(m.end())
-        words.append(len(w))
-        digests.append(xxhash.xxh3_64_intdigest(" ".join(w)))
-    return starts, ends, words, digests
+class Codes(dict):
+    """64-bit hashes of words, kept while there are not too many."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = code = xxhash.xxh3_64_intdigest(word)
+        return code
 
-def _lists(values: list[list[int]], kind) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in values]))).astype(np.int32)
-    flat = np.array([y for x in values for y in x], np.uint64).astype(kind)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+def coded(found: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' words in one array, and the text that each belongs to."""
+    parts = []
+    for text in found:
+        words = text.lower().split()
+        parts.append(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)))
+    return np.concatenate([np.empty(0, np.uint64), *parts]), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+
+
+def windows(code: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of each ``size`` neighbouring codes."""
+    n = max(0, len(code) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out *= BASE
+        out += code[k : k + n]
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
+
+
+def _slide(x: np.ndarray, size: int, least) -> np.ndarray:
+    """``least`` (minimum or maximum) of each ``size`` neighbours."""
+    span = 1
+    while span * 2 <= size:
+        x = least(x[:-span], x[span:])
+        span *= 2
+    return least(x[: len(x) - (size - span)], x[size - span :]) if size > span else x
+
+
+def anchors(code: np.ndarray, of: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the least ``SHORT`` words of each passage of ``words`` words of one text, ties included."""
+    short = min(SHORT, words)
+    if len(code) < words:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    hashed = windows(code, short)
+    size = words - short + 1
+    least = _slide(hashed, size, np.minimum)
+    least[of[: len(least)] != of[words - 1 :]] = 0  # not within one text
+    edge = np.zeros(size - 1, np.uint64)
+    at = np.flatnonzero((_slide(np.concatenate([edge, least, edge]), size, np.maximum) == hashed) & (hashed != 0))
+    return at, hashed[at]
+
+
+def _lists(of: np.ndarray, n: int, values: np.ndarray, kind) -> pa.ListArray:
+    """A list for each of ``n`` texts; ``of`` (ascending) has the text of each value."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(values.astype(kind)))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id``, ``rid`` (hash of the text) and ``runs`` (non-empty, in order) for texts that lose something.
 
-    Offsets are code points of the original text. Null and empty texts have no units. Rows with equal ``doc_id`` and
-    text are one document; a null ``doc_id`` ranks first. A unit in any number of documents is one row a task when
-    digests are grouped, and the join back on digests can be split."""
+    Each word is in a run that lies in a passage of ``min_words`` words with an earlier occurrence; an occurrence in the
+    same text that overlaps it doesn't count. Offsets are code points of the original text. Null and empty texts have no
+    words. Rows with equal ``doc_id`` and text are one document; a null ``doc_id`` ranks first. A hash in any number of
+    documents is one row a task when hashes are grouped, and the joins back on hashes can be split."""
     small_batches(docs.sparkSession)
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [units(x) for x in batch.column("text").to_pylist()]
-            columns = [_lists([x[i] for x in found], t) for i, t in enumerate((np.int32, np.int32, np.int32, np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *columns], ["doc_id", "rid", "starts", "ends", "words", "digests"])
-
-    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("rid"), "text")
-    split_rows = stored(rows.mapInArrow(split, f"doc_id {id_kind}, rid long, starts array<int>, ends array<int>, words array<int>, digests array<long>"))
-    exploded = split_rows.select("doc_id", "rid", F.posexplode("digests").alias("pos", "digest"))
-    first = exploded.groupBy("digest").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    later = exploded.join(first, "digest").filter(~F.struct("doc_id", "rid", "pos").eqNullSafe(F.col("first")))
-    later = later.groupBy(F.col("doc_id").alias("d"), F.col("rid").alias("r")).agg(F.collect_set(F.struct("pos", F.col("first.doc_id").cast("long").alias("first_doc"))).alias("later"))
-    once = split_rows.dropDuplicates(["doc_id", "rid"])
-    met = once.join(later, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r"))).select("doc_id", "rid", "starts", "ends", "words", "later")
+    rows = texts(docs).withColumn("rid", F.xxhash64("text"))
+    same = lambda d, r: F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("rid") == F.col(r))
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in gathered(batches):
+            code, of = coded(batch.column("text").to_pylist(), codes)
+            at, hashed = anchors(code, of, min_words)
+            # each hash of a text once, with its number of places
+            order = np.lexsort((hashed, of[at]))
+            at, hashed = at[order], hashed[order]
+            new = np.flatnonzero(np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (of[at[1:]] != of[at[:-1]])])) if len(at) else at
+            times = np.diff(np.append(new, len(at)))
+            lists = [_lists(of[at[new]], len(batch), x, np.int64) for x in (hashed[new], times)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *lists], ["doc_id", "rid", "hashes", "times"])
+
+    marks = stored(rows.mapInArrow(short, f"doc_id {id_kind}, rid long, hashes array<long>, times array<long>").dropDuplicates(["doc_id", "rid"]))
+    pairs = marks.select("doc_id", "rid", F.explode(F.arrays_zip("hashes", "times")).alias("x")).select("doc_id", "rid", F.col("x.hashes").alias("hash"), F.col("x.times").alias("n"))
+    again = pairs.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
+    met = pairs.select("doc_id", "rid", "hash").join(again, "hash").groupBy(F.col("doc_id").alias("d"), F.col("rid").alias("r")).agg(F.collect_list("hash").alias("met"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in gathered(batches):
+            found = batch.column("text").to_pylist()
+            code, of = coded(found, codes)
+            at, hashed = anchors(code, of, min_words)
+            lists = batch.column("met")
+            key = lambda i, h: h ^ (i.astype(np.uint64) * BASE)
+            wanted = key(np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().view(np.uint64))
+            at = at[np.isin(key(of[at], hashed), wanted)]
+            reach = min_words - min(SHORT, min_words)
+            change = np.zeros(len(code) + 1, np.int64)
+            np.add.at(change, np.maximum(at - reach, 0), 1)
+            np.add.at(change, at + 1, -1)
+            full = windows(code, min_words)
+            pos = np.flatnonzero((np.cumsum(change)[: len(full)] > 0) & (of[: len(full)] == of[min_words - 1 :])) if len(full) else at[:0]
+            starts = np.zeros(len(code), np.int32)
+            ends = np.zeros(len(code), np.int32)
+            begin = np.searchsorted(of, np.arange(len(batch)))
+            for i in np.unique(of[pos]).tolist():
+                spans = np.array([m.span() for m in WORD.finditer(found[i])], np.int32)
+                starts[begin[i] : begin[i] + len(spans)], ends[begin[i] : begin[i] + len(spans)] = spans.T
+            out = [_lists(of[pos], len(batch), x, t) for x, t in ((full[pos], np.int64), (pos - begin[of[pos]], np.int32), (starts[pos], np.int32), (ends[pos + min_words - 1], np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *out], ["doc_id", "rid", "hashes", "pos", "start", "end"])
+
+    candidates = rows.dropDuplicates(["doc_id", "rid"]).join(met, same("d", "r")).select("doc_id", "rid", "text", "met")
+    passages = stored(candidates.mapInArrow(whole, f"doc_id {id_kind}, rid long, hashes array<long>, pos array<int>, start array<int>, end array<int>"))
+    passages = passages.select("doc_id", "rid", F.explode(F.arrays_zip("hashes", "pos", "start", "end")).alias("x")).select("doc_id", "rid", F.col("x.hashes").alias("hash"), "x.pos", "x.start", "x.end")
+    first = passages.groupBy("hash").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("rid") == F.col("first.rid"))
+    later = passages.join(first, "hash").filter(~own | (F.col("pos") >= F.col("first.pos") + min_words))
+    later = later.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("pos", "start", "end", F.col("first.doc_id").cast("long").alias("first_doc"))).alias("later"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("n_units", pa.int32()), ("first_doc", pa.int64())]))
         for batch in batches:
             out = []
-            for starts, ends, words, later in zip(*(batch.column(c).to_pylist() for c in ("starts", "ends", "words", "later")), strict=True):
-                kept_by = {x["pos"]: x["first_doc"] for x in later}
+            for later in batch.column("later").to_pylist():
                 found = []
-                for pos in sorted(kept_by):
-                    if found and found[-1][1] == pos - 1:
-                        found[-1][1] = pos
+                for x in sorted(later, key=lambda x: x["pos"]):
+                    if found and x["pos"] <= found[-1]["at"] + found[-1]["n_words"]:
+                        found[-1] |= {"end": x["end"], "n_words": x["pos"] + min_words - found[-1]["at"], "n_units": found[-1]["n_units"] + 1}
                     else:
-                        found.append([pos, pos])
-                rows = [{"start": starts[a], "end": ends[b], "n_words": sum(words[a : b + 1]), "n_units": b - a + 1, "first_doc": kept_by[a]} for a, b in found]
-                out.append([x for x in rows if x["n_words"] >= min_words])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("n_units", pa.int32()), ("first_doc", pa.int64())]))
-            batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(out, kind)], ["doc_id", "rid", "runs"])
-            yield batch.filter(pa.array([bool(x) for x in out], pa.bool_()))
+                        found.append({"at": x["pos"], "start": x["start"], "end": x["end"], "n_words": min_words, "n_units": 1, "first_doc": x["first_doc"]})
+                out.append([{k: v for k, v in x.items() if k != "at"} for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(out, kind)], ["doc_id", "rid", "runs"])
 
-    return met.mapInArrow(runs, f"doc_id {id_kind}, rid long, runs array<struct<{RUN}>>")
+    return later.mapInArrow(runs, f"doc_id {id_kind}, rid long, runs array<struct<{RUN}>>")
 
 
 def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each removed run: ``doc_id``, its ``start``, ``end``, ``n_words``, ``n_units``, and ``first_doc``, the document
-    that keeps the run's first unit."""
+    """A row for each removed run: ``doc_id``, its ``start``, ``end``, ``n_words``, ``n_units`` (its repeated
+    passages), and ``first_doc``, the document that keeps the first of them."""
     return repeated_runs(docs, min_words).select("doc_id", F.explode("runs").alias("x")).select("doc_id", "x.*")
 
 
