@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import blocks, bpe, decontam, langid, lines, minhash, quality, substring, suffix, token_store, toxicity
+from tidemark.llm import blocks, bpe, decontam, langid, lines, minhash, quality, stages, substring, suffix, token_store, toxicity
 from tidemark.llm.queries import TOKENIZER
 
 rng = random.Random(5)
@@ -226,3 +226,17 @@ def test_pipeline(spark, tmp_path, docs):
     out = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not out & {0, 1, 2, 3, 9, 10, 11, 12, 13} and {8, 16} <= out
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "line_dedup", "near_dedup", "decontaminate", "encode"]
+
+
+def test_language_stage_rejects_by_likelihood(spark):
+    """Garbled and foreign text goes, short and mixed text stays, and nothing with letters goes if no language is known."""
+    a, b = ([f"{x}{y}" for x in first for y in second] for first, second in ((("ba", "di", "go"), ("na", "ro", "le")), (("schu", "ver", "ein"), ("ung", "keit", "lich"))))
+    some = [(i, " ".join(rng.choice(v) for _ in range(200)), k) for i in range(60) for v, k in ((a, "aa"), (b, "bb"))]
+    some = [(n, t, k) for n, (_, t, k) in enumerate(some)]
+    garbled = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600))
+    some += [(500, garbled, "aa"), (501, "\u043f\u0440\u0438\u0432\u0435\u0442 " * 40, None), (502, "xq zj", None), (503, " ".join(a * 8 + b * 8), None), (504, "12 !", "aa"), (505, None, "aa")]
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in stages.language(spark, df, "").collect()}
+    assert kept == {*range(120), 502, 503}
+    kept = {r["doc_id"] for r in stages.language(spark, df.withColumn("lang", F.lit(None).cast("string")), "").collect()}
+    assert kept == {*range(120), 500, 501, 502, 503}

@@ -71,19 +71,23 @@ def letters(word: str) -> str:
 class Model:
     """Log likelihoods of n-grams: a row for each bucket, a column for each language."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
+    def __init__(self, languages: list[str], counts: np.ndarray, n_docs: int = 0):
+        self.languages, self.n_docs = languages, n_docs
         self.logs = (np.log(counts + SMOOTH) - np.log(counts.sum(axis=0) + SMOOTH * BUCKETS)).astype(np.float32)
+        #: Mean log likelihood of an n-gram of each language in its own text, each n-gram left out of the counts in turn.
+        total = counts.sum(axis=0)
+        self.usual = (counts * np.log(np.maximum(counts - 1, 0) + SMOOTH)).sum(axis=0) / np.maximum(total, 1) - np.log(np.maximum(total - 1, 0) + SMOOTH * BUCKETS)
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Log likelihoods of words in each language; NaN for words without letters."""
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihoods of words in each language, NaN for words without letters; and the words' letters."""
         at, found = grams(words)
         out = np.empty((len(words), len(self.languages)), np.float32)
         for i in range(len(self.languages)):
             column = self.logs[:, i]
             out[:, i] = TEMPER * np.bincount(at, column[found[0]] + column[found[1]] + column[found[2]], len(words))
-        out[np.bincount(at, minlength=len(words)) == 0] = np.nan
-        return out
+        n = np.bincount(at, minlength=len(words))
+        out[n == 0] = np.nan
+        return out, n
 
 
 def mixture(logs: np.ndarray, start: np.ndarray | None = None, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -156,18 +160,21 @@ def fit(labelled: DataFrame) -> Model:
     languages = sorted(sizes)
     counts = np.zeros((BUCKETS, len(languages)))
     counts[rows["gram"], rows["lang"].map(languages.index)] = rows["n"]
-    return Model(languages, counts)
+    return Model(languages, counts, sum(sizes.values()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (its proportion) and ``languages`` (proportions of the chosen set).
+    """``docs`` with ``lang_pred``, ``score`` (its proportion), ``languages`` (proportions of the chosen set), ``n_letters``
+    (of words; 0 if no language was learned) and ``surprise``: by how much the mean log likelihood of an n-gram under the
+    chosen set falls below that of the languages' own text.
 
-    Texts that are null or have no letter get ``und`` and score 0, as does every text if no language was learned. Ties
+    Texts that are null or have no letter get ``und`` and score 0, as does every text if no language was learned; their
+    ``surprise`` is null. Ties
     go to the language first in the alphabet. Each row is judged by itself, so repeated rows get the same answer."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score", "languages")
+    docs = docs.drop("lang_pred", "score", "languages", "n_letters", "surprise")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,28 +186,33 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             ends = pieces.offsets.to_numpy()
             coded = pieces.flatten().dictionary_encode()
             at = coded.indices.to_numpy()
-            table = model.words(coded.dictionary.to_pylist()) if size and len(at) else np.zeros((0, max(size, 1)), np.float32)
-            pred, score, all_ = [], [], []
+            table, letters_of = model.words(coded.dictionary.to_pylist()) if size and len(at) else (np.zeros((0, max(size, 1)), np.float32), np.zeros(0, np.int64))
+            pred, score, all_, n_letters, surprise = [], [], [], [], []
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 logs = table[at[lo:hi]] if size else table
                 logs = logs[~np.isnan(logs[:, 0])]
+                n_letters.append(int(letters_of[at[lo:hi]].sum()) if size else 0)
                 if not len(logs):
                     pred.append(UNDEFINED)
                     score.append(0.0)
                     all_.append([])
+                    surprise.append(None)
                     continue
                 share = infer(logs)
+                top = logs.max(axis=1)
+                value = np.log(np.maximum(np.exp(logs - top[:, None]) @ share, 1e-300)).sum() + top.sum(dtype=np.float64)
+                surprise.append(float(share @ model.usual - value / (TEMPER * len(SIZES) * n_letters[-1])))
                 i = int(share.argmax())
                 pred.append(model.languages[i])
                 score.append(min(1.0, float(share[i])))
                 all_.append([{"lang": model.languages[j], "share": float(share[j])} for j in np.flatnonzero(share)])
-            more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(all_, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *more], [*names, "lang_pred", "score", "languages"])
+            more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(all_, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))), pa.array(n_letters, pa.int64()), pa.array(surprise, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *more], [*names, "lang_pred", "score", "languages", "n_letters", "surprise"])
 
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
-    schema.add("lang_pred", "string").add("score", "double").add("languages", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])))
+    schema.add("lang_pred", "string").add("score", "double").add("languages", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))).add("n_letters", "long").add("surprise", "double")
     return docs.mapInArrow(run, schema)
 
 
