@@ -240,3 +240,9 @@ def test_language_stage_rejects_by_likelihood(spark):
     assert kept == {*range(120), 502, 503}
     kept = {r["doc_id"] for r in stages.language(spark, df.withColumn("lang", F.lit(None).cast("string")), "").collect()}
     assert kept == {*range(120), 500, 501, 502, 503}
+
+
+def test_line_stage_returns_every_row(spark):
+    """Ten equal documents lose their lines, not their rows."""
+    df = spark.createDataFrame([(i, "same\ntext", 9) for i in range(10)] + [(10, "same\nown", 8), (11, None, 0)], "doc_id long, text string, n_chars int")
+    assert sorted(tuple(r) for r in stages.line_dedup(spark, df, "").collect()) == [(i, "", 0) for i in range(10)] + [(10, "own", 3), (11, "", 0)]
