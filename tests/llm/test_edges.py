@@ -1,6 +1,7 @@
 """All operators on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+from itertools import combinations
 
 import brute
 import pytest
@@ -246,3 +247,17 @@ def test_line_stage_returns_every_row(spark):
     """Ten equal documents lose their lines, not their rows."""
     df = spark.createDataFrame([(i, "same\ntext", 9) for i in range(10)] + [(10, "same\nown", 8), (11, None, 0)], "doc_id long, text string, n_chars int")
     assert sorted(tuple(r) for r in stages.line_dedup(spark, df, "").collect()) == [(i, "", 0) for i in range(10)] + [(10, "own", 3), (11, "", 0)]
+
+
+def test_masks_fit_every_allowed_pattern(spark):
+    """Every set of differing words that the rule allows, by enumeration; some of them and short items through Spark."""
+    for n in range(1, decontam.RUN + 1):
+        bad = n - -(-decontam.PERCENT * n // 100) if n >= decontam.SPAN else 0
+        for gone in combinations(range(n), bad):
+            assert any(not {p + k for k in m} & set(gone) for m in decontam.masks_for(n) for p in range(n - m[-1])), (n, gone)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (3, 7, 8, 12, 13)}
+    some = [(13, {1, 6, 8}), (13, {4, 5, 6}), (12, {2, 5, 8}), (8, {0, 4}), (7, {0}), (7, {6}), (3, set()), (3, {1}), (13, {0, 1, 2, 3})]
+    rows = [(i, " ".join(["before", *("other" if k in gone else w for k, w in enumerate(items[n])), "after"])) for i, (n, gone) in enumerate(some)]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, n) for i, (n, _) in enumerate(some[:7])}

@@ -1,9 +1,9 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
 A mask fixes which of ``SPAN`` neighbouring words count; the others may differ. Every benchmark item and every document
-is hashed under each mask at every word. Where a document's hash meets an item's, the two are laid side by side and
+is hashed under the masks for the item's length at every word. Where a document's hash meets an item's, the two are laid side by side and
 the aligned words around the hit are compared: a run of ``RUN`` words (or the whole item, if shorter) of which at
-least ``PERCENT`` per cent agree is a leak.
+least ``PERCENT`` per cent agree is a leak. Items of fewer than ``SPAN`` words are looked for as they are.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 7
-#: Places that count, for each mask.
-MASKS = ((0, 1, 3, 4, 6), (0, 1, 2, 5, 6), (0, 2, 3, 5, 6))
 RUN = 13
+#: Places that count, for each mask: one at least fits every allowed pattern of differing words in ``RUN`` words.
+MASKS = ((0, 1, 3, 4, 6), (0, 1, 2, 5, 6), (0, 2, 3, 5, 6), (0, 1, 2, 3, 5), (0, 1, 2, 3, 4), (0, 1, 2, 4, 6))
+#: The same for items of ``SPAN`` to ``RUN`` - 1 words.
+SHORT_MASKS = ((0, 1, 2, 4), (0, 3, 4, 5), (0, 1, 3, 6))
 PERCENT = 75
 #: Words compared before and behind a hit.
 REACH = 20
@@ -27,25 +29,33 @@ def _words(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, *carried: str) -> DataFrame:
+def masks_for(n_words: int) -> tuple[tuple[int, ...], ...]:
+    """The masks for an item of so many words."""
+    return MASKS if n_words >= RUN else SHORT_MASKS if n_words >= SPAN else (tuple(range(n_words)),)
+
+
+def _seeds(rows: DataFrame, masks: list[tuple[int, ...]], *carried: str, fits=lambda mask: F.lit(True)) -> DataFrame:
     """A row for each place ``p`` and mask of the hash array ``h``; ``seed`` tells the masks apart."""
-    places = rows.filter(F.size("h") >= SPAN).select(*carried, "h", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("p"))
-    hashes = [F.xxhash64(F.lit(i), *[F.col("h")[F.col("p") + k] for k in mask]) for i, mask in enumerate(MASKS)]
-    return places.select(*carried, "h", "p", F.explode(F.array(*hashes)).alias("seed"))
+    places = rows.filter(F.size("h") > 0).select(*carried, "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("p"))
+    hashes = [F.when((F.col("p") + mask[-1] < F.size("h")) & fits(mask), F.xxhash64(F.lit(str(mask)), *[F.get("h", F.col("p") + k) for k in mask])) for mask in masks]
+    return places.select(*carried, "h", "p", F.explode(F.array(*hashes)).alias("seed")).filter("seed is not null")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id``, ``matched`` (agreeing words of the best run), ``run`` (its length) and ``at`` (the word of
     the document where the item would begin, negative if it begins earlier) for each leaked item and document.
 
-    Null and empty texts have no words and leak nothing; items of fewer than ``SPAN`` words are too short to be told
-    from chance and are not looked for. Repeated rows give one row. Documents are read once and never shuffled: the
+    Null and empty texts have no words and leak nothing; all words of an item of fewer than ``SPAN`` words must agree.
+    Repeated rows give one row. Documents are read once and never shuffled: the
     benchmark's seeds are broadcast if there are at most ``BROADCAST_SEEDS`` of them."""
     items = benchmark.select("item_id", _words(F.col("text")).alias("h"))
-    seeds = _seeds(items, "item_id").select("seed", "item_id", F.col("p").alias("q"), F.col("h").alias("item")).dropDuplicates(["seed", "item_id", "q"])
+    sizes = sorted(r[0] for r in items.select(F.least(F.size("h"), F.lit(RUN))).distinct().collect() if r[0])  # at most RUN rows
+    masks = list(dict.fromkeys(m for n in sizes for m in masks_for(n))) or [MASKS[0]]
+    fits = lambda mask: F.least(F.size("h"), F.lit(RUN)).isin([n for n in sizes if mask in masks_for(n)])
+    seeds = _seeds(items, masks, "item_id", fits=fits).select("seed", "item_id", F.col("p").alias("q"), F.col("h").alias("item")).dropDuplicates(["seed", "item_id", "q"])
     if seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
-    hits = _seeds(docs.select("doc_id", _words(F.col("text")).alias("h")), "doc_id").join(seeds, "seed")
+    hits = _seeds(docs.select("doc_id", _words(F.col("text")).alias("h")), masks, "doc_id").join(seeds, "seed")
     # the aligned stretch: item words [lo, hi) stand at document words [lo + shift, hi + shift)
     shift = F.col("p") - F.col("q")
     hits = hits.select("doc_id", "item_id", shift.alias("at"), F.greatest(F.col("q") - REACH, -shift, F.lit(0)).alias("lo"), F.least(F.col("q") + SPAN + REACH, F.size("item"), F.size("h") - shift).alias("hi"), "h", "item")
@@ -56,7 +66,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     agree = F.zip_with("a", "b", lambda x, y: (x == y).cast("int"))
     hits = hits.select("doc_id", "item_id", "at", "run", agree.alias("m"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("m") - F.col("run") + 1), lambda s: F.aggregate(F.slice("m", s, F.col("run")), F.lit(0), lambda x, y: x + y)))
-    found = hits.select("doc_id", "item_id", "at", "run", best.alias("matched")).filter(100 * F.col("matched") >= PERCENT * F.col("run"))
+    found = hits.select("doc_id", "item_id", "at", "run", best.alias("matched")).filter(100 * F.col("matched") >= F.when(F.col("run") < SPAN, 100).otherwise(PERCENT) * F.col("run"))
     top = F.max(F.struct("matched", "run", (-F.col("at")).alias("back")))
     return found.groupBy("doc_id", "item_id").agg(top.alias("x")).select("doc_id", "item_id", F.col("x.matched").cast("long").alias("matched"), F.col("x.run").cast("long").alias("run"), (-F.col("x.back")).cast("long").alias("at"))
 
