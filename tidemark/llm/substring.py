@@ -1,10 +1,10 @@
-"""Substring dedup: passages of words that stand earlier in the corpus.
+"""Substring dedup: units of text that stand earlier in the corpus.
 
-A passage is ``MIN_WORDS`` neighbouring words, compared without regard to case and white space. Of each passage the
-earliest occurrence, by ``doc_id`` and place, is kept; the others are removed, wherever they begin and end, also inside
-other text. Passages are found in two passes. First every document gives the least hashes of ``SHORT`` neighbouring
-words within each passage (winnowing): copies of a passage share one. Then all passages that hold a hash met more than
-once are hashed whole and grouped.
+Units are hashed: whole lines of ``MIN_WORDS`` words or more, and stretches of ``MIN_WORDS`` words that begin at places
+which the words themselves choose, so that a passage pasted into other text has the same units there. Units are compared
+without regard to case and white space. Of each the earliest occurrence, by ``doc_id`` and place, is kept; the others are
+removed, with their offsets in the original text. A repeated line of ``MIN_WORDS`` words goes whole. A repeated passage
+of at least ``MIN_WORDS + SPREAD - 1`` words inside other text goes but for at most ``SPREAD - 1`` words at each end.
 """
 
 from __future__ import annotations
@@ -17,38 +17,28 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import gathered, small_batches, stored, texts
+from .common import gathered, join_keys, small_batches, stored, texts
 
 #: Words of the shortest passage that is removed; stock lines of a few words stay.
 MIN_WORDS = 25
-#: Words of a hash of the first pass.
-SHORT = 8
-WORD = re.compile(r"\S+")
+#: A unit begins at the least hash of ``SHORT`` words among ``SPREAD`` neighbouring ones.
+SHORT, SPREAD = 8, 12
+SPACE = re.compile(r"(\s+)")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
-RUN = "start: int, end: int, n_words: int, n_units: int, first_doc: long"
-
 
 class Codes(dict):
-    """64-bit hashes of words, kept while there are not too many."""
+    """64-bit hashes of words in lower case, kept while there are not too many."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[word] = code = xxhash.xxh3_64_intdigest(word)
+        self[word] = code = xxhash.xxh3_64_intdigest(word.lower())
         return code
 
 
-def coded(found: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all texts' words in one array, and the text that each belongs to."""
-    parts = []
-    for text in found:
-        words = text.lower().split()
-        parts.append(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)))
-    return np.concatenate([np.empty(0, np.uint64), *parts]), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-
-
 def windows(code: np.ndarray, size: int) -> np.ndarray:
     """Hashes of each ``size`` neighbouring codes."""
     n = max(0, len(code) - size + 1)
@@ -70,108 +60,92 @@ def _slide(x: np.ndarray, size: int, least) -> np.ndarray:
     return least(x[: len(x) - (size - span)], x[size - span :]) if size > span else x
 
 
-def anchors(code: np.ndarray, of: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the least ``SHORT`` words of each passage of ``words`` words of one text, ties included."""
-    short = min(SHORT, words)
-    if len(code) < words:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    hashed = windows(code, short)
-    size = words - short + 1
-    least = _slide(hashed, size, np.minimum)
-    least[of[: len(least)] != of[words - 1 :]] = 0  # not within one text
-    edge = np.zeros(size - 1, np.uint64)
-    at = np.flatnonzero((_slide(np.concatenate([edge, least, edge]), size, np.maximum) == hashed) & (hashed != 0))
-    return at, hashed[at]
+def places(code: np.ndarray) -> np.ndarray:
+    """Where units begin: the least hash of ``SHORT`` words among each ``SPREAD`` neighbouring ones, ties included.
 
+    The choice depends on the words of each ``SPREAD + SHORT - 1`` alone, so copies of a passage share its places."""
+    if len(code) < SPREAD + SHORT - 1:
+        return np.empty(0, np.int64)
+    hashed = windows(code, SHORT)
+    edge = np.zeros(SPREAD - 1, np.uint64)
+    return np.flatnonzero(_slide(np.concatenate([edge, _slide(hashed, SPREAD, np.minimum), edge]), SPREAD, np.maximum) == hashed)
 
-def _lists(of: np.ndarray, n: int, values: np.ndarray, kind) -> pa.ListArray:
-    """A list for each of ``n`` texts; ``of`` (ascending) has the text of each value."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(values.astype(kind)))
+
+def units(text: str, codes: Codes, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
+    """The digest, start and end of every unit of a text: lines, and stretches that begin at chosen places."""
+    pieces = SPACE.split(text)  # words and the white space between them in turn
+    words, gaps = pieces[::2], pieces[1::2]
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    starts = (np.cumsum(lengths) - lengths)[::2]
+    ends = starts + lengths[::2]
+    at, until = int(not words[0]), len(words) - int(not words[-1])  # white space at either end
+    if until - at < min_words:
+        return []
+    code = np.fromiter(map(codes.__getitem__, words[at:until]), np.uint64, until - at)
+    breaks = [0, *(i + 1 - at for i in range(at, until - 1) if "\n" in gaps[i]), until - at]
+    found = {(a, b) for a, b in zip(breaks[:-1], breaks[1:], strict=True) if b - a >= min_words}
+    found |= {(a, a + min_words) for a in places(code).tolist() if a + min_words <= len(code)}
+    raw = memoryview(code.tobytes())
+    return [(xxhash.xxh3_128_digest(raw[8 * a : 8 * b]), int(starts[at + a]), int(ends[at + b - 1])) for a, b in sorted(found)]
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id``, ``rid`` (hash of the text) and ``runs`` (non-empty, in order) for texts that lose something.
 
-    Each word is in a run that lies in a passage of ``min_words`` words with an earlier occurrence; an occurrence in the
-    same text that overlaps it doesn't count. Offsets are code points of the original text. Null and empty texts have no
-    words. Rows with equal ``doc_id`` and text are one document; a null ``doc_id`` ranks first. A hash in any number of
-    documents is one row a task when hashes are grouped, and the joins back on hashes can be split."""
+    A unit goes if its digest (96 bits) has an earlier occurrence, by ``doc_id`` and place; one in the same text that
+    overlaps it doesn't count. Units that touch or overlap make one run. Offsets are code points of the original text.
+    Null and empty texts have no words. Rows with equal ``doc_id`` and text are one document; a null ``doc_id`` ranks
+    first. Digests are counted in each task before they are shuffled, and those in many documents are joined back
+    without a shuffle, so no task gathers the rows of a frequent passage."""
     small_batches(docs.sparkSession)
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts(docs).withColumn("rid", F.xxhash64("text"))
-    same = lambda d, r: F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("rid") == F.col(r))
+    rows = texts(docs).withColumn("rid", F.hash("text"))
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
-        for batch in gathered(batches):
-            code, of = coded(batch.column("text").to_pylist(), codes)
-            at, hashed = anchors(code, of, min_words)
-            # each hash of a text once, with its number of places
-            order = np.lexsort((hashed, of[at]))
-            at, hashed = at[order], hashed[order]
-            new = np.flatnonzero(np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (of[at[1:]] != of[at[:-1]])])) if len(at) else at
-            times = np.diff(np.append(new, len(at)))
-            lists = [_lists(of[at[new]], len(batch), x, np.int64) for x in (hashed[new], times)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *lists], ["doc_id", "rid", "hashes", "times"])
-
-    marks = stored(rows.mapInArrow(short, f"doc_id {id_kind}, rid long, hashes array<long>, times array<long>").dropDuplicates(["doc_id", "rid"]))
-    pairs = marks.select("doc_id", "rid", F.explode(F.arrays_zip("hashes", "times")).alias("x")).select("doc_id", "rid", F.col("x.hashes").alias("hash"), F.col("x.times").alias("n"))
-    again = pairs.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
-    met = pairs.select("doc_id", "rid", "hash").join(again, "hash").groupBy(F.col("doc_id").alias("d"), F.col("rid").alias("r")).agg(F.collect_list("hash").alias("met"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in gathered(batches):
-            found = batch.column("text").to_pylist()
-            code, of = coded(found, codes)
-            at, hashed = anchors(code, of, min_words)
-            lists = batch.column("met")
-            key = lambda i, h: h ^ (i.astype(np.uint64) * BASE)
-            wanted = key(np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().view(np.uint64))
-            at = at[np.isin(key(of[at], hashed), wanted)]
-            reach = min_words - min(SHORT, min_words)
-            change = np.zeros(len(code) + 1, np.int64)
-            np.add.at(change, np.maximum(at - reach, 0), 1)
-            np.add.at(change, at + 1, -1)
-            full = windows(code, min_words)
-            pos = np.flatnonzero((np.cumsum(change)[: len(full)] > 0) & (of[: len(full)] == of[min_words - 1 :])) if len(full) else at[:0]
-            starts = np.zeros(len(code), np.int32)
-            ends = np.zeros(len(code), np.int32)
-            begin = np.searchsorted(of, np.arange(len(batch)))
-            for i in np.unique(of[pos]).tolist():
-                spans = np.array([m.span() for m in WORD.finditer(found[i])], np.int32)
-                starts[begin[i] : begin[i] + len(spans)], ends[begin[i] : begin[i] + len(spans)] = spans.T
-            out = [_lists(of[pos], len(batch), x, t) for x, t in ((full[pos], np.int64), (pos - begin[of[pos]], np.int32), (starts[pos], np.int32), (ends[pos + min_words - 1], np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *out], ["doc_id", "rid", "hashes", "pos", "start", "end"])
-
-    candidates = rows.dropDuplicates(["doc_id", "rid"]).join(met, same("d", "r")).select("doc_id", "rid", "text", "met")
-    passages = stored(candidates.mapInArrow(whole, f"doc_id {id_kind}, rid long, hashes array<long>, pos array<int>, start array<int>, end array<int>"))
-    passages = passages.select("doc_id", "rid", F.explode(F.arrays_zip("hashes", "pos", "start", "end")).alias("x")).select("doc_id", "rid", F.col("x.hashes").alias("hash"), "x.pos", "x.start", "x.end")
-    first = passages.groupBy("hash").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
+            found = [units(text, codes, min_words) for text in batch.column("text").to_pylist()]
+            bounds = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            flat = [x for unit in found for x in unit]
+            whole = np.frombuffer(b"".join(x[0] for x in flat), ">i8").astype(np.int64).reshape(-1, 2)
+            columns = (pa.array(whole[:, 0].copy()), pa.array((whole[:, 1] >> 32).astype(np.int32)), pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.int32()))
+            lists = [pa.ListArray.from_arrays(bounds, x) for x in columns]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *lists], ["doc_id", "rid", "h1", "h2", "start", "end"])
+
+    marks = stored(rows.mapInArrow(digests, f"doc_id {id_kind}, rid int, h1 array<long>, h2 array<int>, start array<int>, end array<int>").filter(F.size("h1") > 0))
+    exploded = marks.select("doc_id", "rid", F.explode(F.arrays_zip("h1", "h2", "start", "end")).alias("x"))
+    # packed, as these rows are shuffled: the text and the digest's second half, the start and the end
+    two = lambda high, low: F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    placed = exploded.select(F.col("x.h1").alias("h1"), two(F.col("x.h2"), F.col("rid")).alias("h2"), "doc_id", two(F.col("x.start"), F.col("x.end")).alias("place"))
+    often = stored(exploded.groupBy(F.col("x.h1").alias("h1")).agg(F.count("*").alias("n")).filter("n > 1"))
+    again = stored(join_keys(placed, often, ["h1"]).select("h1", F.shiftright("h2", 32).cast("int").alias("h2"), "doc_id", F.shiftright(F.shiftleft("h2", 32), 32).cast("int").alias("rid"), "place"))
+    first = stored(again.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rid", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("rid") == F.col("first.rid"))
-    later = passages.join(first, "hash").filter(~own | (F.col("pos") >= F.col("first.pos") + min_words))
-    later = later.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("pos", "start", "end", F.col("first.doc_id").cast("long").alias("first_doc"))).alias("later"))
+    later = join_keys(again, first, ["h1", "h2"]).filter(~own | (F.shiftright("place", 32) >= F.col("first.place").bitwiseAND(F.lit(0xFFFFFFFF))))
+    later = later.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("place", F.col("first.doc_id").alias("first_doc"))).alias("later"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("n_units", pa.int32()), ("first_doc", pa.int64())]))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_units", pa.int32()), ("first_doc", batch_kind)]))
         for batch in batches:
             out = []
             for later in batch.column("later").to_pylist():
-                found = []
-                for x in sorted(later, key=lambda x: x["pos"]):
-                    if found and x["pos"] <= found[-1]["at"] + found[-1]["n_words"]:
-                        found[-1] |= {"end": x["end"], "n_words": x["pos"] + min_words - found[-1]["at"], "n_units": found[-1]["n_units"] + 1}
+                found: list[dict] = []
+                for x in sorted(later, key=lambda x: x["place"]):
+                    start, end = x["place"] >> 32, x["place"] & 0xFFFFFFFF
+                    if found and start <= found[-1]["end"] + 1:
+                        found[-1] |= {"end": max(end, found[-1]["end"]), "n_units": found[-1]["n_units"] + 1}
                     else:
-                        found.append({"at": x["pos"], "start": x["start"], "end": x["end"], "n_words": min_words, "n_units": 1, "first_doc": x["first_doc"]})
-                out.append([{k: v for k, v in x.items() if k != "at"} for x in found])
+                        found.append({"start": start, "end": end, "n_units": 1, "first_doc": x["first_doc"]})
+                out.append(found)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(out, kind)], ["doc_id", "rid", "runs"])
 
-    return later.mapInArrow(runs, f"doc_id {id_kind}, rid long, runs array<struct<{RUN}>>")
+    batch_kind = to_arrow_type(docs.schema["doc_id"].dataType)
+    return later.mapInArrow(runs, f"doc_id {id_kind}, rid int, runs array<struct<start: int, end: int, n_units: int, first_doc: {id_kind}>>")
 
 
 def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each removed run: ``doc_id``, its ``start``, ``end``, ``n_words``, ``n_units`` (its repeated
-    passages), and ``first_doc``, the document that keeps the first of them."""
+    """A row for each removed run: ``doc_id``, its ``start``, ``end``, ``n_units`` (its repeated units), and
+    ``first_doc``, the document that keeps the first of them."""
     return repeated_runs(docs, min_words).select("doc_id", F.explode("runs").alias("x")).select("doc_id", "x.*")
 
 
@@ -179,7 +153,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id``, ``text`` with its runs cut out, ``runs`` (empty if none) for every row."""
     small_batches(docs.sparkSession)
     found = repeated_runs(docs, min_words).select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "runs")
-    rows = texts(docs).withColumn("rid", F.xxhash64("text"))
+    rows = texts(docs).withColumn("rid", F.hash("text"))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")), "left").select("doc_id", "text", "runs")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda a, x: F.struct(F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, x["start"] - a["at"])).alias("out"), x["end"].alias("at"))
