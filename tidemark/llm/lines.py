@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored
+from .common import join_keys, small_batches, stored
 
 #: White space that a key loses at both ends: fixed value.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -30,8 +30,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     ``docs``; all its copies go from every row. Each row counts as a document of its own, also when rows repeat or
     ``doc_id`` is null. A null or empty text is one empty line and comes back empty. Further columns pass through;
     names that begin with ``__td_`` are reserved. Only hashes (128 bits) and counts are shuffled for counting, after a
-    partial count in each task, so a line in a third of all rows costs one row a task; texts move once, to meet their
-    own dropped hashes."""
+    partial count in each task, so a line in a third of all rows costs one row a task; frequent hashes then meet their
+    rows without a shuffle (``join_keys``). Texts move once, to meet their own dropped hashes."""
     small_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped")
     rows = docs.withColumn("__td_rid", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -50,8 +50,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("__td_rid").take(at), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["doc_id", "rid", "h1", "h2"])
 
     hashes = stored(rows.select("doc_id", "__td_rid", "text").mapInArrow(explode, f"doc_id {id_type.simpleString()}, rid long, h1 long, h2 long"))
-    common = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
-    dropped = hashes.join(common, ["h1", "h2"]).groupBy(F.col("doc_id").alias("__td_doc"), F.col("rid").alias("__td_of")).agg(F.collect_set(F.struct("h1", "h2")).alias("__td_set"))
+    common = stored(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs))
+    dropped = join_keys(hashes, common, ["h1", "h2"]).groupBy(F.col("doc_id").alias("__td_doc"), F.col("rid").alias("__td_of")).agg(F.collect_set(F.struct("h1", "h2")).alias("__td_set"))
     matched = rows.join(dropped, rows["doc_id"].eqNullSafe(F.col("__td_doc")) & (F.col("__td_rid") == F.col("__td_of")), "left")
     matched = matched.select(*docs.columns, F.col("__td_set.h1").alias("__td_h1"), F.col("__td_set.h2").alias("__td_h2"))
     names = docs.columns
