@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, texts
+from .common import join_keys, small_batches, stored, texts
 
 LENGTH, GRAM = 400, 32
 #: Hashed bytes that windows are cut into at once; also fixes the bits that hold a place.
@@ -135,12 +135,17 @@ def sort_strings(strings: list[bytes], skip: int = 0) -> tuple[np.ndarray, np.nd
     words = np.frombuffer(b"".join(s[skip : skip + SHALLOW].ljust(SHALLOW, b"\0") for s in distinct), ">u8").reshape(n, -1)
     order, group = np.arange(n), np.zeros(n, np.int64)
     for d in range(words.shape[1]):  # a multikey quicksort's pass: only groups of equals go on
-        if n == 1 or len(np.unique(group)) == n:
+        again = np.concatenate(([False], group[1:] == group[:-1]))
+        open_ = np.flatnonzero(again | np.concatenate((again[1:], [False])))  # groups lie in a row, and stay where they are
+        if not len(open_):
             break
-        key = words[order, d]
-        move = np.lexsort((key, group))
-        order, key, group = order[move], key[move], group[move]
-        group = np.cumsum(np.concatenate(([0], (group[1:] != group[:-1]) | (key[1:] != key[:-1]))))
+        key = words[order[open_], d]
+        move = np.lexsort((key, group[open_]))
+        order[open_], key = order[open_][move], key[move]
+        new = np.ones(n, bool)
+        new[1:] = group[1:] != group[:-1]
+        new[open_[1:]] |= key[1:] != key[:-1]
+        group = np.cumsum(new) - 1
     ends = np.flatnonzero(np.concatenate((group[1:] != group[:-1], [True]))) + 1
     out: list[int] = []
     lcp: list[int] = []
@@ -354,8 +359,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_rows: int = GROU
     small_batches(spark)
     rows = texts(docs).withColumn("rid", F.xxhash64("text")).select("doc_id", "rid", "text")
     found = stored(_anchor_rows(rows, length))
-    often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > group_rows).alias("hot"))
-    live = found.join(often, "h").groupBy(F.col("doc_id").alias("d"), F.col("rid").alias("r")).agg(F.collect_set(F.struct("at", "first", "last", "h", "hot")).alias("found"))
+    often = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", "n", (F.col("n") > group_rows).alias("hot")))
+    live = join_keys(found, often, ["h"]).groupBy(F.col("doc_id").alias("d"), F.col("rid").alias("r")).agg(F.collect_set(F.struct("at", "first", "last", "h", "hot")).alias("found"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("rid").eqNullSafe(F.col("r"))
     segments = _segments(rows.join(live, same).select("doc_id", "rid", "text", "found"), length)
     if often.filter("hot").isEmpty():
