@@ -4,9 +4,8 @@ The automaton reads *tokens* and accepts exactly the token sequences that the me
 state in which every byte loops. Each merge ``(a, b)`` adds one gadget: the state behind ``a`` is copied without its
 arc on ``b`` (the two may no longer stand side by side), and every state that has an arc on ``a`` gets an arc on
 ``ab`` that leads to the state ``b`` led to before the copy. The state reached depends on the last token only, so the
-automaton is deterministic, and each prefix of a word ends exactly one accepted path. A state is kept as what its
-copies lost (``cut``) and where it was copied from (``right``, with the time of the merge), which takes one entry for
-each merge instead of a full row of arcs; rows are looked up arc by arc and remembered.
+automaton is deterministic, and each prefix of a word ends exactly one accepted path. All rows of arcs are built once, as ranges of
+token numbers, and words are encoded by looking arcs up in them.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +25,6 @@ from pyspark.sql import DataFrame
 
 from .common import gathered, small_batches, texts
 
-#: Bits that hold a token id in a packed pair of ids.
-SHIFT = 20
 #: Entries after which a worker's memory of words starts afresh.
 MEMORY = 700_000
 #: The same where most pieces are encoded a batch at a time and only odd ones are remembered, for as long as a worker lives.
@@ -53,22 +51,61 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Automaton:
-    """Merges compiled by successive gadgets; ``labels`` are the bytes that each token's arc emits."""
+    """Merges compiled by successive gadgets into a table; ``labels`` are the bytes that each token's arc emits.
+
+    Tokens are numbered so that each token is followed by those that were made with it on the left, the latest merge
+    first. An arc on ``b`` that is lost takes with it the arcs on all tokens that are made from ``b`` later: one range of
+    numbers. A state's row is the sorted list of ranges it has no arc on; all other arcs exist."""
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[str, int]):
         self.labels, self.special = labels, special
-        self.rank = dict.fromkeys(labels, -1)
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.cut: dict[int, int] = {}
+        rank: dict[int, int] = {}
+        children: dict[int, list[int]] = {}
+        for when, (a, _, ab) in enumerate(merges):
+            if ab in rank:
+                raise ValueError(f"two merges make token {ab}")
+            rank[ab] = when
+            children.setdefault(a, []).append(ab)
         live = {t for t, x in labels.items() if len(x) == 1}
+        size = max(labels, default=0) + 1
+        self.number = array("i", [-1]) * size
+        until = array("i", [-1]) * size  # the last number among those made from a token
+        count = 0
+        stack = [(t, False) for t in sorted(live, reverse=True)]
+        while stack:
+            t, done = stack.pop()
+            if done:
+                until[t] = count - 1
+                continue
+            self.number[t] = count
+            count += 1
+            stack.append((t, True))
+            stack += [(x, False) for x in children.get(t, ())]  # the latest comes off first
+        rows: dict[int, tuple[list[int], list[int]]] = {t: ([], []) for t in live}
         for when, (a, b, ab) in enumerate(merges):
-            if ab in self.left:
-                raise ValueError(f"two merges make token {ab}")
-            if a in live and b in live and self.arc(a, b):
-                self.left[ab], self.right[ab], self.rank[ab] = a, b, when
-                self.cut[a << SHIFT | b] = when
-                live.add(ab)
+            if a not in live or b not in live:
+                continue
+            lows, highs = rows[a]
+            at = bisect_right(lows, self.number[b])
+            if at and highs[at - 1] >= self.number[b]:
+                continue  # the arc is gone: this merge never applies
+            rows[ab] = (list(rows[b][0]), list(rows[b][1]))
+            live.add(ab)
+            made = children.get(b, [])
+            later = bisect_left(made, when, key=rank.__getitem__)  # where a is b, the token made now too
+            lows.insert(at, self.number[b])
+            highs.insert(at, until[made[later]] if later < len(made) else self.number[b])
+        #: The ranges of state ``t`` are ``low[i]`` to ``high[i]`` for ``first[t] <= i < first[t + 1]``.
+        self.first, self.low, self.high = array("i", [0]), array("i"), array("i")
+        for t in range(size):
+            for low, high in zip(*rows.get(t, ((), ())), strict=True):
+                if len(self.low) > self.first[t] and self.high[-1] == low - 1:
+                    self.high[-1] = high
+                else:
+                    self.low.append(low)
+                    self.high.append(high)
+            self.first.append(len(self.low))
+        #: Labels byte by byte: the next node for a node and a byte; the token that ends at a node, or -1.
         self.steps: dict[int, int] = {}
         self.ends: list[int] = [-1]
         for t in sorted(live):
@@ -78,107 +115,63 @@ class Automaton:
                 if node == len(self.ends):
                     self.ends.append(-1)
             self.ends[node] = t
-        self.row: dict[int, bool] = {}
 
     @classmethod
     def load(cls, path: str) -> Automaton:
         """From a tokenizer file with a byte-level BPE model."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, symbols = spec["model"]["vocab"], byte_symbols()
-        labels = {i: bytes(symbols[c] for c in s) for s, i in vocab.items()}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("dropout") or model.get("ignore_merges"):
+            raise ValueError("only plain byte-level BPE without normaliser, prefix space or dropout is supported")
+        vocab, symbols = model["vocab"], byte_symbols()
+        labels = {i: bytes(symbols[c] for c in s) for s, i in vocab.items() if set(s) <= symbols.keys()}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         return cls(labels, merges, special)
 
-    def arc(self, last: int, token: int) -> bool:
-        """Whether the state behind ``last`` has an arc on ``token``.
-
-        The arc came with its left part's arc, if that was still there when the two merged; it went if ``cut`` names
-        it for ``last``, or for the token whose state was copied when ``last`` was made, before that time."""
-        cut, rank, never = self.cut, self.rank, 1 << 60
-        until = never
-        while True:
-            state, since = last, never
-            while True:
-                gone = cut.get(state << SHIFT | token)
-                if gone is not None and gone < since:
-                    if gone <= until:
-                        return False
-                    break
-                if rank[state] < 0:
-                    break
-                since = rank[state]
-                state = self.right[state]
-            until = rank[token]
-            if until < 0:
-                return True
-            token = self.left[token]
+    def arc(self, state: int, token: int) -> bool:
+        """Whether the state behind the token ``state`` has an arc on ``token``."""
+        x = self.number[token]
+        at = bisect_right(self.low, x, self.first[state], self.first[state + 1]) - 1
+        return at < self.first[state] or self.high[at] < x
 
     def encode_word(self, word: bytes) -> list[int]:
         """The token ids on the one accepted path that spells ``word``.
 
-        Follows the longest labels first. A place that was reached once and led nowhere is not tried again: the path
-        to a place is the same whichever way it is found."""
-        n, step, ends, row = len(word), self.steps.get, self.ends, self.row
-        path: list[int] = []
-        i, state = 0, -1
-        while i < n:  # most words need no way back
-            node, token, j = 0, -1, i
-            for byte in word[i:]:
-                node = step(node << 8 | byte)
+        Each prefix is spelt by one accepted path, so its state is known when its end is reached, and a place that has
+        its state is never looked at again. The state at the end of ``word`` leads back to its beginning."""
+        n, step, ends, number, first, low, high = len(word), self.steps.get, self.ends, self.number, self.first, self.low, self.high
+        states = [-1] * (n + 1)
+        for i in range(n):
+            state = states[i]
+            if state >= 0:
+                begin, end = first[state], first[state + 1]
+            elif i:
+                continue
+            node = 0
+            for j in range(i, n):
+                node = step(node << 8 | word[j])
                 if node is None:
                     break
-                j += 1
-                if ends[node] >= 0:
-                    token, end = ends[node], j
-            if token < 0 or state >= 0 and not row.get(state << SHIFT | token):
-                break
-            path.append(token)
-            i, state = end, token
-        else:
-            return path
-        path = []
-        places = [0]
-        choices: list[list[tuple[int, int]]] = []
-        seen = {0}
-        i, state = 0, -1
-        while i < n:
-            found = []
-            node, j = 0, i
-            while j < n and (node := step(node << 8 | word[j])) is not None:
-                j += 1
                 token = ends[node]
-                if token >= 0:
-                    found.append((token, j))
-            while True:
-                while not found:
-                    if not choices:
-                        raise ValueError(f"no accepted path spells {word!r}")
-                    found = choices.pop()
-                    path.pop()
-                    places.pop()
-                    state = path[-1] if path else -1
-                token, j = found.pop()
-                if j in seen:
-                    continue
-                if state >= 0:
-                    pair = state << SHIFT | token
-                    ok = row.get(pair)
-                    if ok is None:
-                        if len(row) > MEMORY:
-                            row.clear()
-                        ok = row[pair] = self.arc(state, token)
-                    if not ok:
-                        continue
-                seen.add(j)
-                choices.append(found)
-                path.append(token)
-                places.append(j)
-                i, state = j, token
+                if token >= 0 and states[j + 1] < 0:
+                    if i:
+                        x = number[token]
+                        at = bisect_right(low, x, begin, end) - 1
+                        if at >= begin and high[at] >= x:
+                            continue
+                    states[j + 1] = token
+            if states[n] >= 0:
                 break
-        return path
+        path: list[int] = []
+        while n:
+            if states[n] < 0:
+                raise ValueError(f"no accepted path spells {word!r}")
+            path.append(states[n])
+            n -= len(self.labels[states[n]])
+        return path[::-1]
 
     def decode(self, ids: list[int]) -> bytes:
         """The labels of the arcs on a path, one after the other."""
