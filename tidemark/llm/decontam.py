@@ -41,24 +41,31 @@ def _seeds(rows: DataFrame, masks: list[tuple[int, ...]], *carried: str, fits=la
     return places.select(*carried, "h", "p", F.explode(F.array(*hashes)).alias("seed")).filter("seed is not null")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """``doc_id``, ``item_id``, ``matched`` (agreeing words of the best run), ``run`` (its length) and ``at`` (the word of
     the document where the item would begin, negative if it begins earlier) for each leaked item and document.
 
     Null and empty texts have no words and leak nothing; all words of an item of fewer than ``SPAN`` words must agree.
-    Repeated rows give one row. Documents are read once and never shuffled: the
-    benchmark's seeds are broadcast if there are at most ``BROADCAST_SEEDS`` of them."""
+    Repeated rows give one row. If the benchmark has at most ``broadcast_seeds`` seeds they are broadcast, and documents
+    are read once and never shuffled. If it has more, seeds are shuffled alone (``doc_id``, place and hash), and the
+    documents' words are read again and move once, to meet their hits."""
     items = benchmark.select("item_id", _words(F.col("text")).alias("h"))
     sizes = sorted(r[0] for r in items.select(F.least(F.size("h"), F.lit(RUN))).distinct().collect() if r[0])  # at most RUN rows
     masks = list(dict.fromkeys(m for n in sizes for m in masks_for(n))) or [MASKS[0]]
     fits = lambda mask: F.least(F.size("h"), F.lit(RUN)).isin([n for n in sizes if mask in masks_for(n)])
     seeds = _seeds(items, masks, "item_id", fits=fits).select("seed", "item_id", F.col("p").alias("q"), F.col("h").alias("item")).dropDuplicates(["seed", "item_id", "q"])
-    if seeds.count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
-    hits = _seeds(docs.select("doc_id", _words(F.col("text")).alias("h")), masks, "doc_id").join(seeds, "seed")
+    words = docs.select("doc_id", _words(F.col("text")).alias("h"))
+    if seeds.count() <= broadcast_seeds:
+        hits = _seeds(words, masks, "doc_id").join(F.broadcast(seeds), "seed")
+    else:
+        met = _seeds(words, masks, "doc_id").select("doc_id", "p", "seed").join(seeds.select("seed", "item_id", "q"), "seed")
+        shifts = met.groupBy(F.col("doc_id").alias("hit"), F.col("item_id").alias("hit_item"), (F.col("p") - F.col("q")).alias("shift"), "q").agg(F.count("*").alias("n"))
+        hits = words.join(shifts, F.col("doc_id").eqNullSafe(F.col("hit"))).join(items.select("item_id", F.col("h").alias("item")).distinct(), F.col("hit_item").eqNullSafe(F.col("item_id")))
+        hits = hits.select("doc_id", "item_id", (F.col("q") + F.col("shift")).alias("p"), "q", "h", "item")
     # the aligned stretch: item words [lo, hi) stand at document words [lo + shift, hi + shift)
     shift = F.col("p") - F.col("q")
     hits = hits.select("doc_id", "item_id", shift.alias("at"), F.greatest(F.col("q") - REACH, -shift, F.lit(0)).alias("lo"), F.least(F.col("q") + SPAN + REACH, F.size("item"), F.size("h") - shift).alias("hi"), "h", "item")
+    hits = hits.filter("hi > lo")  # rows of one id may differ in length
     length = F.col("hi") - F.col("lo")
     run = F.least(F.lit(RUN), F.size("item"))
     hits = hits.select("doc_id", "item_id", "at", run.alias("run"), F.slice("h", F.col("lo") + F.col("at") + 1, length).alias("a"), F.slice("item", F.col("lo") + 1, length).alias("b"))
