@@ -140,7 +140,7 @@ def fit(labelled: DataFrame) -> Model:
         return Model([], np.zeros((BUCKETS, 0)))
     spark = labelled.sparkSession
     rates = spark.createDataFrame([(k, min(1.0, SAMPLE / n)) for k, n in sizes.items()], "lang string, rate double")
-    draw = (F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(7)) % 1_000_000 + 1_000_000) % 1_000_000
+    draw = (F.xxhash64("doc_id", F.lit(7)) % 1_000_000 + 1_000_000) % 1_000_000
     # a row for each language
     drawn = labelled.join(F.broadcast(rates), "lang").filter(draw < F.col("rate") * 1_000_000).select("lang", "text")
 

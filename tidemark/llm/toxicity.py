@@ -25,6 +25,9 @@ FACTORS = 4
 SAMPLE = 12_000
 #: Least documents with a term, and least difference of its rates in standard errors, for a term to be kept.
 LEAST, ERRORS = 4, 4.0
+#: Pairs are looked for among so many terms, those in most documents; least documents with both, and least difference
+#: in standard errors (there are some two million pairs).
+PAIR_TERMS, PAIR_LEAST, PAIR_ERRORS = 2048, 16, 6.0
 STEPS, RATE, DECAY = 300, 0.05, 1e-4
 
 
@@ -70,6 +73,27 @@ def probability(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def paired(flat: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The terms of pairs whose rate of ones differs from what the terms' own rates, added as log odds, lead to."""
+    every = np.bincount(flat, minlength=BUCKETS)
+    common = np.sort(np.argsort(-every, kind="stable")[:PAIR_TERMS])
+    common = common[every[common] >= PAIR_LEAST]
+    place = np.full(BUCKETS, -1, np.int64)
+    place[common] = np.arange(len(common))
+    has = np.zeros((len(labels), len(common)), np.float32)
+    at = place[flat]
+    has[doc[at >= 0], at[at >= 0]] = 1
+    both, ones = has.T @ has, (has * labels[:, None].astype(np.float32)).T @ has
+    odds = lambda one, n: np.log((one + 0.5) / (n - one + 0.5))
+    alone = odds(np.diag(ones).astype(float), np.diag(both).astype(float))
+    due = probability(alone[:, None] + alone[None, :] - odds(labels.sum(), len(labels)))
+    error = np.sqrt(due * (1 - due) / np.maximum(both, 1))
+    odd = (both >= PAIR_LEAST) & (np.abs(ones / np.maximum(both, 1) - due) >= PAIR_ERRORS * error)
+    # a term that comes only with the other one tells nothing more
+    odd &= both <= 0.9 * np.minimum(np.diag(both)[:, None], np.diag(both)[None, :])
+    return common[odd.any(axis=1)]
+
+
 def train(found: list[np.ndarray], labels: np.ndarray) -> Machine:
     """Fit on the term sets of documents and their 0/1 labels; without both labels, a constant."""
     n, ones = len(labels), float(labels.sum())
@@ -81,6 +105,7 @@ def train(found: list[np.ndarray], labels: np.ndarray) -> Machine:
     base = ones / n
     error = np.sqrt(base * (1 - base) / np.maximum(every, 1))
     kept = np.flatnonzero((every >= LEAST) & (np.abs(one / np.maximum(every, 1) - base) >= ERRORS * error))
+    kept = np.union1d(kept, paired(flat, doc, labels))
     place = np.full(BUCKETS, -1, np.int64)
     place[kept] = np.arange(len(kept))
     at = place[flat]
@@ -120,9 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
         known = _Terms()
         for batch in batches:
             sets = [sorted({t for w in set(x.split()) for t in known[w]}) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label_of").cast(pa.int64()), batch.column("toxic"), pa.array(sets, pa.list_(pa.int32()))], ["label_of", "toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("label_of"), batch.column("toxic"), pa.array(sets, pa.list_(pa.int32()))], ["label_of", "toxic", "terms"])
 
-    found = rows.mapInArrow(run, "label_of long, toxic int, terms array<int>").groupBy("label_of").agg(F.min(F.struct("toxic", "terms")).alias("x"))
+    kind = labels.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"label_of {kind}, toxic int, terms array<int>").groupBy("label_of").agg(F.min(F.struct("toxic", "terms")).alias("x"))
     got = found.select("label_of", "x.toxic", "x.terms").toArrow().sort_by("label_of")
     sets = [x.values.to_numpy(zero_copy_only=False) for x in got.column("terms")]
     return train(sets, (got.column("toxic").to_numpy() > 0).astype(float))
