@@ -80,4 +80,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {}
+#: Characters that keys and words are stripped of or split at, and the letters that are lowered: fixed values.
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_KEY = f"translate(trim(line, {_WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op4_line_dedup": f"""
+        WITH lines AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+        keyed AS (SELECT doc_id, pos, line, {_KEY} AS key FROM lines),
+        common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+          sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+        FROM keyed LEFT JOIN common c USING (key) GROUP BY doc_id""",
+    "op10_quality": r"""
+        WITH words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+        starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) AS p FROM words),
+        grams AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS g FROM starts),
+        again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+        covered AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM again, range(8) AS r(k) GROUP BY doc_id),
+        measured AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+            len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_full_lines,
+            len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM words LEFT JOIN covered c USING (doc_id)),
+        based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 4 * n_full_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words) AS kept
+        FROM based""",
+}
