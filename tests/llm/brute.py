@@ -107,3 +107,22 @@ def op7(rows, n=25):
             if d != i or k >= p + n:
                 out[i] |= set(range(k, k + n))
     return dict(out)
+
+
+def op8(rows, items, run=13, percent=75, span=7):
+    """Pairs of document and item of which ``run`` aligned words (or the whole item) agree, over all alignments."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = set()
+    for d, text in rows:
+        a = words(text)
+        for i, item in items:
+            b = words(item)
+            n = min(run, len(b))
+            if not n:
+                continue
+            need = 100 if n < span else percent
+            for x in range(len(a) - n + 1):
+                if any(100 * sum(p == q for p, q in zip(a[x : x + n], b[y : y + n], strict=True)) >= need * n for y in range(len(b) - n + 1)):
+                    out.add((d, i))
+                    break
+    return out
