@@ -24,7 +24,7 @@ from .common import gathered, join_keys, small_batches, stored, texts
 #: Words of the shortest passage that is removed; stock lines of a few words stay.
 MIN_WORDS = 25
 #: A unit begins at the least hash of ``SHORT`` words among ``SPREAD`` neighbouring ones.
-SHORT, SPREAD = 8, 12
+SHORT, SPREAD = 8, 9
 SPACE = re.compile(r"(\s+)")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
