@@ -6,8 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_MILES = 3958.8
-#: Breach thresholds, warning and critical, by metric: fixed values of this engine's defaults.
-BREACHES = {"n_1m": (3, 5), "n_5m": (8, 12), "n_1h": (20, 40), "n_24h": (60, 120), "sum_1h": (2000.0, 5000.0), "sum_24h": (8000.0, 20000.0)}
+#: Breach thresholds, warning and critical, by metric: fixed values.
+BREACHES = {
+    "n_1m": (3, 5),
+    "n_5m": (8, 15),
+    "n_1h": (20, 50),
+    "n_24h": (100, 200),
+    "sum_1m": (1000.0, 5000.0),
+    "sum_5m": (3000.0, 10000.0),
+    "sum_1h": (10000.0, 50000.0),
+    "sum_24h": (50000.0, 100000.0),
+    "merchants_1h": (5, 10),
+    "merchants_24h": (15, 30),
+}
 #: Ensemble presets: weights of rules, anomaly and model, and the cuts of medium, high and critical.
 ENSEMBLES = {"online": ((0.3, 0.3, 0.4), (0.3, 0.6, 0.85)), "batch": ((0.30, 0.25, 0.45), (0.5, 0.8, 0.95))}
 
@@ -42,7 +53,12 @@ def raised(severities: Column) -> Column:
     return F.when(F.size(severities) > 0, F.least(F.lit(3), F.array_max(severities) + F.floor((F.size(severities) - 1) / 2).cast("int")))
 
 
-def breaches() -> Column:
-    """Array of metric and level for every threshold passed (strictly) by the metric's column."""
-    found = [F.when(F.col(m) > c, F.struct(F.lit(m).alias("metric"), F.lit("critical").alias("level"))).when(F.col(m) > w, F.struct(F.lit(m).alias("metric"), F.lit("warning").alias("level"))) for m, (w, c) in BREACHES.items()]
+def breaches(thresholds: dict[str, tuple[float, float]] = BREACHES) -> Column:
+    """Array of metric and level for every threshold that a metric's column reaches; critical outranks warning."""
+    found = [F.when(F.col(m) >= c, F.struct(F.lit(m).alias("metric"), F.lit("critical").alias("level"))).when(F.col(m) >= w, F.struct(F.lit(m).alias("metric"), F.lit("warning").alias("level"))) for m, (w, c) in thresholds.items()]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def breach_risk(found: Column) -> Column:
+    """0.3 for each critical breach and 0.1 for each warning, at most 1."""
+    return F.least(F.lit(1.0), F.aggregate(found, F.lit(0.0), lambda a, x: a + F.when(x["level"] == "critical", 0.3).otherwise(0.1)))

@@ -10,8 +10,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Timestamp patterns, tried in this order: fixed values.
-TIMESTAMP_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "MM/dd/yyyy", "yyyyMMdd", "dd-MM-yyyy")
+#: Timestamp patterns, tried in this order: fixed values. The third and fourth take an offset.
+TIMESTAMP_FORMATS = (
+    "yyyy-MM-dd'T'HH:mm:ss'Z'",
+    "yyyy-MM-dd'T'HH:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]'Z'",
+    "yyyy-MM-dd'T'HH:mm:ss[XXX][XX]",
+    "yyyy-MM-dd'T'HH:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S][XXX][XX]",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]",
+    "yyyy-MM-dd",
+    "MM/dd/yyyy HH:mm:ss",
+    "MM/dd/yyyy",
+    "dd/MM/yyyy HH:mm:ss",
+    "dd/MM/yyyy",
+    "dd-MM-yyyy",
+    "yyyyMMddHHmmss",
+    "yyyyMMdd",
+)
 
 
 @F.pandas_udf(T.StringType())
@@ -68,10 +84,15 @@ def amount(x: Column) -> Column:
 
 
 def timestamp(x: Column) -> Column:
-    """The first pattern that fits, or epoch seconds (10 digits) or milliseconds (13 digits); null otherwise."""
-    digits = F.when(x.rlike(r"^\d{10}$"), F.timestamp_seconds(x.try_cast("bigint"))).when(x.rlike(r"^\d{13}$"), F.timestamp_millis(x.try_cast("bigint")))
-    bare = F.regexp_replace(x, r"(Z|\+00:00)$", "")
-    return reduce(lambda a, f: F.coalesce(a, F.try_to_timestamp(bare, F.lit(f))), TIMESTAMP_FORMATS, digits)
+    """Digits alone are epoch seconds, or milliseconds if over ten billion; else the first pattern that fits; else null.
+
+    Without an offset the time is UTC (the session's zone must be). Of the patterns of digits alone none is ever
+    reached."""
+    value = F.trim(x)
+    number = value.try_cast("double")
+    digits = F.timestamp_micros(F.when(number > 1e10, number * 1e3).otherwise(number * 1e6).try_cast("bigint"))
+    read = reduce(lambda a, f: F.coalesce(a, F.try_to_timestamp(value, F.lit(f))), TIMESTAMP_FORMATS[1:], F.try_to_timestamp(value, F.lit(TIMESTAMP_FORMATS[0])))
+    return F.when(value.rlike("^[0-9]+$"), digits).otherwise(read)
 
 
 def bucket_of(test: Column, user: Column, buckets: int = 10_000) -> Column:

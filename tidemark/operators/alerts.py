@@ -20,10 +20,15 @@ def fold(rows: Iterator[tuple[int, str]], minutes: int = DEDUP_MINUTES, cap: int
     """The gate's verdict for an account's alerts (time in microseconds, dedup key) in order.
 
     A duplicate is measured from the last alert sent with its key; duplicates and throttled alerts send nothing. Keeps
-    at most ``cap`` times and one time for each key seen within the span."""
+    at most ``cap`` times and one time for each key sent within the span."""
     sent: dict[str, int] = {}
+    order: deque[tuple[int, str]] = deque()
     recent: deque[int] = deque()
     for us, key in rows:
+        while order and us - order[0][0] >= minutes * 60_000_000:
+            then, old = order.popleft()
+            if sent.get(old) == then:
+                del sent[old]
         if key in sent and us - sent[key] < minutes * 60_000_000:
             yield "duplicate"
             continue
@@ -33,6 +38,7 @@ def fold(rows: Iterator[tuple[int, str]], minutes: int = DEDUP_MINUTES, cap: int
             yield "throttled"
             continue
         sent[key] = us
+        order.append((us, key))
         recent.append(us)
         yield "sent"
 
@@ -63,7 +69,12 @@ def gate(alerts: DataFrame) -> DataFrame:
 
 
 #: Allowed moves of an alert's life: fixed values.
-TRANSITIONS = {"new": ("acknowledged", "investigating", "escalated", "resolved", "false_positive"), "acknowledged": ("investigating", "escalated", "resolved", "false_positive"), "investigating": ("escalated", "resolved", "false_positive"), "escalated": ("investigating", "resolved", "false_positive"), "resolved": ("closed",), "false_positive": ("closed",), "closed": ()}
+TRANSITIONS = {
+    "open": ("investigating", "resolved", "false_positive"),
+    "investigating": ("resolved", "false_positive", "open"),
+    "resolved": (),
+    "false_positive": (),
+}
 
 
 def allowed(frm: str = "from_status", to: str = "to_status") -> Column:

@@ -31,19 +31,50 @@ def prior(key: str, *order: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def distinct_count(x: Column, w: WindowSpec) -> Column:
-    """Distinct values in a frame, which SQL's count(distinct) can't give there."""
-    return F.size(F.collect_set(x).over(w))
+def distinct_counts(rows: DataFrame, key: str, us: str, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    """``rows`` with the number of distinct non-null values of a column within [t - W, t] for each of ``wanted``: name ->
+    (column, seconds).
+
+    A value counts from a row that has none of its kind within W before it to W after the last one of such a row's run.
+    Those beginnings and ends become rows of +1 and -1 whose running sum is the answer, so that no frame is gathered: time
+    is linear in the rows of a key but for sorting, and one shuffle by ``key`` serves all steps."""
+    rows = rows.repartition(key)
+    steps = [F.struct(F.col(us).alias("at"), F.lit(True).alias("own"), *[F.col(f"__first_{n}").cast("long").alias(n) for n in wanted])]
+    for name, (column, seconds) in wanted.items():
+        w = Window.partitionBy(key, column).orderBy(us)
+        there, span = F.col(column).isNotNull(), seconds * SECOND
+        before_, after = F.lag(us).over(w), F.lead(us).over(w)
+        rows = rows.withColumns({f"__first_{name}": there & (before_.isNull() | (before_ < F.col(us) - span)), f"__last_{name}": there & (after.isNull() | (after > F.col(us) + span))})
+        steps.append(F.when(F.col(f"__last_{name}"), F.struct((F.col(us) + span + 1).alias("at"), F.lit(False).alias("own"), *[F.lit(-1 if n == name else 0).cast("long").alias(n) for n in wanted])))
+    kept = [c for c in rows.columns if not c.startswith(("__first_", "__last_"))]
+    events = rows.withColumn("__step", F.explode(F.filter(F.array(*steps), lambda x: x.isNotNull()))).select(*kept, "__step.*")
+    running = Window.partitionBy(key).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    return events.withColumns({n: F.sum(n).over(running) for n in wanted}).filter("own").select(*kept, *wanted)
 
 
 def velocity(txns: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Counts and sums over 1 and 5 minutes, 1 and 24 hours, the current row included."""
-    out = txns
+    """Counts and sums over 1 and 5 minutes, 1 and 24 hours, and distinct merchants and countries, the current row
+    included."""
+    out = distinct_counts(txns, key, "us", {"merchants_1h": ("merchant_id", 3600), "merchants_24h": ("merchant_id", 86400), "countries_24h": ("country", 86400)})
     for name, seconds in (("1m", 60), ("5m", 300), ("1h", 3600), ("24h", 86400)):
         w = history(key, "us", seconds)
         out = out.withColumns({f"n_{name}": F.count("*").over(w), f"sum_{name}": F.sum("amount").over(w).cast("double")})
-    w = history(key, "us", 86400)
-    return out.withColumns({"merchants_24h": distinct_count(F.col("merchant_id"), w).cast("bigint"), "countries_24h": distinct_count(F.col("country"), w).cast("bigint")})
+    return out
+
+
+def share_not_above(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """``rows`` with ``share``: the part of a key's earlier rows in ``order`` whose ``value`` is no larger; null for the first.
+
+    Rows are numbered by key. The rows before number p fall into one block of 2^l rows for each bit l that is set in p: the
+    left half of the block of 2^(l+1) rows that p is in. So each row is looked at once for each bit, among the rows of its
+    block in order of value, and blocks of a key spread over tasks. Time grows with n log n; nothing is gathered."""
+    numbered = rows.withColumn("__p", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    numbered = numbered.withColumn("__top", F.floor(F.log2(F.greatest(F.max("__p").over(Window.partitionBy(key)), F.lit(1)))).cast("int"))
+    dealt = numbered.withColumn("__level", F.explode(F.sequence(F.lit(0), "__top"))).withColumns({"__block": F.expr("shiftright(__p, __level + 1)"), "__right": F.expr("(shiftright(__p, __level) & 1) = 1")})
+    w = Window.partitionBy(key, "__level", "__block").orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
+    counted = dealt.withColumn("__n", F.when(F.col("__right"), F.count(F.when(~F.col("__right") & F.col(value).isNotNull(), 1)).over(w)))
+    found = counted.groupBy(key, "__p").agg(F.sum("__n").alias("__below"), F.first(F.struct(*rows.columns)).alias("__row"))
+    return found.select("__row.*", F.try_divide(F.coalesce("__below", F.lit(0)).cast("double"), F.col("__p")).alias("share"))
 
 
 def windowed_stats(txns: DataFrame, key: str, as_of: Column, spans: dict[str, int]) -> DataFrame:

@@ -25,8 +25,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[s
 
 
 def insert_new(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """INSERT ... ON CONFLICT DO NOTHING."""
-    return target.unionByName(source.join(target.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
+    """INSERT ... ON CONFLICT DO NOTHING; of source rows with the same key one goes in."""
+    return target.unionByName(source.dropDuplicates(keys).join(target.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
 
 
 def delete(target: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

@@ -43,6 +43,99 @@ def condition(spec: dict[str, Any]) -> Column:
     return F.coalesce(_TESTS[operator](column, spec["value"]), F.lit(False))
 
 
+def velocity_rule(txns: DataFrame, name: str, key: str = "account_id", max_count: int = 10, seconds: int = 300, amount_threshold: float | None = None) -> DataFrame:
+    """``name``: whether the rows of ``key`` within the look-back, the current one included, are more than ``max_count``; only
+    amounts up to ``amount_threshold`` count, if one is given. A missing key breaks no rule."""
+    counted = F.lit(1) if amount_threshold is None else F.when(F.col("amount") <= amount_threshold, 1)
+    return txns.withColumn(name, F.col(key).isNotNull() & (F.count(counted).over(frames.history(key, "us", seconds)) > max_count))
+
+
+def cumulative_rule(txns: DataFrame, name: str, key: str = "account_id", max_amount: float = 100_000.0, seconds: int = 86_400) -> DataFrame:
+    """``name``: whether the amounts of ``key`` within the look-back add up to more than ``max_amount``."""
+    return txns.withColumn(name, F.col(key).isNotNull() & (F.sum("amount").over(frames.history(key, "us", seconds)) > max_amount))
+
+
+def cardinality_rule(txns: DataFrame, name: str, group_by: str, count_field: str, max_distinct: int = 3, seconds: int = 3600) -> DataFrame:
+    """``name``: whether ``group_by`` met more than ``max_distinct`` values of ``count_field`` within the look-back."""
+    out = frames.distinct_counts(txns, group_by, "us", {name: (count_field, seconds)})
+    return out.withColumn(name, F.col(group_by).isNotNull() & (F.col(name) > max_distinct))
+
+
+def geo_velocity_rule() -> Column:
+    """Never met: the rule has no location store to compare with."""
+    return F.lit(False)
+
+
+def _minutes(clock: str) -> int:
+    hour, minute = clock.split(":")
+    return int(hour) * 60 + int(minute)
+
+
+def in_time_window(ts: Column, active_days: list[str] | None = None, outside_hours: tuple[str, str] | None = None, timezone: str = "UTC") -> Column:
+    """Whether ``ts`` (UTC) is on one of the named days (of UTC) and outside the hours of the zone, ends belonging to them."""
+    out = F.lit(True)
+    if active_days:
+        out = out & F.lower(F.date_format(ts, "EEEE")).isin(*[d.lower() for d in active_days])
+    if outside_hours:
+        local = F.from_utc_timestamp(ts, timezone)
+        out = out & ~(F.hour(local) * 60 + F.minute(local)).between(*map(_minutes, outside_hours))
+    return out
+
+
+def schedule_active(ts: Column, active_days: list[str] | None = None, start_date: str | None = None, end_date: str | None = None) -> Column:
+    """Whether a rule's schedule holds at ``ts``: named days, first and last date, all inclusive."""
+    out, day = in_time_window(ts, active_days), F.to_date(ts)
+    if start_date:
+        out = out & (day >= F.lit(start_date).cast("date"))
+    if end_date:
+        out = out & (day <= F.lit(end_date).cast("date"))
+    return out
+
+
+def rule_audit(hits: DataFrame) -> DataFrame:
+    """For each rule of ``hits`` (``transaction_id``, ``rule_id``, ``matched``): evaluations, matches, their share and the
+    transactions that matched."""
+    matched = F.col("matched")
+    n = F.count("*")
+    return hits.groupBy("rule_id").agg(n.alias("evaluated"), F.count(F.when(matched, 1)).alias("triggered"), F.round(F.count(F.when(matched, 1)) / n, 9).alias("trigger_rate"), F.count_distinct(F.when(matched, F.col("transaction_id"))).alias("transactions"))
+
+
+def last_audits(hits: DataFrame, key: str, n: int = 100) -> DataFrame:
+    """The ``n`` last matches of each value of ``key``, newest first (``place`` 1)."""
+    w = frames.Window.partitionBy(key).orderBy(F.col("us").desc(), F.col("transaction_id").desc(), F.col("rule_id"))
+    return hits.filter("matched").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+
+
+class RuleSet:
+    """Rules by id in order of priority; changed sets are new objects, so plans in use are not affected."""
+
+    def __init__(self, rules: tuple[dict[str, Any], ...]):
+        self.rules = rules
+
+    def get(self, rule_id: str) -> dict[str, Any] | None:
+        """The rule, or None."""
+        return next((r for r in self.rules if r["id"] == rule_id), None)
+
+    def put(self, rule: dict[str, Any]) -> RuleSet:
+        """With ``rule`` added, or in the place of the one with its id; by ``priority`` (100 if not given)."""
+        condition(rule["when"])  # raises on unknown operators
+        rules = [*(r for r in self.rules if r["id"] != rule["id"]), rule]
+        return RuleSet(tuple(sorted(rules, key=lambda r: r.get("priority", 100))))
+
+    def remove(self, rule_id: str) -> RuleSet:
+        """Without the rule."""
+        return RuleSet(tuple(r for r in self.rules if r["id"] != rule_id))
+
+    def enable(self, rule_id: str, on: bool = True) -> RuleSet:
+        """With the rule switched on or off."""
+        return RuleSet(tuple(r | {"enabled": on} if r["id"] == rule_id else r for r in self.rules))
+
+    @property
+    def active(self) -> tuple[dict[str, Any], ...]:
+        """The rules that are switched on."""
+        return tuple(r for r in self.rules if r.get("enabled", True))
+
+
 #: Business rules in order of priority: id, action and condition.
 BUSINESS_RULES: tuple[dict[str, Any], ...] = (
     {"id": "BR-BLOCK", "action": "block", "severity": 3, "when": {"and": [{"field": "status", "operator": "equals", "value": "declined"}, {"field": "amount", "operator": "gt", "value": 95}]}},
@@ -69,36 +162,127 @@ def business_decision(txns: DataFrame, rules: tuple[dict[str, Any], ...] = BUSIN
     return rows.select("transaction_id", F.array_join(F.transform("hits", lambda x: x["id"]), ",").alias("triggered"), F.when(rank == 2, "block").when(rank == 1, "flag").otherwise("allow").alias("decision"), F.coalesce(F.array_max(F.transform("hits", lambda x: x["severity"])), F.lit(-1)).alias("severity"))
 
 
-#: Fraud rules: id -> (tier 0..3, confidence, category).
-FRAUD_RULES = {"AMT-001": (2, 0.8, "amount"), "AMT-002": (1, 0.6, "amount"), "VEL-001": (2, 0.75, "velocity"), "VEL-002": (3, 0.85, "velocity"), "GEO-001": (3, 0.9, "geo"), "GEO-003": (2, 0.7, "geo"), "PAT-001": (1, 0.65, "pattern"), "PAT-004": (2, 0.7, "pattern"), "PAT-005": (1, 0.6, "pattern"), "TMP-001": (1, 0.5, "time"), "TMP-002": (1, 0.55, "time")}
+#: Fraud rules: id -> (tier 0..3 for low to critical, confidence, category): fixed values.
+FRAUD_RULES = {
+    "AMT-001": (2, 0.75, "amount"),
+    "AMT-002": (3, 0.85, "amount"),
+    "AMT-003": (1, 0.55, "amount"),
+    "VEL-001": (2, 0.80, "velocity"),
+    "VEL-002": (2, 0.85, "velocity"),
+    "VEL-003": (1, 0.60, "velocity"),
+    "GEO-001": (3, 0.90, "geo"),
+    "GEO-002": (2, 0.70, "geo"),
+    "GEO-003": (2, 0.65, "geo"),
+    "PAT-001": (2, 0.75, "pattern"),
+    "PAT-002": (1, 0.55, "pattern"),
+    "PAT-003": (3, 0.90, "pattern"),
+    "PAT-004": (2, 0.80, "pattern"),
+    "PAT-005": (0, 0.45, "pattern"),
+    "TMP-001": (1, 0.60, "temporal"),
+    "TMP-002": (2, 0.70, "temporal"),
+    "TMP-003": (1, 0.65, "temporal"),
+}
+#: Parameters of the fraud rules: fixed values, each may be given anew.
+FRAUD_PARAMETERS: dict[str, Any] = {
+    "multiplier": 3.0,
+    "min_history": 5,
+    "fallback_average": 500.0,
+    "report_from": 9000.0,
+    "report_below": 10000.0,
+    "round_from": 5000.0,
+    "round_by": 1000,
+    "rapid_count": 5,
+    "rapid_minutes": 10,
+    "min_declines": 3,
+    "decline_minutes": 30,
+    "rising_count": 3,
+    "rising_factor": 2.0,
+    "rising_minutes": 60,
+    "max_mph": 500,
+    "min_miles": 100,
+    "min_domestic": 10,
+    "high_risk_countries": ("NG", "RU", "UA", "VN", "PH", "ID", "BR", "KP", "IR", "SY"),
+    "new_device_amount": 1000.0,
+    "new_device_days": 1,
+    "category_history": 10,
+    "max_category_share": 0.05,
+    "small_amount": 5.0,
+    "small_count": 3,
+    "large_amount": 500.0,
+    "testing_minutes": 30,
+    "max_accounts": 2,
+    "channel_history": 10,
+    "night_from": 0,
+    "night_until": 5,
+    "night_amount": 2000.0,
+    "dormant_days": 90,
+    "silence_hours": 48,
+    "burst_count": 5,
+    "burst_minutes": 30,
+}
+
 
+def fraud_matches(txns: DataFrame, **parameters: Any) -> DataFrame:
+    """A boolean column for each fraud rule, from frames over the customer's (and the device's) transactions.
 
-def fraud_matches(txns: DataFrame) -> DataFrame:
-    """A boolean column for each fraud rule, from frames over the customer's (and the device's) transactions."""
+    ``txns`` has the columns of the risk view; ``parameters`` replace those of ``FRAUD_PARAMETERS``. Frames around a row
+    hold the others within the given minutes on both sides. A missing value breaks no rule. Rows are shuffled by customer
+    and by device, once each; only the amounts of one hour are gathered."""
+    p = FRAUD_PARAMETERS | parameters
+    window = frames.Window
+    order = window.partitionBy("customer_id").orderBy("us", "transaction_id")
     prior = frames.prior("customer_id", "us", "transaction_id")
-    near, half = frames.around("customer_id", "us", 600), frames.around("customer_id", "us", 1800)
-    last = frames.Window.partitionBy("customer_id").orderBy("us", "transaction_id")
-    device = frames.Window.partitionBy("device_id").orderBy("us", "transaction_id").rowsBetween(frames.Window.unboundedPreceding, 0)
+    near = lambda minutes: frames.around("customer_id", "us", minutes * 60)
+    same = lambda column: window.partitionBy("customer_id", column).orderBy("us", "transaction_id").rowsBetween(window.unboundedPreceding, -1)
     amount = F.col("amount").cast("double")
-    n = F.count("*").over(prior)
-    mean = F.sum("amount").over(prior).cast("double") / n
-    rows = txns.withColumns({"n_prior": n, "mean_prior": F.when(n < 5, F.lit(50.0)).otherwise(mean), "around_10m": F.count("*").over(near) - 1, "declines_30m": F.count(F.when(F.col("status") == "declined", 1)).over(half), "last_us": F.lag("us").over(last), "last_lat": F.lag("lat").over(last), "last_lon": F.lag("lon").over(last), "channels": F.collect_set("channel").over(prior)})
-    rows = rows.withColumns({"device_since": F.min("us").over(device), "device_accounts": frames.distinct_count(F.col("account_id"), device)})
-    hours = (F.col("us") - F.col("last_us")) / 3.6e9
+    burst = p["burst_minutes"] * 60 * frames.SECOND
+    earlier = window.partitionBy("customer_id").orderBy("us").rangeBetween(window.unboundedPreceding, -burst - 1)
+    device = window.partitionBy("device_id").orderBy("us", "transaction_id")
+    so_far = device.rowsBetween(window.unboundedPreceding, 0)
+    abroad = F.col("country") != "US"
+    small = F.count(F.when(amount <= p["small_amount"], 1)).over(near(p["testing_minutes"]))
+    rows = txns.repartition("customer_id").withColumns({
+        "n_prior": F.count("*").over(prior),
+        "sum_prior": F.sum("amount").over(prior).cast("double"),
+        "abroad_prior": F.count(F.when(abroad, 1)).over(prior),
+        "rapid": F.count("*").over(near(p["rapid_minutes"])) - 1,
+        "declines": F.count(F.when(F.col("status") == "declined", 1)).over(near(p["decline_minutes"])) - (F.col("status") == "declined").cast("int"),
+        "hour_amounts": F.sort_array(F.collect_list(amount).over(near(p["rising_minutes"]))),
+        "small": small - (amount <= p["small_amount"]).cast("int"),
+        "in_burst": F.count("*").over(near(p["burst_minutes"])) - 1,
+        "before_burst": F.max("us").over(earlier),
+        "last_us": F.lag("us").over(order),
+        "last_lat": F.lag("lat").over(order),
+        "last_lon": F.lag("lon").over(order),
+        "same_channel": F.count("*").over(same("channel")),
+        "same_mcc": F.count("*").over(same("mcc")),
+    }).withColumn("idle", (F.col("us") - F.col("last_us")) / frames.SECOND)
+    first_use = F.row_number().over(window.partitionBy("device_id", "account_id").orderBy("us", "transaction_id")) == 1
+    rows = rows.repartition("device_id").withColumn("first_use", first_use).withColumns({"device_since": F.min("us").over(so_far), "device_accounts": F.count(F.when(F.col("first_use"), 1)).over(so_far)})
+    hours = F.col("idle") / 3600
     distance = miles(F.col("last_lat"), F.col("last_lon"), F.col("lat"), F.col("lon"))
     there = (F.col("lat") != 0) & (F.col("lon") != 0) & (F.col("last_lat") != 0) & (F.col("last_lon") != 0)
+    top = F.slice("hour_amounts", -p["rising_count"], p["rising_count"])
+    rising = F.forall(F.sequence(F.lit(1), F.lit(p["rising_count"] - 1)), lambda i: F.get(top, i) >= F.get(top, i - 1) * p["rising_factor"])
+    silent = F.when(F.col("before_burst").isNotNull(), (F.col("us") - F.col("before_burst") - burst) / frames.SECOND).otherwise(F.col("idle"))
     matches = {
-        "AMT-001": amount > 1.5 * F.col("mean_prior"),
-        "AMT-002": (amount >= 90) & (amount < 100),
-        "VEL-001": F.col("around_10m") >= 5,
-        "VEL-002": (F.col("status") == "approved") & (F.col("declines_30m") >= 3),
-        "GEO-001": there & (distance >= 100) & (hours > 0) & (distance > 500 * hours),
-        "GEO-003": F.col("country").isin("NG"),
-        "PAT-001": (F.col("us") - F.col("device_since") <= 86_400 * frames.SECOND) & (amount >= 95),
-        "PAT-004": F.col("device_accounts") > 2,
-        "PAT-005": (F.col("n_prior") >= 10) & ~F.array_contains("channels", F.col("channel")),
-        "TMP-001": (F.hour("ts") < 5) & (amount >= 80),
-        "TMP-002": (F.col("us") - F.col("last_us")) / 8.64e10 >= 0.5,
+        "AMT-001": amount > p["multiplier"] * F.when(F.col("n_prior") < p["min_history"], F.lit(p["fallback_average"])).otherwise(F.try_divide("sum_prior", "n_prior")),
+        "AMT-002": (amount >= p["report_from"]) & (amount < p["report_below"]),
+        "AMT-003": (amount >= p["round_from"]) & (amount % p["round_by"] == 0),
+        "VEL-001": F.col("rapid") >= p["rapid_count"],
+        "VEL-002": (F.col("status") == "approved") & (F.col("declines") >= p["min_declines"]),
+        "VEL-003": F.when(F.size("hour_amounts") >= p["rising_count"], (F.get(top, F.lit(0)) > 0) & rising),
+        "GEO-001": there & (distance >= p["min_miles"]) & (hours > 0) & (distance > p["max_mph"] * hours),
+        "GEO-002": abroad & (F.col("abroad_prior") == 0) & (F.col("n_prior") >= p["min_domestic"]),
+        "GEO-003": F.col("country").isin(*p["high_risk_countries"]),
+        "PAT-001": (F.col("us") - F.col("device_since") <= p["new_device_days"] * 86_400 * frames.SECOND) & (amount >= p["new_device_amount"]),
+        "PAT-002": (F.col("n_prior") >= p["category_history"]) & (F.col("same_mcc") <= p["max_category_share"] * F.col("n_prior")),
+        "PAT-003": (amount >= p["large_amount"]) & (F.col("small") >= p["small_count"]),
+        "PAT-004": F.col("device_accounts") > p["max_accounts"],
+        "PAT-005": (F.col("n_prior") >= p["channel_history"]) & (F.col("same_channel") == 0),
+        "TMP-001": F.expr("us div 3600000000 % 24").between(p["night_from"], p["night_until"] - 1) & (amount >= p["night_amount"]),
+        "TMP-002": F.col("idle") >= p["dormant_days"] * 86_400,
+        "TMP-003": (F.col("in_burst") >= p["burst_count"] - 1) & (silent >= p["silence_hours"] * 3600),
     }
     return rows.select("transaction_id", "amount", *[F.coalesce(m, F.lit(False)).alias(k) for k, m in matches.items()])
 

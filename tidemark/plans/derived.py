@@ -65,10 +65,8 @@ def agg_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM numbered a LEFT JOIN numbered b ON a.customer_id = b.customer_id AND b.rn < a.rn GROUP BY a.transaction_id""")
 def win_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a customer's earlier amounts that are no larger."""
-    w = frames.prior("customer_id", "us", "transaction_id")
-    rows = view(spark, sf_dir, "txn").withColumn("earlier", F.collect_list("amount").over(w))
-    below = F.size(F.filter("earlier", lambda x: x <= F.col("amount")))
-    return rows.select("transaction_id", F.round(F.coalesce(F.try_divide(below.cast("double"), F.size("earlier")), F.lit(0.5)), 9).alias("pct"))
+    rows = frames.share_not_above(view(spark, sf_dir, "txn"), "customer_id", "amount", "us", "transaction_id")
+    return rows.select("transaction_id", F.round(F.coalesce("share", F.lit(0.5)), 9).alias("pct"))
 
 
 @query("win_13_device_history", """
@@ -95,13 +93,17 @@ def jn_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("transaction_id", F.round("d", 4).alias("miles"), F.when(F.col("hours") >= 0.001, F.round(F.col("d") / F.col("hours"), 3)).alias("mph"))
 
 
-@query("fn_m05_breaches", f"""
-    WITH v AS (SELECT transaction_id, COUNT(*) OVER ({_H.format(60000000)}) AS n_1m, COUNT(*) OVER ({_H.format(300000000)}) AS n_5m, COUNT(*) OVER ({_H.format(3600000000)}) AS n_1h, COUNT(*) OVER ({_H.format(86400000000)}) AS n_24h, SUM(amount) OVER ({_H.format(3600000000)}) AS sum_1h, SUM(amount) OVER ({_H.format(86400000000)}) AS sum_24h FROM txn)
-    SELECT transaction_id, """ + " + ".join(f"CASE WHEN {m} > {w} THEN 1 ELSE 0 END" for m, (w, c) in risk.BREACHES.items()) + " AS n_breaches, " + " + ".join(f"CASE WHEN {m} > {c} THEN 1 ELSE 0 END" for m, (w, c) in risk.BREACHES.items()) + " AS n_critical FROM v")
+_LEVELS = {"n_1m": (3, 5), "n_5m": (8, 15), "n_1h": (20, 50), "n_24h": (100, 200), "sum_1m": (1000, 5000), "sum_5m": (3000, 10000), "sum_1h": (10000, 50000), "sum_24h": (50000, 100000), "merchants_1h": (5, 10), "merchants_24h": (15, 30)}
+_R = "PARTITION BY customer_id ORDER BY us RANGE BETWEEN {} PRECEDING AND CURRENT ROW"
+_SPANS = {"1m": 60000000, "5m": 300000000, "1h": 3600000000, "24h": 86400000000}
+
+
+@query("fn_m05_breaches", "WITH v AS (SELECT transaction_id, " + ", ".join(f"COUNT(*) OVER ({_R.format(us)}) AS n_{n}, SUM(amount) OVER ({_R.format(us)}) AS sum_{n}" for n, us in _SPANS.items()) + f", COUNT(DISTINCT merchant_id) OVER ({_R.format(3600000000)}) AS merchants_1h, COUNT(DISTINCT merchant_id) OVER ({_R.format(86400000000)}) AS merchants_24h FROM risk_txn), b AS (SELECT transaction_id, " + " + ".join(f"CASE WHEN {m} >= {c} THEN 1 ELSE 0 END" for m, (w, c) in _LEVELS.items()) + " AS n_critical, " + " + ".join(f"CASE WHEN {m} >= {w} AND {m} < {c} THEN 1 ELSE 0 END" for m, (w, c) in _LEVELS.items()) + " AS n_warning FROM v) SELECT transaction_id, n_critical, n_warning, ROUND(LEAST(1e0, 0.3e0 * n_critical + 0.1e0 * n_warning), 6) AS risk FROM b")
 def fn_m05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Velocity thresholds passed by each transaction."""
-    rows = frames.velocity(view(spark, sf_dir, "txn")).select("transaction_id", risk.breaches().alias("b"))
-    return rows.select("transaction_id", F.size("b").alias("n_breaches"), F.size(F.filter("b", lambda x: x["level"] == "critical")).alias("n_critical"))
+    """Velocity thresholds reached by each transaction, and the risk that they give."""
+    rows = frames.velocity(view(spark, sf_dir, "risk_txn")).select("transaction_id", risk.breaches().alias("b"))
+    of = lambda level: F.size(F.filter("b", lambda x: x["level"] == level))
+    return rows.select("transaction_id", of("critical").alias("n_critical"), of("warning").alias("n_warning"), F.round(risk.breach_risk(F.col("b")), 6).alias("risk"))
 
 
 def _grade(x: str, cuts: tuple[float, float, float]) -> str:
@@ -134,38 +136,49 @@ def br_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.business_decision(view(spark, sf_dir, "txn"))
 
 
+_NEAR = "PARTITION BY customer_id ORDER BY us RANGE BETWEEN {0} PRECEDING AND {0} FOLLOWING"
 _MATCHES = f"""
-    WITH f AS (SELECT t.*, COUNT(*) OVER p AS n_prior, CAST(SUM(amount) OVER p AS DOUBLE) AS sum_prior, COUNT(*) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 600000000 PRECEDING AND 600000000 FOLLOWING) - 1 AS around_10m,
-                 COUNT(CASE WHEN status = 'declined' THEN 1 END) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND 1800000000 FOLLOWING) AS declines_30m, LAG(us) OVER o AS last_us, LAG(lat) OVER o AS lat0, LAG(lon) OVER o AS lon0,
-                 COUNT(CASE WHEN channel = 'online' THEN 1 END) OVER p AS c_online, COUNT(CASE WHEN channel = 'mobile' THEN 1 END) OVER p AS c_mobile, COUNT(CASE WHEN channel = 'pos' THEN 1 END) OVER p AS c_pos, COUNT(CASE WHEN channel = 'atm' THEN 1 END) OVER p AS c_atm, MIN(us) OVER d AS device_since, COUNT(DISTINCT account_id) OVER d AS device_accounts
-               FROM txn t WINDOW p AS (PARTITION BY customer_id ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), o AS (PARTITION BY customer_id ORDER BY us, transaction_id), d AS (PARTITION BY device_id ORDER BY us, transaction_id ROWS UNBOUNDED PRECEDING)),
-    g AS (SELECT f.*, (us - last_us) / 3.6e9 AS hours, POWER(SIN(RADIANS(lat - lat0) / 2), 2) + COS(RADIANS(lat0)) * COS(RADIANS(lat)) * POWER(SIN(RADIANS(lon - lon0) / 2), 2) AS a FROM f),
-    matches AS (SELECT transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(amount AS DOUBLE) > 1.5e0 * CASE WHEN n_prior < 5 THEN 50e0 ELSE sum_prior / n_prior END AS amt1, amount >= 90 AND amount < 100 AS amt2, around_10m >= 5 AS vel1, status = 'approved' AND declines_30m >= 3 AS vel2,
-                  COALESCE(lat <> 0 AND lon <> 0 AND lat0 <> 0 AND lon0 <> 0 AND {_MILES} >= 100 AND hours > 0 AND {_MILES} > 500 * hours, FALSE) AS geo1, country = 'NG' AS geo3, us - device_since <= 86400000000 AND amount >= 95 AS pat1, device_accounts > 2 AS pat4,
-                  n_prior >= 10 AND CASE channel WHEN 'online' THEN c_online WHEN 'mobile' THEN c_mobile WHEN 'pos' THEN c_pos ELSE c_atm END = 0 AS pat5, EXTRACT(HOUR FROM ts) < 5 AND amount >= 80 AS tmp1, COALESCE((us - last_us) / 8.64e10 >= 0.5, FALSE) AS tmp2 FROM g)
+    WITH first_uses AS (SELECT device_id, account_id, MIN(us) AS since FROM risk_txn GROUP BY device_id, account_id),
+    f AS (SELECT t.*, COUNT(*) OVER p AS n_prior, CAST(SUM(amount) OVER p AS DOUBLE) AS sum_prior, COUNT(CASE WHEN country <> 'US' THEN 1 END) OVER p AS abroad_prior,
+                 COUNT(*) OVER ({_NEAR.format(600000000)}) - 1 AS rapid, COUNT(CASE WHEN status = 'declined' THEN 1 END) OVER ({_NEAR.format(1800000000)}) AS declines,
+                 list_sort(list(CAST(amount AS DOUBLE)) OVER ({_NEAR.format(3600000000)})) AS amounts, COUNT(CASE WHEN amount <= 5 THEN 1 END) OVER ({_NEAR.format(1800000000)}) AS small, COUNT(*) OVER ({_NEAR.format(1800000000)}) - 1 AS in_burst,
+                 MAX(us) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1800000001 PRECEDING) AS before_burst,
+                 LAG(us) OVER o AS last_us, LAG(lat) OVER o AS lat0, LAG(lon) OVER o AS lon0, COUNT(CASE WHEN channel = 'online' THEN 1 END) OVER p AS c_online, COUNT(CASE WHEN channel = 'mobile' THEN 1 END) OVER p AS c_mobile, COUNT(CASE WHEN channel = 'pos' THEN 1 END) OVER p AS c_pos, COUNT(CASE WHEN channel = 'atm' THEN 1 END) OVER p AS c_atm,
+                 COUNT(*) OVER (PARTITION BY customer_id, mcc ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same_mcc,
+                 MIN(us) OVER d AS device_since, COUNT(DISTINCT account_id) OVER d AS device_accounts
+               FROM risk_txn t WINDOW p AS (PARTITION BY customer_id ORDER BY us, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), o AS (PARTITION BY customer_id ORDER BY us, transaction_id), d AS (PARTITION BY device_id ORDER BY us, transaction_id ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT f.*, amounts[-3:] AS top, (us - last_us) / 3.6e9 AS hours, POWER(SIN(RADIANS(lat - lat0) / 2), 2) + COS(RADIANS(lat0)) * COS(RADIANS(lat)) * POWER(SIN(RADIANS(lon - lon0) / 2), 2) AS a FROM f),
+    matches AS (SELECT transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(amount AS DOUBLE) > 3e0 * CASE WHEN n_prior < 5 THEN 500e0 ELSE sum_prior / n_prior END AS amt1, amount >= 9000 AND amount < 10000 AS amt2, amount >= 5000 AND amount % 1000 = 0 AS amt3,
+                  rapid >= 5 AS vel1, status = 'approved' AND declines >= 3 AS vel2, len(amounts) >= 3 AND top[1] > 0 AND top[2] >= 2 * top[1] AND top[3] >= 2 * top[2] AS vel3,
+                  COALESCE(lat <> 0 AND lon <> 0 AND lat0 <> 0 AND lon0 <> 0 AND {_MILES} >= 100 AND hours > 0 AND {_MILES} > 500 * hours, FALSE) AS geo1, country <> 'US' AND abroad_prior = 0 AND n_prior >= 10 AS geo2, country IN ('NG', 'RU', 'UA', 'VN', 'PH', 'ID', 'BR', 'KP', 'IR', 'SY') AS geo3,
+                  us - device_since <= 86400000000 AND amount >= 1000 AS pat1, n_prior >= 10 AND same_mcc <= 0.05e0 * n_prior AS pat2, amount >= 500 AND small >= 3 AS pat3, device_accounts > 2 AS pat4,
+                  n_prior >= 10 AND CASE channel WHEN 'online' THEN c_online WHEN 'mobile' THEN c_mobile WHEN 'pos' THEN c_pos ELSE c_atm END = 0 AS pat5, us // 3600000000 % 24 < 5 AND amount >= 2000 AS tmp1, COALESCE(us - last_us >= 7776000000000, FALSE) AS tmp2,
+                  in_burst >= 4 AND COALESCE(CASE WHEN before_burst IS NOT NULL THEN us - before_burst - 1800000000 ELSE us - last_us END >= 172800000000, FALSE) AS tmp3 FROM g)
 """
-_SHORT = {"amt1": "AMT-001", "amt2": "AMT-002", "vel1": "VEL-001", "vel2": "VEL-002", "geo1": "GEO-001", "geo3": "GEO-003", "pat1": "PAT-001", "pat4": "PAT-004", "pat5": "PAT-005", "tmp1": "TMP-001", "tmp2": "TMP-002"}
+#: Short name -> rule, tier, confidence, category; tiers 0 to 3 are low to critical.
+_CONFIG = {
+    "amt1": ("AMT-001", 2, 0.75, "amount"), "amt2": ("AMT-002", 3, 0.85, "amount"), "amt3": ("AMT-003", 1, 0.55, "amount"), "vel1": ("VEL-001", 2, 0.80, "velocity"), "vel2": ("VEL-002", 2, 0.85, "velocity"), "vel3": ("VEL-003", 1, 0.60, "velocity"),
+    "geo1": ("GEO-001", 3, 0.90, "geo"), "geo2": ("GEO-002", 2, 0.70, "geo"), "geo3": ("GEO-003", 2, 0.65, "geo"), "pat1": ("PAT-001", 2, 0.75, "pattern"), "pat2": ("PAT-002", 1, 0.55, "pattern"), "pat3": ("PAT-003", 3, 0.90, "pattern"), "pat4": ("PAT-004", 2, 0.80, "pattern"), "pat5": ("PAT-005", 0, 0.45, "pattern"),
+    "tmp1": ("TMP-001", 1, 0.60, "temporal"), "tmp2": ("TMP-002", 2, 0.70, "temporal"), "tmp3": ("TMP-003", 1, 0.65, "temporal"),
+}
+_SHORT = {s: v[0] for s, v in _CONFIG.items()}
 
 
 @query("fr_rules", _MATCHES + "SELECT transaction_id, " + ", ".join(_SHORT) + " FROM matches")
 def fr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fraud rules matched by each transaction."""
-    return rules.fraud_matches(view(spark, sf_dir, "txn")).select("transaction_id", *[F.col(f"`{long}`").alias(short) for short, long in _SHORT.items()])
-
+    return rules.fraud_matches(view(spark, sf_dir, "risk_txn")).select("transaction_id", *[F.col(f"`{long}`").alias(short) for short, long in _SHORT.items()])
 
-def _sum(of: str, k: int) -> str:
-    return " + ".join(f"CASE WHEN {s} THEN {rules.FRAUD_RULES[r][k] if k >= 0 else 1} ELSE 0 END" for s, r in _SHORT.items())
 
+_KINDS = {c: " OR ".join(s for s, v in _CONFIG.items() if v[3] == c) for c in sorted({v[3] for v in _CONFIG.values()})}
 
-_KINDS = {c: " OR ".join(s for s, r in _SHORT.items() if rules.FRAUD_RULES[r][2] == c) for c in sorted({v[2] for v in rules.FRAUD_RULES.values()})}
 
-
-@query("fr_agg_score", _MATCHES + ", one AS (SELECT transaction_id, " + _sum("", -1) + " AS n_rules, GREATEST(" + ", ".join(f"CASE WHEN {s} THEN {rules.FRAUD_RULES[r][0]} ELSE -1 END" for s, r in _SHORT.items()) + ") AS tier, ROUND(1 - " + " * ".join(f"CASE WHEN {s} THEN 1 - {rules.FRAUD_RULES[r][1]}e0 ELSE 1e0 END" for s, r in _SHORT.items()) + ", 4) AS confidence, " + " + ".join(f"CASE WHEN {x} THEN 1 ELSE 0 END" for x in _KINDS.values()) + """ AS kinds FROM matches),
+@query("fr_agg_score", _MATCHES + ", one AS (SELECT transaction_id, " + " + ".join(f"CASE WHEN {s} THEN 1 ELSE 0 END" for s in _CONFIG) + " AS n_rules, GREATEST(" + ", ".join(f"CASE WHEN {s} THEN {v[1]} ELSE -1 END" for s, v in _CONFIG.items()) + ") AS tier, ROUND(1 - " + " * ".join(f"CASE WHEN {s} THEN 1 - {v[2]}e0 ELSE 1e0 END" for s, v in _CONFIG.items()) + ", 4) AS confidence, " + " + ".join(f"CASE WHEN {x} THEN 1 ELSE 0 END" for x in _KINDS.values()) + """ AS kinds FROM matches),
     two AS (SELECT transaction_id, n_rules, CASE WHEN n_rules > 0 THEN LEAST(3, tier + (n_rules - 1) // 2) ELSE -1 END AS severity, confidence, kinds FROM one)
     SELECT transaction_id, n_rules, severity, confidence, CASE WHEN n_rules > 0 THEN ROUND(0.5e0 * confidence + 0.3e0 * severity / 3 + 0.2e0 * LEAST(kinds / 5e0, 1e0), 6) ELSE 0 END AS score FROM two""")
 def fr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity, confidence and score from the matched rules."""
-    return rules.fraud_score(rules.fraud_matches(view(spark, sf_dir, "txn")))
+    return rules.fraud_score(rules.fraud_matches(view(spark, sf_dir, "risk_txn")))
 
 
 def _rule_counts(short: str, long: str) -> str:
@@ -176,7 +189,7 @@ def _rule_counts(short: str, long: str) -> str:
 def fr_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each rule against labels."""
     labels = view(spark, sf_dir, "latest_score").select("transaction_id", (F.col("score") >= 0.9).alias("is_fraud"))
-    return rules.backtest(rules.fraud_matches(view(spark, sf_dir, "txn")), labels)
+    return rules.backtest(rules.fraud_matches(view(spark, sf_dir, "risk_txn")), labels)
 
 
 @query("fn_s_cleaning", r"""
@@ -194,7 +207,7 @@ def fn_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "txn").select("transaction_id", F.hour("ts").alias("hour"), F.weekday("ts").alias("weekday"), (F.weekday("ts") >= 5).alias("weekend"), (F.hour("ts") * 60 + F.minute("ts")).alias("minutes"), F.quarter("ts").alias("quarter"), F.weekofyear("ts").alias("week"))
 
 
-@query("fn_h01_sticky_split")
+@query("fn_h01_sticky_split", "SELECT customer_id, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256('test:' || CAST(customer_id AS VARCHAR)), ''), lambda c: CAST(instr('0123456789abcdef', c) - 1 AS BIGINT))), lambda a, d: (a * 16 + d) % 10000) AS BIGINT) AS place FROM (SELECT DISTINCT customer_id FROM txn) c")
 def fn_h01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sticky A/B places of customers."""
     return view(spark, sf_dir, "txn").select("customer_id").distinct().select("customer_id", text.bucket_of(F.lit("test"), F.col("customer_id").cast("string")).alias("place"))
@@ -246,7 +259,17 @@ def src_17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.date_dimension(spark)
 
 
-@query("win_18_alert_gate")
+_GATE = """
+    WITH RECURSIVE steps AS (SELECT alert_id, account_id, created_us AS us, COALESCE(rule_id, 'none') || '|' || severity AS key, ROW_NUMBER() OVER (PARTITION BY account_id ORDER BY created_us, alert_id) AS n FROM alert),
+    walk AS (SELECT 0::BIGINT AS n, account_id, NULL::BIGINT AS alert_id, NULL::VARCHAR AS verdict, []::STRUCT(us BIGINT, key VARCHAR)[] AS sent FROM (SELECT DISTINCT account_id FROM steps) a
+      UNION ALL
+      SELECT s.n, s.account_id, s.alert_id, CASE WHEN dup THEN 'duplicate' WHEN full_ THEN 'throttled' ELSE 'sent' END, CASE WHEN dup OR full_ THEN w.sent ELSE list_append(w.sent, {'us': s.us, 'key': s.key}) END
+      FROM walk w JOIN steps s ON s.account_id = w.account_id AND s.n = w.n + 1,
+        LATERAL (SELECT len(list_filter(w.sent, lambda x: x.key = s.key AND s.us - x.us < 3600000000)) > 0 AS dup, len(list_filter(w.sent, lambda x: s.us - x.us < 3600000000)) >= 5 AS full_) t)
+    SELECT alert_id, account_id, verdict FROM walk WHERE n > 0"""
+
+
+@query("win_18_alert_gate", _GATE)
 def win_18(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the sequential alert gate."""
     return alerts.gate(view(spark, sf_dir, "alert"))
@@ -303,8 +326,8 @@ def agg_53(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "txn").groupBy(F.col("transaction_type").alias("stage")).agg(F.count("*").alias("n"), F.count(F.when(F.col("status") == "declined", 1)).alias("failed"), (ok / F.count("*")).alias("success_rate"), F.min(amount).alias("least"), F.max(amount).alias("most"), (F.sum("amount").cast("double") / F.count("*")).alias("mean"))
 
 
-@query("st_07_transitions", "SELECT alert_id, status IN ('new', 'escalated') AS may_investigate, status = 'resolved' OR status = 'false_positive' AS may_close FROM alert")
+@query("st_07_transitions", "SELECT alert_id, status = 'open' AS may_investigate, status IN ('open', 'investigating') AS may_resolve, status = 'investigating' AS may_reopen FROM alert")
 def st_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moves that each alert's state allows."""
-    rows = view(spark, sf_dir, "alert").select("alert_id", F.col("status").alias("from_status"), F.lit("investigating").alias("a"), F.lit("closed").alias("b"))
-    return rows.select("alert_id", alerts.allowed(to="a").alias("may_investigate"), alerts.allowed(to="b").alias("may_close"))
+    rows = view(spark, sf_dir, "alert").select("alert_id", F.col("status").alias("from_status"), F.lit("investigating").alias("a"), F.lit("resolved").alias("b"), F.lit("open").alias("c"))
+    return rows.select("alert_id", alerts.allowed(to="a").alias("may_investigate"), alerts.allowed(to="b").alias("may_resolve"), alerts.allowed(to="c").alias("may_reopen"))

@@ -29,6 +29,15 @@ VIEWS: dict[str, str] = {
                CAST((event_id * 7919) % 17000 AS DOUBLE) / 100 - 85 AS lat, CAST((event_id * 104729) % 35000 AS DOUBLE) / 100 - 175 AS lon,
                @k{} AS k
         FROM events""",
+    "risk_txn": """
+        SELECT transaction_id, customer_id, account_id, status, channel, transaction_type, merchant_id, device_id, lat, lon, k,
+               CASE WHEN customer_id % 3 = 0 AND transaction_id % 29 <> 0 THEN 'US' ELSE country END AS country,
+               CASE WHEN transaction_id % 23 = 0 THEN '7995' ELSE CAST(5000 + merchant_id % 12 * 50 AS VARCHAR(9)) END AS mcc,
+               CAST(CASE WHEN transaction_id % 13 = 0 THEN 1000 * (transaction_id % 12) WHEN transaction_id % 7 < 2 THEN amount / 20 WHEN transaction_id % 11 = 0 THEN 9000 + amount * 10 ELSE amount * 100 END AS DECIMAL(15,2)) AS amount,
+               CASE WHEN customer_id % 10 = 0 AND us >= 1705276800000000 THEN us + 8640000000000
+                    WHEN customer_id % 10 IN (1, 2) THEN us - us % 345600000000 + @div{us % 345600000000||,||288}
+                    ELSE us END AS us
+        FROM txn""",
     "txn_score": """
         SELECT transaction_id, CAST((transaction_id * 37) % 1000 AS DOUBLE) / 1000 AS score, us + 1000000 AS scored_us,
                CASE WHEN transaction_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS model_version, CAST((transaction_id * 53) % 400 AS DOUBLE) / 2 AS latency_ms
@@ -43,7 +52,7 @@ VIEWS: dict[str, str] = {
     "alert": """
         SELECT t.transaction_id AS alert_id, t.transaction_id, t.account_id, t.customer_id, t.us AS created_us, t.ts AS created_at, s.score,
                CASE WHEN s.score >= 0.95 THEN 'critical' WHEN s.score >= 0.9 THEN 'high' WHEN s.score >= 0.85 THEN 'medium' ELSE 'low' END AS severity,
-               CASE t.transaction_id % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'investigating' WHEN 2 THEN 'resolved' WHEN 3 THEN 'false_positive' ELSE 'escalated' END AS status,
+               CASE t.transaction_id % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'investigating' WHEN 2 THEN 'resolved' WHEN 3 THEN 'false_positive' ELSE 'open' END AS status,
                CASE WHEN t.transaction_id % 5 IN (2, 3) THEN t.us + (t.transaction_id % 96) * 3600000000 END AS resolved_us,
                CASE WHEN t.transaction_id % 7 = 0 THEN NULL ELSE 'analyst' || CAST(t.transaction_id % 6 AS VARCHAR(9)) END AS assigned_to,
                CASE WHEN t.transaction_id % 4 = 0 THEN NULL ELSE 'rule' || CAST(t.transaction_id % 13 AS VARCHAR(9)) END AS rule_id
@@ -125,6 +134,8 @@ def with_views(text: str, dialect: str) -> str:
     text = rendered(text, dialect).strip()
     if not views:
         return text
+    if text[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {views},\n{text[15:]}"
     return f"WITH {views},\n{text[5:]}" if text[:5].upper() == "WITH " else f"WITH {views}\n{text}"
 
 

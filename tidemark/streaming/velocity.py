@@ -29,27 +29,36 @@ def sliding(stream: DataFrame, span: str = "1 hour", slide: str = "5 minutes", l
 
 
 def keyed_velocity(stream: DataFrame, seconds: int = 3600, late: str = "5 minutes") -> DataFrame:
-    """For each transaction, its customer's count and sum over the last ``seconds``, itself included.
+    """For each transaction, its customer's count and sum over the ``seconds`` before it, itself included.
 
-    A customer's state is the times and amounts within the span behind its newest transaction; it ends once the
-    watermark has passed the span, so it is bounded by the traffic of one span."""
-    span = pd.Timedelta(seconds=seconds)
+    Rows that come late see only what happened before them, and rows that came before them are not told again. A
+    customer's state is the times and amounts within the span and the delay behind its newest transaction; it ends once
+    the watermark has passed the span, so it is bounded by the traffic of that time."""
+    span = seconds * 1_000_000
 
     def update(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         times, amounts = state.get if state.exists else ([], [])
-        held = list(zip(times, amounts, strict=True))
         new = pd.concat(list(frames)).sort_values(["ts", "transaction_id"])
-        out = []
-        for row in new.itertuples():
-            us = row.ts.value // 1000
-            held = [(t, a) for t, a in held if us - t <= seconds * 1_000_000]
-            held.append((us, row.amount))
-            out.append((row.transaction_id, key[0], len(held), sum(a for _, a in held)))
-        state.update(([t for t, _ in held], [a for _, a in held]))
-        state.setTimeoutTimestamp(int(new["ts"].max().value // 1_000_000 + span.total_seconds() * 1000))
+        at = [x.value // 1000 for x in new["ts"]]
+        # all rows in time order; of equal times, those held and those that came first in order
+        held = sorted([(t, 0, i, a, None) for i, (t, a) in enumerate(zip(times, amounts, strict=True))] + [(t, 1, i, a, x) for i, (t, a, x) in enumerate(zip(at, new["amount"], new["transaction_id"], strict=True))], key=lambda r: r[:3])
+        out, start, total = [], 0, 0.0
+        for n, (t, _, _, amount, transaction) in enumerate(held):
+            total += amount
+            while t - held[start][0] > span:
+                total -= held[start][3]
+                start += 1
+            if transaction is not None:
+                out.append((transaction, key[0], n + 1 - start, total))
+        newest = held[-1][0]
+        # rows that come late, but before the watermark, may still look back from before the newest
+        kept = [(r[0], r[3]) for r in held if r[0] >= newest - span - delay]
+        state.update(([t for t, _ in kept], [a for _, a in kept]))
+        state.setTimeoutTimestamp(max((newest + span) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["transaction_id", "customer_id", "n", "total"])
 
+    delay = int(pd.Timedelta(late).total_seconds() * 1_000_000)
     return stream.withWatermark("ts", late).groupBy("customer_id").applyInPandasWithState(update, "transaction_id long, customer_id long, n long, total double", "times array<long>, amounts array<double>", "append", GroupStateTimeout.EventTimeTimeout)
