@@ -63,3 +63,74 @@ def transaction_rules(as_of: Column) -> dict[str, tuple[Column, str]]:
         "future": (F.col("us") > as_of + 300_000_000, "error"),
         "stale": (F.col("us") < as_of - 90 * 86_400_000_000, "error"),
     }
+
+
+def not_number(body: Column, path: str) -> Column:
+    """Whether a variant's entry is there and is no number; texts of digits and booleans are none."""
+    kind = F.schema_of_variant(F.try_variant_get(body, path, "variant"))
+    return ~kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|TINYINT|SMALLINT|INT)$")
+
+
+def not_boolean(body: Column, path: str) -> Column:
+    """Whether a variant's entry is there and is no boolean."""
+    return F.schema_of_variant(F.try_variant_get(body, path, "variant")) != "BOOLEAN"
+
+
+#: Addresses of version 4, and of version 6 with at most one run of zeros left out and perhaps version 4 at the end.
+_PART = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_V4 = rf"{_PART}(\.{_PART}){{3}}"
+
+
+def not_ip(c: Column) -> Column:
+    """Whether a text is no IP address of version 4 or 6."""
+    tail = rf"([0-9A-Fa-f]{{1,4}}|{_V4})"
+    group = "[0-9A-Fa-f]{1,4}"
+    words = F.regexp_replace(c, _V4 + "$", "0:0")  # as two groups
+    full = words.rlike(rf"^({group}:){{7}}{group}$")
+    short = words.rlike(rf"^(({group}:)*{group})?::(({group}:)*{group})?$") & (F.size(F.filter(F.split(words, ":"), lambda x: x != "")) <= 7)
+    return ~(c.rlike(rf"^{_V4}$") | (c.rlike(rf":{tail}?$|::$|:") & (full | short)))
+
+
+def not_iso(c: Column) -> Column:
+    """Whether a text is no ISO 8601 date or time: extended or basic, with or without an offset."""
+    day = r"(\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])|\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01]))"
+    clock = r"([01]\d|2[0-3])(:?[0-5]\d(:?[0-5]\d([.,]\d+)?)?)?(Z|[+-]([01]\d|2[0-3])(:?[0-5]\d){0,2})?"
+    return c.isNotNull() & ~(c.rlike(rf"^{day}(.{clock})?$") & F.try_to_date(F.regexp_replace(F.substring(c, 1, 10), r"^(\d{4})-?(\d\d)-?(\d\d).*$", "$1-$2-$3"), "yyyy-MM-dd").isNotNull())
+
+
+def coerced(rows: DataFrame, fields: dict[str, tuple[str, Any, tuple[Any, ...] | None]]) -> DataFrame:
+    """``fields`` cast to a type (null if they can't be), null where an enumeration lacks them, then given a default."""
+
+    def one(name: str) -> Column:
+        kind, default, allowed = fields[name]
+        c = F.col(name).try_cast(kind)
+        if allowed is not None:
+            c = F.when(c.isin(*allowed), c)
+        return c if default is None else F.coalesce(c, F.lit(default))
+
+    return rows.withColumns({name: one(name) for name in fields})
+
+
+def gated(rows: DataFrame, good: Column, minimum: float) -> DataFrame:
+    """``verdict``, ``n``, ``failed`` of a batch; an error inside Spark if the share of good rows is under ``minimum``. An
+    empty batch passes."""
+    failed = F.count(F.when(~F.coalesce(good, F.lit(False)), 1))
+    n = F.count("*")
+    enough = (n == 0) | ((n - failed) / F.greatest(n, F.lit(1)) >= minimum)
+    return rows.agg(F.when(enough, F.lit("ok")).otherwise(F.raise_error(F.lit("too few good rows in the batch")).cast("string")).alias("verdict"), n.alias("n"), failed.alias("failed"))
+
+
+def routed(rows: DataFrame, stages: dict[str, tuple[Column, str]]) -> tuple[DataFrame, DataFrame]:
+    """Rows that pass all stages, and the others with ``failed_stage`` (the first they fail) and ``policy``.
+
+    ``stages`` maps names, in order, to a test that is true where a row fails, and a policy: ``skip`` sends the row to the
+    second frame, ``halt`` stops the job with an error."""
+    name, policy = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for stage, (fails, what) in reversed(stages.items()):
+        if what not in ("skip", "halt"):
+            raise ValueError(f"unknown policy {what!r}")
+        fails = F.coalesce(fails, F.lit(False))
+        told = F.lit(stage) if what == "skip" else F.raise_error(F.lit(f"stage {stage} failed")).cast("string")
+        name, policy = F.when(fails, told).otherwise(name), F.when(fails, F.lit(what)).otherwise(policy)
+    marked = rows.withColumns({"failed_stage": name, "policy": policy})
+    return marked.filter("failed_stage is null").drop("failed_stage", "policy"), marked.filter("failed_stage is not null")

@@ -6,6 +6,8 @@ few places where the dialects differ are placeholders: see ``DIALECTS``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -38,6 +40,18 @@ VIEWS: dict[str, str] = {
                     WHEN customer_id % 10 IN (1, 2) THEN us - us % 345600000000 + @div{us % 345600000000||,||288}
                     ELSE us END AS us
         FROM txn""",
+    "raw_txn": """
+        SELECT transaction_id, m, CAST(FLOOR(amount) AS DECIMAL(15,2)) AS amount, 'ext' || CAST(m AS VARCHAR(20)) AS external_transaction_id, 'acc' || CAST(m % 50 AS VARCHAR(9)) AS account_id, mcc,
+               CASE m % 8 WHEN 0 THEN ' usd ' WHEN 1 THEN 'Euros' WHEN 2 THEN 'gbp' WHEN 3 THEN 'JPY' WHEN 4 THEN NULL WHEN 5 THEN 'xyz' WHEN 6 THEN 'Sterling' ELSE 'USD' END AS transaction_currency,
+               CASE m % 9 WHEN 0 THEN ' United States' WHEN 1 THEN 'uk' WHEN 2 THEN 'de' WHEN 3 THEN 'Deutschland' WHEN 4 THEN NULL WHEN 5 THEN 'Atlantis' WHEN 6 THEN 'usa' WHEN 7 THEN 'xq ' ELSE 'JP' END AS geo_country,
+               CASE m % 7 WHEN 0 THEN 'Web' WHEN 1 THEN ' POS' WHEN 2 THEN 'in_store' WHEN 3 THEN 'fax' WHEN 4 THEN NULL WHEN 5 THEN '  ' ELSE 'atm' END AS channel,
+               CASE m % 6 WHEN 0 THEN 'Buy' WHEN 1 THEN ' WITHDRAW' WHEN 2 THEN 'refund' WHEN 3 THEN 'mystery' WHEN 4 THEN NULL ELSE 'cash_out' END AS transaction_type,
+               CASE m % 4 WHEN 0 THEN 'Visa' WHEN 1 THEN 'debit' WHEN 2 THEN NULL ELSE 'cc' END AS card_type,
+               CASE m % 6 WHEN 0 THEN '$12.50' WHEN 1 THEN '1.234,56' WHEN 2 THEN '12,5' WHEN 3 THEN '1,234.5' WHEN 4 THEN 'abc' ELSE ' €99' END AS transaction_amount,
+               CASE m % 12 WHEN 0 THEN '2024-01-02T03:04:05Z' WHEN 1 THEN '2024-01-02T03:04:05.678Z' WHEN 2 THEN '2024-01-02T03:04:05+02:00' WHEN 3 THEN '03/04/2024' WHEN 4 THEN ' 25/04/2024 10:11:12 ' WHEN 5 THEN '20240102' WHEN 6 THEN '1704164645' WHEN 7 THEN '1704164645123' WHEN 8 THEN 'nonsense' WHEN 9 THEN NULL WHEN 10 THEN '05-04-2024' ELSE '2024-01-02T03:04:05.123456+0530' END AS transaction_timestamp,
+               CASE m % 3 WHEN 0 THEN '  Big   <b>Shop</b> ' WHEN 1 THEN 'Plain' ELSE 'Tab' || chr(9) || 'and' || chr(7) || 'bell ' END AS merchant_name,
+               CAST(CASE m % 4 WHEN 0 THEN 95 WHEN 1 THEN -90 WHEN 2 THEN 12.5 END AS DOUBLE) AS geo_latitude
+        FROM (SELECT transaction_id, amount, transaction_id - CASE WHEN transaction_id % 20 = 19 THEN 1 ELSE 0 END AS m, CAST(CASE WHEN transaction_id % 9 = 0 THEN 3000 + transaction_id % 900 ELSE 5411 + transaction_id % 400 END AS VARCHAR(9)) AS mcc FROM txn) numbered""",
     "txn_score": """
         SELECT transaction_id, CAST((transaction_id * 37) % 1000 AS DOUBLE) / 1000 AS score, us + 1000000 AS scored_us,
                CASE WHEN transaction_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS model_version, CAST((transaction_id * 53) % 400 AS DOUBLE) / 2 AS latency_ms
@@ -83,9 +97,8 @@ VIEWS: dict[str, str] = {
 def rendered(text: str, dialect: str) -> str:
     """``text`` with ``@name{argument}`` written in ``dialect``."""
     forms, out, rest = DIALECTS[dialect], "", text
-    while "@" in rest:
-        before, _, rest = rest.partition("@")
-        name, _, rest = rest.partition("{")
+    while found := re.search(r"@(\w+)\{", rest):
+        before, name, rest = rest[: found.start()], found[1], rest[found.end() :]
         depth, at = 1, 0
         while depth:
             depth += {"{": 1, "}": -1}.get(rest[at], 0)
@@ -98,8 +111,6 @@ def rendered(text: str, dialect: str) -> str:
 
 def used(text: str) -> list[str]:
     """Views that ``text`` reads, directly or through others, in their order."""
-    import re
-
     found: set[str] = set()
 
     def look(t: str) -> None:
@@ -120,8 +131,6 @@ def register(spark: SparkSession, sf_dir: str) -> None:
 
 def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run ``text`` over the views, inlined as common table expressions that Catalyst optimises as one plan."""
-    import re
-
     for name in TABLES:
         if re.search(rf"\b{name}\b", text + "".join(VIEWS[v] for v in used(text))):
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
