@@ -54,3 +54,54 @@ def scd2(dimension: DataFrame, source: DataFrame, key: str, tracked: list[str],
     old = dimension.join(marks, F.col(key) == F.col("__c"), "left").select(key, *tracked, "valid_from", F.when(closing, as_of).otherwise(F.col("valid_to")).alias("valid_to"), (F.col("is_current") & ~closing).alias("is_current"))
     new = changed.select(key, *tracked, as_of.alias("valid_from"), F.lit(None).cast(dimension.schema["valid_to"].dataType).alias("valid_to"), F.lit(True).alias("is_current"))
     return old.unionByName(new)
+
+
+def looked_back(rows: DataFrame, us: str, now: DataFrame, span_us: int) -> DataFrame:
+    """Rows of the last ``span_us`` microseconds before ``now`` (one row, column ``now``)."""
+    return rows.join(F.broadcast(now), F.col(us) >= F.col("now") - span_us).drop("now")  # one row
+
+
+def upsert_dimension(dimension: DataFrame, batch: DataFrame, keys: list[str], counter: str) -> DataFrame:
+    """Members of ``batch`` put into a dimension: known ones count one batch more, new ones start at one; nulls are no members."""
+    members = batch.select(*keys).dropna().distinct().withColumn("__in", F.lit(True))
+    joined = dimension.join(members, keys, "full")
+    known = F.col(counter)
+    return joined.select(*keys, F.when(known.isNull(), F.lit(1)).when(F.col("__in"), known + 1).otherwise(known).alias(counter))
+
+
+def insert_new_null_safe(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct rows of ``source`` whose keys, nulls counting as values, ``target`` lacks, added to it."""
+    new = source.select(*keys).distinct()
+    have = target.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return target.unionByName(new.join(have, same, "left_anti"), allowMissingColumns=True)
+
+
+def missing(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``source`` whose keys ``target`` lacks (LEFT JOIN ... IS NULL)."""
+    return source.join(target.select(*keys), keys, "left_anti")
+
+
+def replace_where(table: DataFrame, source: DataFrame, where: Column) -> DataFrame:
+    """DELETE ... WHERE and INSERT of the source's rows that meet the same condition; a null verdict deletes nothing."""
+    return table.filter(~F.coalesce(where, F.lit(False))).unionByName(source.filter(where))
+
+
+def update_from(target: DataFrame, source: DataFrame, keys: list[str], where: Column, values: dict[str, Column]) -> DataFrame:
+    """UPDATE ... FROM: rows that meet ``where`` beside the source's row of their key take ``values``; keys are unique in
+    ``source``."""
+    hit = F.coalesce(where, F.lit(False))
+    joined = target.join(source, keys, "left")
+    return joined.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in target.columns])
+
+
+def cascade(tables: dict[str, DataFrame], gone: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """Every table without the rows of deleted keys."""
+    return {name: delete(df, gone, keys) for name, df in tables.items()}
+
+
+def load_checks(staged: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
+    """``staged`` and ``loaded`` rows, null keys, and whether all are loaded and none is null."""
+    a = staged.agg(F.count("*").alias("staged"), F.count(F.when(F.col(key).isNull(), 1)).alias("null_keys"))
+    b = loaded.agg(F.count("*").alias("loaded"))
+    return a.crossJoin(b).select("staged", "loaded", "null_keys", ((F.col("staged") == F.col("loaded")) & (F.col("null_keys") == 0)).alias("passed"))  # one row each
