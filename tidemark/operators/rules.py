@@ -306,3 +306,38 @@ def backtest(matches: DataFrame, labels: DataFrame) -> DataFrame:
     prec, rec = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn"))
     f1 = F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
     return out.select("rule_id", "tp", "fp", "fn", "tn", F.round(prec, 9).alias("prec"), F.round(rec, 9).alias("rec"), F.round(f1, 9).alias("f1"))
+
+
+def backtest_totals(matches: DataFrame, labels: DataFrame) -> DataFrame:
+    """``n``, the share of frauds that at least one rule matches, and that of the other transactions."""
+    hit = reduce(lambda a, b: a | b, (F.col(f"`{k}`") for k in FRAUD_RULES if k in matches.columns))
+    both = matches.join(labels, "transaction_id").select(hit.alias("hit"), "is_fraud")
+    share = lambda of: F.round(F.try_divide(F.count(F.when(F.col("hit") & of, 1)).cast("double"), F.count(F.when(of, 1))), 9)
+    return both.agg(F.count("*").alias("n"), share(F.col("is_fraud")).alias("detection_rate"), share(~F.col("is_fraud")).alias("false_positive_rate"))
+
+
+def where_from(filters: dict[str, tuple[str, Any]], allowed: set[str]) -> Column:
+    """All of ``filters`` (column -> comparison and value); those whose value is None are left out. Columns and comparisons
+    that are not allowed are refused."""
+    tests = {"=": lambda c, v: c == v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v}
+    out = F.lit(True)
+    for column, (comparison, value) in filters.items():
+        if column not in allowed or comparison not in tests:
+            raise ValueError(f"not allowed: {column} {comparison}")
+        if value is not None:
+            out = out & tests[comparison](F.col(column), value)
+    return out
+
+
+#: Verbs that an expression may not hold: fixed values.
+BLOCKED = ("DROP", "DELETE", "TRUNCATE", "ALTER", "CREATE", "INSERT", "UPDATE", "MERGE", "GRANT", "REVOKE")
+
+
+def transformed(rows: DataFrame, expressions: list[str]) -> DataFrame:
+    """``rows`` under expressions given as text; statement ends, comments and verbs of ``BLOCKED`` are refused."""
+    import re
+
+    for text in expressions:
+        if re.search(r";|--|/\*|\b(" + "|".join(BLOCKED) + r")\b", text, re.IGNORECASE):
+            raise ValueError(f"not allowed: {text!r}")
+    return rows.selectExpr(*expressions)

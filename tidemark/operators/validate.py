@@ -134,3 +134,17 @@ def routed(rows: DataFrame, stages: dict[str, tuple[Column, str]]) -> tuple[Data
         name, policy = F.when(fails, told).otherwise(name), F.when(fails, F.lit(what)).otherwise(policy)
     marked = rows.withColumns({"failed_stage": name, "policy": policy})
     return marked.filter("failed_stage is null").drop("failed_stage", "policy"), marked.filter("failed_stage is not null")
+
+
+def feature_quality(rows: DataFrame, required: list[str], ranges: dict[str, tuple[float, float]], most_missing: float = 0.2) -> DataFrame:
+    """``missing`` and ``out_of_range`` features of each row, and ``accepted``: whether no larger a share than ``most_missing``
+    is missing. NaN counts as missing."""
+    number = lambda c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double"))
+    missing = sum((number(c).isNull().cast("int") for c in required), F.lit(0))
+    outside = sum((F.coalesce(~number(c).between(*r), F.lit(False)).cast("int") for c, r in ranges.items()), F.lit(0))
+    return rows.withColumns({"missing": missing, "out_of_range": outside, "accepted": missing / max(len(required), 1) <= most_missing})
+
+
+def model_matrix(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``x``: the named columns in order as doubles; 0 for what is missing, no number or no column."""
+    return rows.withColumn("x", F.array(*[F.coalesce(F.col(n).try_cast("double"), F.lit(0.0)) if n in rows.columns else F.lit(0.0) for n in names]))
