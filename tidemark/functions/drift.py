@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranks
+
 
 def feature_importance(rows: DataFrame, column: str, least: int = 3) -> DataFrame:
     """``feature``, ``mean_abs``, ``n`` from JSON objects of contributions; values that aren't plain numbers don't count, nor
@@ -41,28 +43,11 @@ def prediction_alert(psi: DataFrame) -> DataFrame:
     return drift_alerts(psi, 0.1, 0.25).withColumn("metric", F.lit("prediction_psi"))
 
 
-def auc(rows: DataFrame) -> DataFrame:
-    """``auc`` of ``score`` for ``label`` (0 or 1), ties counting half; null without both labels.
-
-    Rows are first counted by score; scores are then taken in ranges of about a thousandth of their spread, whose totals
-    are few, so that the order within each range and that of the ranges give all ranks and no task sorts the table."""
-    by_score = rows.groupBy("score").agg(F.count(F.when(F.col("label") == 1, 1)).alias("p"), F.count(F.when(F.col("label") == 0, 1)).alias("n"))
-    ends = by_score.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    part = F.coalesce(F.floor((F.col("score") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * 1000), F.lit(0))
-    placed = by_score.join(F.broadcast(ends), F.lit(True)).withColumn("part", part).drop("lo", "hi")  # one row
-    totals = placed.groupBy("part").agg(F.sum("n").alias("n_part"))
-    before_part = totals.withColumn("before", F.coalesce(F.sum("n_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most 1,001 rows
-    w = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.join(F.broadcast(before_part.select("part", "before")), "part").withColumn("below", F.col("before") + F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return ranked.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n").cast("double")).alias("auc"))
-
-
 def degradation_alerts(labelled: DataFrame, latencies: DataFrame, auc_floor: float = 0.75, latency_p95: float = 250.0) -> DataFrame:
     """``metric``, ``severity``, ``value``, ``threshold`` where discrimination is under its floor or the 95th percentile of
-    latency (interpolated, from counts by value) over its limit."""
-    low = auc(labelled).filter(F.col("auc") < auc_floor).select(F.lit("roc_auc").alias("metric"), F.when(F.col("auc") < auc_floor - 0.10, "critical").otherwise("warning").alias("severity"), F.col("auc").alias("value"), F.lit(auc_floor).alias("threshold"))
-    counted = latencies.filter("latency_ms is not null").groupBy("latency_ms").agg(F.count("*").alias("n"))
-    slow = counted.agg(F.expr("percentile(latency_ms, 0.95, n)").alias("p95")).filter(F.col("p95") > latency_p95)
+    latency (interpolated) over its limit."""
+    low = ranks.auc(labelled).filter(F.col("auc") < auc_floor).select(F.lit("roc_auc").alias("metric"), F.when(F.col("auc") < auc_floor - 0.10, "critical").otherwise("warning").alias("severity"), F.col("auc").alias("value"), F.lit(auc_floor).alias("threshold"))
+    slow = ranks.percentiles(latencies, "latency_ms", {"p95": 0.95}).filter(F.col("p95") > latency_p95)
     return low.union(slow.select(F.lit("p95_latency_ms"), F.lit("warning"), F.col("p95"), F.lit(latency_p95)))
 
 

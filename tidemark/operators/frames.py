@@ -31,9 +31,9 @@ def prior(key: str, *order: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def distinct_counts(rows: DataFrame, key: str, us: str, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+def distinct_counts(rows: DataFrame, key: str, us: str, wanted: dict[str, tuple[str, int]], inclusive: bool = True) -> DataFrame:
     """``rows`` with the number of distinct non-null values of a column within [t - W, t] for each of ``wanted``: name ->
-    (column, seconds).
+    (column, seconds). Within [t - W, t) if not ``inclusive``.
 
     A value counts from a row that has none of its kind within W before it to W after the last one of such a row's run.
     Those beginnings and ends become rows of +1 and -1 whose running sum is the answer, so that no frame is gathered: time
@@ -45,11 +45,11 @@ def distinct_counts(rows: DataFrame, key: str, us: str, wanted: dict[str, tuple[
         there, span = F.col(column).isNotNull(), seconds * SECOND
         before_, after = F.lag(us).over(w), F.lead(us).over(w)
         rows = rows.withColumns({f"__first_{name}": there & (before_.isNull() | (before_ < F.col(us) - span)), f"__last_{name}": there & (after.isNull() | (after > F.col(us) + span))})
-        steps.append(F.when(F.col(f"__last_{name}"), F.struct((F.col(us) + span + 1).alias("at"), F.lit(False).alias("own"), *[F.lit(-1 if n == name else 0).cast("long").alias(n) for n in wanted])))
+        steps.append(F.when(F.col(f"__last_{name}"), F.struct((F.col(us) + span + int(inclusive)).alias("at"), F.lit(False).alias("own"), *[F.lit(-1 if n == name else 0).cast("long").alias(n) for n in wanted])))
     kept = [c for c in rows.columns if not c.startswith(("__first_", "__last_"))]
     events = rows.withColumn("__step", F.explode(F.filter(F.array(*steps), lambda x: x.isNotNull()))).select(*kept, "__step.*")
-    running = Window.partitionBy(key).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    return events.withColumns({n: F.sum(n).over(running) for n in wanted}).filter("own").select(*kept, *wanted)
+    running = Window.partitionBy(key).orderBy("at").rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return events.withColumns({n: F.coalesce(F.sum(n).over(running), F.lit(0)) for n in wanted}).filter("own").select(*kept, *wanted)
 
 
 def velocity(txns: DataFrame, key: str = "customer_id") -> DataFrame:

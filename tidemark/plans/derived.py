@@ -42,7 +42,8 @@ def win_03(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hour before each transaction of an account."""
     w = frames.before("account_id", "us", 3600)
-    return view(spark, sf_dir, "txn").select("transaction_id", F.count("*").over(w).alias("n"), F.coalesce(F.sum("amount").over(w).cast("double"), F.lit(0.0)).alias("total"), frames.distinct_count(F.col("channel"), w).cast("bigint").alias("channels"))
+    rows = frames.distinct_counts(view(spark, sf_dir, "txn"), "account_id", "us", {"channels": ("channel", 3600)}, inclusive=False)
+    return rows.select("transaction_id", F.count("*").over(w).alias("n"), F.coalesce(F.sum("amount").over(w).cast("double"), F.lit(0.0)).alias("total"), "channels")
 
 
 def _stats(name: str, span: int) -> str:
