@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,31 +59,29 @@ def cleaned(rows: DataFrame, order: list[str]) -> DataFrame:
     fields = [c for c in rows.columns if c not in (*order, "is_duplicate")]
     kinds = dict(rows.dtypes)
     strings = [c for c in fields if kinds[c] == "string"]
-
-    def now(c: str) -> Column:
-        return F.col(f"new.{c}")
-
-    out = rows.withColumns({"new": F.struct(*fields), "changes": F.array().cast("array<string>")})
-
-    def step(out: DataFrame, name: str, values: dict[str, Column]) -> DataFrame:
-        values = {c: v for c, v in values.items() if c in fields}
-        if not values:
-            return out
-        told = F.filter(F.array(*[F.when(~now(c).eqNullSafe(v), F.lit(f"{name}:{c}")) for c, v in values.items()]), lambda x: x.isNotNull())
-        return out.withColumns({"changes": F.concat("changes", told), "new": F.struct(*[values.get(c, now(c)).alias(c) for c in fields])})
-
-    out = step(out, "encoding_fixed", {c: text.no_controls(now(c)) for c in strings})
-    out = step(out, "whitespace_trimmed", {c: text.squeezed(now(c)) for c in TRIMMED if kinds.get(c) == "string"})
-    out = step(out, "lowercased", {c: F.lower(now(c)) for c in LOWERED})
-    out = step(out, "uppercased", {c: F.upper(now(c)) for c in RAISED})
-    out = step(out, "date_parsed", {"transaction_timestamp": F.coalesce(F.date_format(text.timestamp(now("transaction_timestamp")), "yyyy-MM-dd'T'HH:mm:ss'Z'"), now("transaction_timestamp"))})
-    out = step(out, "imputed", {c: imputed(now(c), v) for c, v in DEFAULTS.items()})
-    if kinds.get("transaction_amount") == "string":
-        out = step(out, "amount_cleaned", {"transaction_amount": F.coalesce(amount(now("transaction_amount")).cast("string"), now("transaction_amount"))})
-    out = step(out, "coordinate_cleared", {c: within(now(c), b) for c, b in (("geo_latitude", 90), ("geo_longitude", 180))})
-    out = step(out, "html_stripped", {c: text.no_tags(now(c)) for c in strings})
+    value = {c: F.col(c) for c in fields}
+    told = []
+
+    def step(name: str, names: Iterable[str], change: Callable[[str, Column], Column]) -> None:
+        for c in names:
+            if c in value:
+                new = change(c, value[c])
+                told.append(F.when(~value[c].eqNullSafe(new), F.lit(f"{name}:{c}")))
+                value[c] = new
+
+    iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    step("encoding_fixed", strings, lambda _, v: text.no_controls(v))
+    step("whitespace_trimmed", [c for c in TRIMMED if kinds.get(c) == "string"], lambda _, v: text.squeezed(v))
+    step("lowercased", LOWERED, lambda _, v: F.lower(v))
+    step("uppercased", RAISED, lambda _, v: F.upper(v))
+    step("date_parsed", ["transaction_timestamp"], lambda _, v: F.coalesce(F.date_format(text.timestamp(v), iso), v))
+    step("imputed", DEFAULTS, lambda c, v: imputed(v, DEFAULTS[c]))
+    step("amount_cleaned", [c for c in ("transaction_amount",) if kinds.get(c) == "string"], lambda _, v: F.coalesce(amount(v).cast("string"), v))
+    step("coordinate_cleared", ["geo_latitude", "geo_longitude"], lambda c, v: within(v, 90 if c == "geo_latitude" else 180))
+    step("html_stripped", strings, lambda _, v: text.no_tags(v))
     same = F.col("is_duplicate")
-    return out.select(*order, "is_duplicate", *[F.when(same, F.col(c)).otherwise(now(c)).alias(c) for c in fields], F.when(same, F.array(F.lit("duplicate_detected"))).otherwise(F.col("changes")).alias("changes"))
+    changes = F.filter(F.array(*told), lambda x: x.isNotNull())
+    return rows.select(*order, "is_duplicate", *[F.when(same, F.col(c)).otherwise(value[c]).alias(c) for c in fields], F.when(same, F.array(F.lit("duplicate_detected"))).otherwise(changes).alias("changes"))
 
 
 def currency(c: Column) -> Column:

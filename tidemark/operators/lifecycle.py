@@ -176,3 +176,19 @@ def with_context(alerts: DataFrame, txns: DataFrame, n: int = 10) -> DataFrame:
     placed = placed.withColumn("recent", recent).filter("alert_id is not null and total > 0")
     newest = F.reverse(F.array_sort("recent"))
     return placed.select("alert_id", "total", F.round("average", 6).alias("average"), F.array_join(F.transform(newest, lambda x: x["transaction_id"].cast("string")), ",").alias("recent"))
+
+
+def rate_limited(events: DataFrame, event: str, key: str, us: str, most: int, seconds: int, store) -> DataFrame:
+    """``events`` with ``allowed``: whether fewer than ``most`` allowed ones of the key lie within ``seconds`` before.
+
+    In order of ``us`` and ``event``; those turned away don't count. Rounds as in ``throttled``."""
+    rows = store(events.withColumn("allowed", F.lit(True)))
+    one = F.when(F.col("allowed"), 1)
+    earlier = Window.partitionBy(key).orderBy(us).rangeBetween(-seconds * SECOND + 1, -1)
+    tied = Window.partitionBy(key, us).orderBy(event).rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        free = F.count(one).over(earlier) + F.count(one).over(tied) < most
+        out = store(rows.withColumn("__free", free))
+        if out.filter(F.col("__free") != F.col("allowed")).isEmpty():
+            return out.drop("__free")
+        rows = out.withColumn("allowed", F.col("__free")).drop("__free")

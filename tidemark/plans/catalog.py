@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.views import spark_sql, with_views
-from . import alerting, monitoring, ranked, records, scoring, warehouse  # noqa: F401  they register their queries
+from . import alerting, composite, monitoring, ranked, records, scoring, warehouse  # noqa: F401  they register their queries
 from .derived import DERIVED
 from .reports import REPORTS
 
