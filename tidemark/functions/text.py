@@ -100,3 +100,22 @@ def bucket_of(test: Column, user: Column, buckets: int = 10_000) -> Column:
     digest = F.sha2(F.concat_ws(":", test, user), 256)
     digits = F.transform(F.split(digest, ""), lambda c: F.instr(F.lit("0123456789abcdef"), c) - 1)
     return F.aggregate(F.filter(digits, lambda d: d >= 0), F.lit(0).cast("bigint"), lambda a, d: (a * 16 + d) % buckets)
+
+
+#: Types of devices that are known: fixed values.
+DEVICE_TYPES = ("mobile", "desktop", "tablet", "pos", "atm")
+
+
+def device_type(x: Column) -> Column:
+    """The type in lower case, ``unknown`` for any other."""
+    return F.when(F.lower(x).isin(*DEVICE_TYPES), F.lower(x)).otherwise("unknown")
+
+
+def fingerprint(*parts: Column) -> Column:
+    """16 hex digits over the parts with bars between."""
+    return short_hash(F.concat_ws("|", *parts))
+
+
+def anonymous(x: Column) -> Column:
+    """A stand-in that is the same for the same value."""
+    return F.concat(F.lit("ANON-"), F.upper(short_hash(x, 12)))

@@ -52,13 +52,13 @@ def validated(df: DataFrame, spec: dict[str, dict[str, Any]], cross: dict[str, t
     return df.withColumn("issues", issues).withColumn("is_valid", ~F.exists("issues", lambda x: x["severity"] == "error"))
 
 
-def transaction_rules(as_of: Column) -> dict[str, tuple[Column, str]]:
+def transaction_rules(as_of: Column, round_over: float = 1000, high_value: float = 50_000) -> dict[str, tuple[Column, str]]:
     """Rules across a transaction's fields; times are in microseconds and ``as_of`` is the present."""
     amount = F.col("amount").cast("double")
     return {
         "pos_needs_merchant": ((F.col("channel") == "pos") & F.col("merchant_id").isNull(), "warning"),
-        "round_amount": ((amount > 50) & (amount == F.floor(amount)), "warning"),
-        "high_value": (amount > 99, "warning"),
+        "round_amount": ((amount > round_over) & (amount == F.floor(amount)), "warning"),
+        "high_value": (amount > high_value, "warning"),
         "paired_coordinates": (F.col("lat").isNull() != F.col("lon").isNull(), "error"),
         "future": (F.col("us") > as_of + 300_000_000, "error"),
         "stale": (F.col("us") < as_of - 90 * 86_400_000_000, "error"),

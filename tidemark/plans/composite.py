@@ -137,3 +137,12 @@ def udf_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = spark.createDataFrame([("a", "1", "production", 10), ("a", "2", "staging", 11), ("a", "3", "staging", 12), ("b", "1", "production", 5)], "model string, version string, status string, changed int")
     registry = models.promoted(registry, "a", "2", F.lit(30))
     return models.rolled_back(models.promoted(registry, "a", "3", F.lit(35)), "a", F.lit(40))
+
+
+@query("snk_18_fan_out", "SELECT 'all' AS sink, COUNT(*) AS n FROM events UNION ALL SELECT 'purchases', COUNT(*) FILTER (WHERE event_type = 'purchase') FROM events UNION ALL SELECT 'customers', COUNT(DISTINCT user_id) FROM events")
+def snk_18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream's batches written to three tables at once."""
+    shapes = {"all": lambda b: b, "purchases": lambda b: b.filter("event_type = 'purchase'"), "customers": lambda b: b.select("customer_id").distinct()}
+    out = microbatch.fan_out(_stream(spark, sf_dir), shapes, scratch(spark))
+    counts = [(df.distinct() if name == "customers" else df).agg(F.count("*").alias("n")).select(F.lit(name).alias("sink"), "n") for name, df in out.items()]
+    return counts[0].union(counts[1]).union(counts[2])

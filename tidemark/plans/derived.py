@@ -306,7 +306,7 @@ def flt_18(spark: SparkSession, sf_dir: str) -> DataFrame:
     txns = view(spark, sf_dir, "txn")
     now = txns.agg(F.max("us").alias("now")).first()["now"] or 0
     spec = {"country": {"required": True, "allowed": ["US", "GB", "DE", "FR", "JP", "BR"]}, "mcc_slot": {"required": True}, "channel": {"max_length": 5, "pattern": "[a-z]+"}, "amount": {"minimum": 1, "number": True}}
-    rows = validate.validated(txns, spec, validate.transaction_rules(F.lit(now)))
+    rows = validate.validated(txns, spec, validate.transaction_rules(F.lit(now), round_over=50, high_value=99))
     count = lambda severity: F.size(F.filter("issues", lambda x: x["severity"] == severity))
     return rows.select("transaction_id", "is_valid", count("error").alias("errors"), count("warning").alias("warnings"))
 

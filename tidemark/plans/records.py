@@ -145,3 +145,35 @@ def st_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "raw_txn")
     _, dead = validate.routed(rows, {"amount": (F.col("transaction_amount").try_cast("double").isNull(), "skip"), "id": (F.col("transaction_id").isNull(), "halt")})
     return dead.select("transaction_id", "failed_stage", "policy")
+
+
+@query("fn_s01_composed", "SELECT transaction_id, CASE WHEN m % 2 = 0 THEN chr(233) || 't' || chr(233) ELSE 'a' || chr(9) || 'b' END AS s FROM raw_txn")
+def fn_s01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composed letters, without control characters but for tabs and line ends."""
+    raw = F.when(F.col("m") % 2 == 0, F.lit("e\u0301te\u0301\x00")).otherwise(F.lit("a\t\x07b\x7f"))
+    return view(spark, sf_dir, "raw_txn").select("transaction_id", text.no_controls(text.nfc(raw)).alias("s"))
+
+
+@query("fn_s07_fingerprint", "SELECT transaction_id, left(sha256('dev' || CAST(m AS VARCHAR) || '|' || CASE WHEN m % 2 = 0 THEN 'mobile' ELSE 'unknown' END || '|||'), 16) AS fingerprint, 'ANON-' || upper(left(sha256('acc' || CAST(m % 50 AS VARCHAR)), 12)) AS anonymous FROM raw_txn")
+def fn_s07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A device's fingerprint over what is known of it, and an account's stand-in."""
+    kind = F.when(F.col("m") % 2 == 0, "Mobile").otherwise("toaster")
+    device = F.concat(F.lit("dev"), F.col("m").cast("string"))
+    return view(spark, sf_dir, "raw_txn").select("transaction_id", text.fingerprint(device, text.device_type(kind), F.lit(""), F.lit(""), F.lit("")).alias("fingerprint"), text.anonymous(F.col("account_id")).alias("anonymous"))
+
+
+@query("flt_16_custom_rules", "SELECT transaction_id, amount > 1000 AND amount = FLOOR(amount) AS round_amount, amount > 5000 AS high_value, channel = 'pos' AND merchant_id % 10 = 0 AS no_merchant FROM risk_txn")
+def flt_16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings for round and for high amounts and for shops without a merchant; the high value is lowered to the data."""
+    rows = view(spark, sf_dir, "risk_txn").withColumn("merchant_id", F.when(F.col("merchant_id") % 10 != 0, F.col("merchant_id")))
+    found = validate.validated(rows, {}, validate.transaction_rules(F.lit(1 << 60), round_over=1000, high_value=5000))
+    has = lambda rule: F.exists("issues", lambda x: x["rule"] == rule)
+    return found.select("transaction_id", has("round_amount").alias("round_amount"), has("high_value").alias("high_value"), has("pos_needs_merchant").alias("no_merchant"))
+
+
+@query("prj_05_event_defaults", "SELECT transaction_id, CASE WHEN m % 2 = 0 THEN '2.0' ELSE '1.0.0' END AS event_version, TRUE AS has_id FROM raw_txn")
+def prj_05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event's id, time and version where they are missing."""
+    rows = view(spark, sf_dir, "raw_txn").withColumns({"event_id": F.lit(None).cast("string"), "event_version": F.when(F.col("m") % 2 == 0, "2.0")})
+    out = rows.withColumns({"event_id": F.coalesce("event_id", F.uuid()), "event_version": F.coalesce("event_version", F.lit("1.0.0"))})
+    return out.select("transaction_id", "event_version", F.col("event_id").isNotNull().alias("has_id"))

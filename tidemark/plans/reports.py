@@ -112,10 +112,10 @@ REPORTS: dict[str, str] = {
         SELECT period, p + n AS labels, CASE WHEN p + n >= 5 AND p > 0 AND n > 0 THEN ROUND((rank_sum - p * (p + 1) / 2e0) / (CAST(p AS DOUBLE) * n), 9) END AS auc FROM sums""",
     "agg_41_psi": """
         WITH bins AS (SELECT CAST(LEAST(FLOOR(score * 10), 9) AS INTEGER) AS bin, period FROM scored_label WHERE score BETWEEN 0 AND 1),
-        slots AS (SELECT DISTINCT bin FROM bins),
-        counts AS (SELECT s.bin, COUNT(*) FILTER (WHERE b.period = 'base') + 1e0 AS e, COUNT(*) FILTER (WHERE b.period = 'now') + 1e0 AS a FROM slots s JOIN bins b ON s.bin = b.bin GROUP BY s.bin),
+        slots AS (SELECT 0 AS bin UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9),
+        counts AS (SELECT s.bin, COUNT(*) FILTER (WHERE b.period = 'base') + 1e-8 AS e, COUNT(*) FILTER (WHERE b.period = 'now') + 1e-8 AS a FROM slots s LEFT JOIN bins b ON s.bin = b.bin GROUP BY s.bin),
         total AS (SELECT SUM(e) AS e, SUM(a) AS a FROM counts)
-        SELECT ROUND(SUM((c.a / t.a - c.e / t.e) * LN((c.a / t.a) / (c.e / t.e))), 9) AS psi FROM counts c CROSS JOIN total t""",
+        SELECT ROUND(SUM((c.a / t.a - c.e / t.e) * LN((c.a / t.a) / (c.e / t.e))), 7) AS psi FROM counts c CROSS JOIN total t""",
     "agg_43_ks": """
         WITH steps AS (SELECT score, COUNT(*) FILTER (WHERE period = 'base') AS a, COUNT(*) FILTER (WHERE period = 'now') AS b FROM scored_label GROUP BY score),
         run AS (SELECT SUM(a) OVER w AS ca, SUM(b) OVER w AS cb, SUM(a) OVER () AS ta, SUM(b) OVER () AS tb FROM steps WINDOW w AS (ORDER BY score ROWS UNBOUNDED PRECEDING))

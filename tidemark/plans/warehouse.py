@@ -219,3 +219,38 @@ def agg_59(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = view(spark, sf_dir, "txn").filter(F.to_date("ts") == F.lit("2024-01-15").cast("date"))
     members = F.inline(F.array(*[F.struct(F.lit(c).alias("report"), F.col(c).alias("member")) for c in ("channel", "country", "status")]))
     return day.select("amount", members).groupBy("report", "member").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+@query("src_03_json_wrapped", "SELECT n_nationkey, n_name FROM nation")
+def src_03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of an array under a key of one JSON object."""
+    path = scratch(spark)
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")  # a fixed small table
+    rows.agg(F.to_json(F.struct(F.lit(1).alias("version"), F.collect_list(F.struct("n_nationkey", "n_name")).alias("transactions"))).alias("value")).write.text(path)
+    return files.read_json(spark, path).select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+
+
+@query("src_04_json_lines", "SELECT n_nationkey, n_name FROM nation")
+def src_04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of JSON lines between blank lines."""
+    path = scratch(spark)
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.explode(F.array(F.lit(""), F.to_json(F.struct("n_nationkey", "n_name")), F.lit(""))).alias("value"))
+    rows.write.text(path)
+    return files.read_lines(spark, path).select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+
+
+@query("src_10_decoded_messages", "SELECT event_id, event_type, event_id % 4 AS part FROM events WHERE event_id % 7 <> 0")
+def src_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages decoded from JSON with their topic's places; those that can't be read are left out."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    body = F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("event_id", "event_type")))
+    messages = events.select(F.col("event_id").cast("string").alias("key"), body.cast("binary").alias("value"), F.lit("events").alias("topic"), (F.col("event_id") % 4).alias("partition"), F.col("event_id").alias("offset"), F.col("ts").alias("timestamp"))
+    return files.decoded(messages, "event_id long, event_type string").select("event_id", "event_type", F.col("_partition").alias("part"))
+
+
+@query("snk_19_csv_export", "SELECT COUNT(*) AS n FROM (SELECT 1 FROM supplier LIMIT 50) s")
+def snk_19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows up to a cap, as CSV with a header."""
+    path = scratch(spark)
+    files.export_csv(spark.read.parquet(f"{sf_dir}/supplier.parquet").orderBy("s_suppkey"), path, 50)
+    return files.read_csv(spark, path).agg(F.count("*").alias("n"))

@@ -120,6 +120,14 @@ def copy_into(table: DataFrame, staged: DataFrame) -> DataFrame:
     return table.unionByName(staged.select(*[c for c in staged.columns if c in table.columns]), allowMissingColumns=True)
 
 
+def decoded(messages: DataFrame, schema: str) -> DataFrame:
+    """The fields of JSON messages, with ``_topic``, ``_partition``, ``_offset`` and ``_timestamp``; works on tables and on
+    streams. Messages that are no object of the schema's fields are left out."""
+    body = F.from_json(F.col("value").cast("string"), schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = messages.select(body.alias("body"), *[F.col(c).alias(f"_{c}") for c in ("topic", "partition", "offset", "timestamp")])
+    return rows.filter("body is not null and body._corrupt_record is null").select("body.*", "_topic", "_partition", "_offset", "_timestamp").drop("_corrupt_record")
+
+
 def replaced(df: DataFrame, path: str) -> DataFrame:
     """``df`` in the place of whatever lay at ``path``, read from there."""
     df.write.mode("overwrite").parquet(path)

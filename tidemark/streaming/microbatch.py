@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 
 
@@ -25,3 +27,20 @@ def drained(stream: DataFrame, reason: Column, path: str) -> tuple[DataFrame, Da
     stream.writeStream.foreachBatch(put).trigger(availableNow=True).option("checkpointLocation", f"{path}/marks").start().awaitTermination()
     spark = stream.sparkSession
     return spark.read.parquet(f"{path}/good").drop("batch"), spark.read.parquet(f"{path}/dead").drop("batch")
+
+
+def fan_out(stream: DataFrame, tables: dict[str, Callable[[DataFrame], DataFrame]], path: str, after: Callable[[int, int], None] | None = None) -> dict[str, DataFrame]:
+    """Every batch written to several tables, each from its own view of the batch, which is computed once.
+
+    A batch that is tried again replaces what it had written. ``after`` is told each batch's number and rows."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for name, shape in tables.items():
+            shape(batch).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        if after is not None:
+            after(number, batch.count())
+        batch.unpersist()
+
+    stream.writeStream.foreachBatch(put).trigger(availableNow=True).option("checkpointLocation", f"{path}/marks").start().awaitTermination()
+    return {name: stream.sparkSession.read.parquet(f"{path}/{name}").drop("batch") for name in tables}
