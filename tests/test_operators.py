@@ -60,7 +60,7 @@ def test_amounts_and_timestamps(spark):
     raw = ["1.234,56", "1,234.56", "123,45", "$ 99.5", "-7", "x", None]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "x string").select(text.amount(F.col("x"))).collect()]
     assert got == [1234.56, 1234.56, 123.45, 99.5, -7.0, None, None]
-    raw = ["2026-01-02T03:04:05", "2026-01-02", "02/01/2026", "1767323045", "1767323045000", "soon", None]
+    raw = ["2026-01-02T03:04:05", "2026-01-02", "01/02/2026", "1767323045", "1767323045000", "soon", None]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "x string").select(F.date_format(text.timestamp(F.col("x")), "yyyy-MM-dd")).collect()]
     assert got == ["2026-01-02"] * 5 + [None, None]
 
@@ -109,3 +109,88 @@ def test_readers(spark, tmp_path):
     assert back.filter("hour = 1").select("id").collect()[0][0] == 2
     good, bad = files.split_quarantine(df, F.when(F.col("id") == 1, True))
     assert (good.count(), bad.count()) == (1, 1)
+
+
+def test_insert_new_takes_one_of_repeated_keys(spark):
+    have = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "b"), (2, "c"), (2, "d")], "k int, v string")
+    got = merge.insert_new(have, new, ["k"]).collect()
+    assert sorted(r["k"] for r in got) == [1, 2] and (1, "a") in [tuple(r) for r in got]
+
+
+def test_timestamps_month_first_and_offsets(spark):
+    cases = {"03/04/2024": "2024-03-04 00:00:00", "25/04/2024": "2024-04-25 00:00:00", "2024-01-02T03:04:05+02:00": "2024-01-02 01:04:05", "2024-01-02T03:04:05.5Z": "2024-01-02 03:04:05", "1704164645": "2024-01-02 03:04:05", "10000000001": "1970-04-26 17:46:40", "x": None, "": None}
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    got = {r["v"]: r["t"] for r in df.select("v", F.date_format(text.timestamp(F.col("v")), "yyyy-MM-dd HH:mm:ss").alias("t")).collect()}
+    assert got == cases
+
+
+def test_breaches_at_their_thresholds(spark):
+    names = list(risk.BREACHES)
+    rows = [tuple(float(risk.BREACHES[n][k]) - d for n in names) for k, d in ((0, 0), (0, 0.5), (1, 0), (1, 0.5))]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    got = [[x["level"] for x in r["b"]] for r in df.select(risk.breaches().alias("b")).collect()]
+    assert got == [["warning"] * 10, [], ["critical"] * 10, ["warning"] * 10]
+
+
+def test_gate_forgets_what_is_past():
+    held = alerts.fold(iter([(i * alerts.HOUR, f"k{i}") for i in range(50)] + [(50 * alerts.HOUR, "k0")]))
+    assert list(held) == ["sent"] * 51
+
+
+def test_distinct_counts_in_both_kinds_of_frames(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(3), rng.randrange(60) * S, rng.choice([None, 1, 2, 3, 4])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, k int, us long, v int").repartition(4)
+    for inclusive in (True, False):
+        got = {r["id"]: r["n"] for r in frames.distinct_counts(df, "k", "us", {"n": ("v", 10)}, inclusive).collect()}
+        want = {i: len({v for _, k2, t, v in rows if k2 == k and v is not None and us - 10 * S <= t and (t <= us if inclusive else t < us)}) for i, k, us, _ in rows}
+        assert got == want
+
+
+def test_ranks_by_ranges(spark):
+    import numpy as np
+
+    from tidemark.operators import ranks
+
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.choice([rng.random(), 0.5, round(rng.random(), 1)]), rng.randrange(2)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, score double, label int")
+    got = {r["g"]: r["p"] for r in ranks.percentiles(df, "score", {"p": 0.37}, ["g"]).collect()}
+    assert all(abs(got[g] - np.percentile([s for h, s, _ in rows if h == g], 37)) < 1e-12 for g in "ab")
+    pos, neg = [s for _, s, y in rows if y], [s for _, s, y in rows if not y]
+    area = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+    assert abs(ranks.auc(df).first()["auc"] - area) < 1e-12
+    assert ranks.percentiles(df.limit(0), "score", {"p": 0.5}, ["g"]).count() == 0
+
+
+def test_forest_finds_what_is_far_away(spark):
+    from tidemark.operators import models
+
+    rng = random.Random(2)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(500)] + [(1000 + i, 9.0 + i, -9.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    forest = models.fit_forest(df, "id", ["x", "y"], 50, 128)
+    worst = models.score_forest(df, "id", ["x", "y"], forest).orderBy("anomaly").limit(3).collect()
+    assert {r["id"] for r in worst} == {1000, 1001, 1002}
+
+
+def test_readers_and_gates_raise(spark, tmp_path):
+    from tidemark.operators import validate
+
+    (tmp_path / "empty.jsonl").write_text("\n\n")
+    with pytest.raises(ValueError, match="no records"):
+        files.read_any(spark, str(tmp_path / "empty.jsonl"))
+    (tmp_path / "list.json").write_text('[{"a": 1}, {"a": 2}]')
+    assert files.read_any(spark, str(tmp_path / "list.json")).count() == 2
+    (tmp_path / "t.csv").write_text('a,b\n1,"x\ny"\nNULL,N/A\n')
+    assert [tuple(r) for r in files.read_any(spark, str(tmp_path / "t.csv")).collect()] == [("1", "x\ny"), (None, None)]
+    rows = spark.createDataFrame([(1,), (None,)], "a int")
+    with pytest.raises(Exception, match="too few good rows"):
+        validate.gated(rows, F.col("a").isNotNull(), 0.9).collect()
+    with pytest.raises(Exception, match="stage s failed"):
+        validate.routed(rows, {"s": (F.col("a").isNull(), "halt")})[1].collect()
+    with pytest.raises(ValueError, match="not allowed"):
+        rules.transformed(rows, ["a; DROP TABLE x"])
+    with pytest.raises(ValueError, match="not allowed"):
+        rules.where_from({"b": ("=", 1)}, {"a"})

@@ -43,3 +43,15 @@ def test_dedup_and_sliding(spark, tmp_path):
     _drain(velocity.sliding(velocity.read_stream(spark, path)).writeStream.outputMode("append").format("memory").queryName("sl").option("checkpointLocation", str(tmp_path / "c2")).start())
     final = spark.table("sl").collect()
     assert final and all(r["n"] in (2, 3) for r in final)
+
+
+def test_late_rows_see_only_what_was_before(spark, tmp_path):
+    """A row that comes after a later one counts what lies before it, and the state of newer rows stays."""
+    path = tmp_path / "in"
+    first, second = [(1, 1, START, 1.0), (2, 1, START + 240_000_000, 2.0)], [(3, 1, START + 120_000_000, 4.0), (4, 1, START + 250_000_000, 8.0)]
+    for n, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, "transaction_id long, customer_id long, us long, amount double").withColumn("ts", F.timestamp_micros("us")).select("transaction_id", "customer_id", "ts", "amount").coalesce(1).write.parquet(str(path / f"part{n}"))
+    source = spark.readStream.schema(velocity.SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path))
+    _drain(velocity.keyed_velocity(source).writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).start())
+    got = {r["transaction_id"]: (r["n"], r["total"]) for r in spark.table("late").collect()}
+    assert got == {1: (1, 1.0), 2: (2, 3.0), 3: (2, 5.0), 4: (4, 15.0)}
