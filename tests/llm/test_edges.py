@@ -76,7 +76,12 @@ def test_token_store(docs, rows, empty):
 def test_pages(ids):
     import numpy as np
 
-    assert token_store.unpack(token_store.pack(np.array(ids, np.uint32))).tolist() == ids
+    page = token_store.pack(np.array(ids, np.uint32))
+    assert token_store.unpack(page).tolist() == ids
+    size = token_store.BLOCK
+    assert [token_store.unpack_block(page, k).tolist() for k in range(-(-len(ids) // size))] == [ids[k : k + size] for k in range(0, len(ids), size)]
+    with pytest.raises(IndexError):
+        token_store.unpack_block(page, -(-len(ids) // size))
 
 
 def test_near_duplicates(docs, rows, empty):

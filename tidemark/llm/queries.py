@@ -63,8 +63,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements and verdict of every document."""
-    return quality.judged(table(spark, sf_dir, "documents")).drop("failures")
+    """Measurements, failure bits and verdict of every document."""
+    return quality.judged(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -104,6 +104,7 @@ SQL: dict[str, str] = {
             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM words LEFT JOIN covered c USING (doc_id)),
         based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-          NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 4 * n_full_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words) AS kept
+          NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 4 * n_full_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words) AS kept,
+          CAST(n_words < 20 AS INTEGER) + 2 * CAST(100 * n_repeat_words > 30 * n_words AS INTEGER) + 4 * CAST(10 * n_symbols > 3 * n_words AS INTEGER) + 8 * CAST(10 * n_dup_lines > 4 * n_full_lines AS INTEGER) + 16 * CAST(word_chars > 25 * n_words OR word_chars < 2 * n_words AS INTEGER) AS failures
         FROM based""",
 }

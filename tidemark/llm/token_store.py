@@ -88,6 +88,26 @@ def unpack(page: bytes) -> np.ndarray:
     return (flat.reshape(blocks, BLOCK) + least[:, None]).ravel()[:n]
 
 
+def unpack_block(page: bytes, block: int) -> np.ndarray:
+    """The ids of one block of a page; only its own bytes and exceptions are read."""
+    n, blocks, outliers = struct.unpack_from("<III", page)
+    if not 0 <= block < blocks:
+        raise IndexError(f"the page has {blocks} blocks")
+    widths_at = 12 + 4 * blocks
+    starts_at = widths_at + blocks
+    where = np.frombuffer(page, "<u4", outliers, starts_at + 4 * blocks)
+    lo, hi = np.searchsorted(where, [block * BLOCK, (block + 1) * BLOCK])
+    values = np.frombuffer(page, "<u4", hi - lo, starts_at + 4 * blocks + 4 * (outliers + int(lo)))
+    (least,) = struct.unpack_from("<I", page, 12 + 4 * block)
+    (start,) = struct.unpack_from("<I", page, starts_at + 4 * block)
+    width = page[widths_at + block]
+    packed = np.frombuffer(page, "u1", width * (BLOCK // 8), starts_at + 4 * blocks + 8 * outliers + start)
+    bits = np.unpackbits(packed).reshape(BLOCK, width).astype(np.uint32) if width else np.zeros((BLOCK, 0), np.uint32)
+    rest = (bits << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+    rest[where[lo:hi] - block * BLOCK] = values
+    return (rest + np.uint32(least))[: max(0, n - block * BLOCK)]
+
+
 #: Shards whose places may be broadcast (16 bytes each).
 BROADCAST_SHARDS = 1_000_000
 
