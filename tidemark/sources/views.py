@@ -32,7 +32,7 @@ VIEWS: dict[str, str] = {
                @k{} AS k
         FROM events""",
     "risk_txn": """
-        SELECT transaction_id, customer_id, account_id, status, channel, transaction_type, merchant_id, device_id, lat, lon, k,
+        SELECT transaction_id, customer_id, account_id, status, channel, transaction_type, merchant_id, CASE WHEN transaction_id % 19 = 0 THEN -(customer_id % 7) ELSE device_id END AS device_id, lat, lon, k,
                CASE WHEN customer_id % 3 = 0 AND transaction_id % 29 <> 0 THEN 'US' ELSE country END AS country,
                CASE WHEN transaction_id % 23 = 0 THEN '7995' ELSE CAST(5000 + merchant_id % 12 * 50 AS VARCHAR(9)) END AS mcc,
                CAST(CASE WHEN transaction_id % 13 = 0 THEN 1000 * (transaction_id % 12) WHEN transaction_id % 7 < 2 THEN FLOOR(amount) / 20 WHEN transaction_id % 11 = 0 THEN 9000 + amount * 10 ELSE amount * 100 END AS DECIMAL(15,2)) AS amount,
