@@ -148,3 +148,20 @@ def feature_quality(rows: DataFrame, required: list[str], ranges: dict[str, tupl
 def model_matrix(rows: DataFrame, names: list[str]) -> DataFrame:
     """``x``: the named columns in order as doubles; 0 for what is missing, no number or no column."""
     return rows.withColumn("x", F.array(*[F.coalesce(F.col(n).try_cast("double"), F.lit(0.0)) if n in rows.columns else F.lit(0.0) for n in names]))
+
+
+def cross_field_rules(as_of: Column, home: str = "USA", refund_limit: float = 50_000, tolerance_seconds: int = 300, max_age_days: int = 90) -> dict[str, tuple[Column, str]]:
+    """Rules across a raw transaction's fields, by name, each true where a row breaks it, with its severity; ``us`` and
+    ``as_of`` are microseconds. A missing flag counts as not international."""
+    c = F.col
+    return {
+        "international_flag_matches_country": (c("geo_country").isNotNull() & (c("geo_country") != home) & ~F.coalesce(c("is_international"), F.lit(False)), "warning"),
+        "card_last_four_required_for_card_transactions": (c("card_type").isNotNull() & c("card_last_four").isNull(), "warning"),
+        "ip_required_for_online": ((c("channel") == "online") & c("ip_address").isNull(), "warning"),
+        "geo_coordinates_paired": (c("geo_latitude").isNull() != c("geo_longitude").isNull(), "error"),
+        "pos_requires_merchant": ((c("channel") == "pos") & c("merchant_id").isNull(), "warning"),
+        "atm_no_merchant_category": ((c("channel") == "atm") & ~c("transaction_type").eqNullSafe("withdrawal"), "warning"),
+        "refund_amount_limit": ((c("transaction_type") == "refund") & (c("transaction_amount") > refund_limit), "error"),
+        "future_timestamp_check": (c("us") > as_of + tolerance_seconds * 1_000_000, "error"),
+        "stale_timestamp_check": (c("us") < as_of - max_age_days * 86_400_000_000, "error"),
+    }

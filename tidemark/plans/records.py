@@ -177,3 +177,28 @@ def prj_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "raw_txn").withColumns({"event_id": F.lit(None).cast("string"), "event_version": F.when(F.col("m") % 2 == 0, "2.0")})
     out = rows.withColumns({"event_id": F.coalesce("event_id", F.uuid()), "event_version": F.coalesce("event_version", F.lit("1.0.0"))})
     return out.select("transaction_id", "event_version", F.col("event_id").isNotNull().alias("has_id"))
+
+
+_CROSS = {
+    "international_flag_matches_country": "geo_country IS NOT NULL AND geo_country <> 'USA' AND transaction_id % 2 = 1",
+    "card_last_four_required_for_card_transactions": "card_type IS NOT NULL AND transaction_id % 3 = 0",
+    "ip_required_for_online": "channel2 = 'online' AND transaction_id % 5 = 0",
+    "geo_coordinates_paired": "(geo_latitude IS NULL) <> (transaction_id % 4 = 1)",
+    "pos_requires_merchant": "channel2 = 'pos' AND transaction_id % 7 = 0",
+    "atm_no_merchant_category": "channel2 = 'atm' AND transaction_id % 6 <> 2",
+    "refund_amount_limit": "transaction_id % 6 = 0 AND amount * 1000 > 50000",
+    "future_timestamp_check": "transaction_id % 100 > 90",
+    "stale_timestamp_check": "transaction_id % 100 < 5",
+}
+_ERRORS = ("geo_coordinates_paired", "refund_amount_limit", "future_timestamp_check", "stale_timestamp_check")
+
+
+@query("flt_07_cross_fields", "WITH r AS (SELECT *, CASE transaction_id % 3 WHEN 0 THEN 'online' WHEN 1 THEN 'pos' ELSE 'atm' END AS channel2 FROM raw_txn), c AS (SELECT transaction_id, " + ", ".join(f"COALESCE({t}, FALSE) AS {n}" for n, t in _CROSS.items()) + " FROM r) SELECT transaction_id, NOT (" + " OR ".join(_ERRORS) + ") AS is_valid, concat_ws(',', " + ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in _CROSS) + ") AS broken FROM c")
+def flt_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules across the fields of a record; warnings leave it valid."""
+    i = F.col("transaction_id")
+    now = 1_706_745_600_000_000
+    us = F.when(i % 100 > 90, now + 300_000_001).when(i % 100 < 5, now - 90 * 86_400_000_000 - 1).otherwise(F.when(i % 2 == 0, now + 300_000_000).otherwise(now - 90 * 86_400_000_000))
+    rows = view(spark, sf_dir, "raw_txn").withColumns({"is_international": F.when(i % 2 == 0, True).when(i % 4 == 1, False), "card_last_four": F.when(i % 3 != 0, "1234"), "ip_address": F.when(i % 5 != 0, "10.0.0.1"), "geo_longitude": F.when(i % 4 != 1, 1.0), "merchant_id": F.when(i % 7 != 0, "m"), "channel": F.element_at(F.array(*map(F.lit, ("online", "pos", "atm"))), (i % 3 + 1).cast("int")), "transaction_type": F.when(i % 6 == 0, "refund").when(i % 6 == 2, "withdrawal"), "transaction_amount": F.col("amount") * 1000, "us": us})
+    found = validate.validated(rows, {}, validate.cross_field_rules(F.lit(now)))
+    return found.select("transaction_id", "is_valid", F.array_join(F.transform("issues", lambda x: x["rule"]), ",").alias("broken"))
