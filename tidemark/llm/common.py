@@ -82,3 +82,19 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterato
             held, size = [], 0
     if held:
         yield pa.concat_batches(held)
+
+
+def written(df: DataFrame) -> str:
+    """Write ``df`` as parquet in a fresh shared folder, which goes with ``removed`` or when the application ends."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``written`` made and that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
