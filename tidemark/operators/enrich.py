@@ -124,6 +124,33 @@ def with_place(txns: DataFrame, homes: DataFrame, fastest: float = 500.0) -> Dat
     }).drop("last_lat", "last_lon", "hours", "home_lat", "home_lon")
 
 
+def placed_by_fields(txns: DataFrame) -> DataFrame:
+    """``place`` from a transaction's own ``lat``, ``lon``, ``country`` and ``city``: without coordinates there is none."""
+    no = F.lit(False)
+    there = F.struct(F.coalesce("country", F.lit("")).alias("country_code"), F.coalesce("country", F.lit("")).alias("country_name"), F.coalesce("city", F.lit("")).alias("city"), F.col("lat").cast("double").alias("latitude"), F.col("lon").cast("double").alias("longitude"), no.alias("is_vpn"), no.alias("is_proxy"), no.alias("is_tor"))
+    return txns.withColumn("place", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), there))
+
+
+def with_geo(rows: DataFrame, homes: DataFrame, fastest: float = 500.0) -> DataFrame:
+    """The thirteen ``geo_*`` columns of rows with a ``place`` (of ``addresses.located`` or ``placed_by_fields``).
+
+    ``place`` has ``country_code``, ``country_name``, ``city``, ``latitude``, ``longitude``, ``is_vpn``, ``is_proxy`` and
+    ``is_tor``; without one there is no risk, distance or speed, and no flag. ``homes`` has one row a customer
+    (``customer_id``, ``home_lat``, ``home_lon``). Speed is from the place of the customer's transaction before, if that
+    has one; under 0.001 hours no speed is told."""
+    order = Window.partitionBy("customer_id").orderBy("us", "transaction_id")
+    there, lat, lon = F.col("place").isNotNull(), F.col("place.latitude"), F.col("place.longitude")
+    rows = rows.withColumns({"__lat": F.lag(lat).over(order), "__lon": F.lag(lon).over(order), "__hours": F.abs(F.col("us") - F.lag("us").over(order)) / 3.6e9}).join(homes, "customer_id", "left")
+    speed = F.when(F.col("__hours") >= 0.001, miles(F.col("__lat"), F.col("__lon"), lat, lon) / F.col("__hours"))
+    risk = F.when(there, country_risk(F.col("place.country_code"))).otherwise(0.0)
+    return rows.withColumns({
+        "geo_country_code": F.col("place.country_code"), "geo_country_name": F.col("place.country_name"), "geo_city": F.col("place.city"), "geo_latitude": lat, "geo_longitude": lon,
+        "geo_is_vpn": F.coalesce("place.is_vpn", F.lit(False)), "geo_is_proxy": F.coalesce("place.is_proxy", F.lit(False)), "geo_is_tor": F.coalesce("place.is_tor", F.lit(False)),
+        "geo_distance_from_home_miles": miles(F.col("home_lat"), F.col("home_lon"), lat, lon), "geo_country_risk_score": risk, "geo_is_high_risk_country": risk >= 0.7,
+        "geo_travel_speed_mph": speed, "geo_is_impossible_travel": F.coalesce(speed > fastest, F.lit(False)),
+    }).drop("__lat", "__lon", "__hours", "home_lat", "home_lon", "place")
+
+
 def with_device(txns: DataFrame, new_days: float = 1.0, many: int = 3) -> DataFrame:
     """``device_*`` columns from the device's earlier transactions; without a device the risk is 0.8 and the rest null.
 

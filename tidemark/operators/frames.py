@@ -32,8 +32,8 @@ def prior(key: str, *order: str) -> WindowSpec:
 
 
 def distinct_counts(rows: DataFrame, key: str, us: str, wanted: dict[str, tuple[str, int]], inclusive: bool = True) -> DataFrame:
-    """``rows`` with the number of distinct non-null values of a column within [t - W, t] for each of ``wanted``: name ->
-    (column, seconds). Within [t - W, t) if not ``inclusive``.
+    """``rows`` with the number of distinct values of a column within [t - W, t] for each of ``wanted``: name ->
+    (column, seconds). Within [t - W, t) if not ``inclusive``. Null and the empty string aren't values.
 
     A value counts from a row that has none of its kind within W before it to W after the last one of such a row's run.
     Those beginnings and ends become rows of +1 and -1 whose running sum is the answer, so that no frame is gathered: time
@@ -42,7 +42,7 @@ def distinct_counts(rows: DataFrame, key: str, us: str, wanted: dict[str, tuple[
     steps = [F.struct(F.col(us).alias("at"), F.lit(True).alias("own"), *[F.col(f"__first_{n}").cast("long").alias(n) for n in wanted])]
     for name, (column, seconds) in wanted.items():
         w = Window.partitionBy(key, column).orderBy(us)
-        there, span = F.col(column).isNotNull(), seconds * SECOND
+        there, span = F.coalesce(F.col(column).cast("string") != "", F.lit(False)), seconds * SECOND
         before_, after = F.lag(us).over(w), F.lead(us).over(w)
         rows = rows.withColumns({f"__first_{name}": there & (before_.isNull() | (before_ < F.col(us) - span)), f"__last_{name}": there & (after.isNull() | (after > F.col(us) + span))})
         steps.append(F.when(F.col(f"__last_{name}"), F.struct((F.col(us) + span + int(inclusive)).alias("at"), F.lit(False).alias("own"), *[F.lit(-1 if n == name else 0).cast("long").alias(n) for n in wanted])))
@@ -52,6 +52,25 @@ def distinct_counts(rows: DataFrame, key: str, us: str, wanted: dict[str, tuple[
     return events.withColumns({n: F.coalesce(F.sum(n).over(running), F.lit(0)) for n in wanted}).filter("own").select(*kept, *wanted)
 
 
+def distinct_until(rows: DataFrame, key: str, us: str, column: str, now: int, windows: dict[str, int]) -> DataFrame:
+    """``key`` and ``distinct_<name>`` for each window: the distinct values of ``column`` in [now - seconds, now).
+
+    Values are compared as strings; null and the empty string aren't values. A key without any has zeros. One row a key
+    and value is left after the first aggregation, so windows cost nothing more."""
+    value = F.col(column).cast("string")
+    there = F.coalesce(value != "", F.lit(False)) & (F.col(us) < now)
+    last = rows.groupBy(key, F.when(there, value).alias("__value")).agg(F.max(F.when(there, F.col(us))).alias("__last"))
+    return last.groupBy(key).agg(*[F.count_if(F.col("__last") >= now - seconds * SECOND).alias(f"distinct_{name}") for name, seconds in windows.items()])
+
+
+def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """Page ``number`` (from 1; the last one if there are fewer) of ``size`` rows in ``order``, which must be total.
+
+    The rows are counted; then each task keeps no more than the rows up to the page's end."""
+    last = max((rows.count() + size - 1) // size, 1)
+    return rows.orderBy(*order).offset((min(max(number, 1), last) - 1) * size).limit(size)
+
+
 def velocity(txns: DataFrame, key: str = "customer_id") -> DataFrame:
     """Counts and sums over 1 and 5 minutes, 1 and 24 hours, and distinct merchants and countries, the current row
     included."""

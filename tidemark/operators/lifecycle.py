@@ -21,7 +21,9 @@ POLICIES: tuple[dict[str, Any], ...] = (
     {"id": "high_severity", "severities": ("high",), "timeouts": (15, 30, 60), "enabled": True},
     {"id": "medium_severity", "severities": ("medium",), "timeouts": (60, 120), "enabled": True},
 )
+#: Limits: how many within how many seconds; alerts in a minute that set off a storm, and the seconds it lasts: fixed values.
 THROTTLES = {"account": (5, 3600), "rule": (50, 3600), "total": (100, 60)}
+STORM = (200, 300)
 
 
 def rank_of(severity: Column) -> Column:
@@ -125,35 +127,6 @@ def on_call(ts_us: Column, start_us: int, members: list[str], hours: int) -> Col
     return F.element_at(F.array(*map(F.lit, members)), (turn + 1).cast("int"))
 
 
-def throttled(alerts: DataFrame, store, limits: dict[str, tuple[int, int]] = THROTTLES) -> DataFrame:
-    """``alert_id`` and ``reason``: null for alerts that are sent, else the first limit that was full: all, account or rule.
-
-    Alerts are taken in order of ``created_us`` and ``alert_id``; only those sent count, for the seconds of each limit. What
-    is sent depends on what was sent before, so verdicts are computed again from the last ones until none changes: an
-    alert's verdict is right once those before it are. Each round is window work by account, by rule, and for the whole by
-    stretches of the limit's seconds, so no task takes all rows. ``store`` cuts the lineage of a round's rows."""
-    count, span = limits["total"]
-    span_us = span * SECOND
-    rows = store(alerts.select("alert_id", "account_id", "rule_id", F.col("created_us").alias("at"), F.lit(True).alias("sent"), F.lit(None).cast("string").alias("reason")))
-    while True:
-        marked = rows.withColumn("own", F.lit(True)).withColumn("stretch", F.expr(f"at div {span_us}"))
-        again = marked.withColumns({"own": F.lit(False), "stretch": F.col("stretch") + 1})  # looked back at from the next stretch
-
-        def before(frame: DataFrame, key: str, seconds: int, name: str) -> DataFrame:
-            one = F.when(F.col("sent"), 1)
-            earlier = Window.partitionBy(key).orderBy("at").rangeBetween(-seconds * SECOND + 1, -1)
-            tied = Window.partitionBy(key, "at").orderBy("alert_id").rowsBetween(Window.unboundedPreceding, -1)
-            return frame.withColumn(name, F.count(one).over(earlier) + F.count(one).over(tied))
-
-        out = before(marked.unionByName(again), "stretch", span, "n_total").filter("own").drop("own", "stretch")
-        out = before(before(out, "account_id", limits["account"][1], "n_account"), "rule_id", limits["rule"][1], "n_rule")
-        reason = F.when(F.col("n_total") >= count, "total").when(F.col("n_account") >= limits["account"][0], "account").when(F.col("rule_id").isNotNull() & (F.col("n_rule") >= limits["rule"][0]), "rule")
-        out = store(out.select("alert_id", "account_id", "rule_id", "at", reason.isNull().alias("sent"), reason.alias("reason"), (~F.col("sent").eqNullSafe(reason.isNull())).alias("changed")))
-        if out.filter("changed").isEmpty():
-            return out.select("alert_id", "reason")
-        rows = out.drop("changed")
-
-
 def candidates(scores: DataFrame, threshold: float | None = None) -> DataFrame:
     """Scores that an alert is ``recommended`` for, and that reach ``threshold`` if one is given."""
     kept = scores.filter("recommended")
@@ -176,19 +149,3 @@ def with_context(alerts: DataFrame, txns: DataFrame, n: int = 10) -> DataFrame:
     placed = placed.withColumn("recent", recent).filter("alert_id is not null and total > 0")
     newest = F.reverse(F.array_sort("recent"))
     return placed.select("alert_id", "total", F.round("average", 6).alias("average"), F.array_join(F.transform(newest, lambda x: x["transaction_id"].cast("string")), ",").alias("recent"))
-
-
-def rate_limited(events: DataFrame, event: str, key: str, us: str, most: int, seconds: int, store) -> DataFrame:
-    """``events`` with ``allowed``: whether fewer than ``most`` allowed ones of the key lie within ``seconds`` before.
-
-    In order of ``us`` and ``event``; those turned away don't count. Rounds as in ``throttled``."""
-    rows = store(events.withColumn("allowed", F.lit(True)))
-    one = F.when(F.col("allowed"), 1)
-    earlier = Window.partitionBy(key).orderBy(us).rangeBetween(-seconds * SECOND + 1, -1)
-    tied = Window.partitionBy(key, us).orderBy(event).rowsBetween(Window.unboundedPreceding, -1)
-    while True:
-        free = F.count(one).over(earlier) + F.count(one).over(tied) < most
-        out = store(rows.withColumn("__free", free))
-        if out.filter(F.col("__free") != F.col("allowed")).isEmpty():
-            return out.drop("__free")
-        rows = out.withColumn("allowed", F.col("__free")).drop("__free")

@@ -111,19 +111,6 @@ def st_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.suppressed(rows, minutes=7200)
 
 
-@query("win_19_throttles", """
-    WITH RECURSIVE steps AS (SELECT alert_id, account_id, rule_id, us // 2000 AS us, ROW_NUMBER() OVER (ORDER BY us // 2000, alert_id) AS n FROM (SELECT *, created_us - 1704067200000000 AS us FROM alert) a),
-    walk AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS alert_id, NULL::VARCHAR AS reason, []::STRUCT(us BIGINT, account BIGINT, rule VARCHAR)[] AS sent
-      UNION ALL
-      SELECT s.n, s.alert_id, t.why, CASE WHEN t.why IS NULL THEN list_append(w.sent, {'us': s.us, 'account': s.account_id, 'rule': s.rule_id}) ELSE w.sent END
-      FROM walk w JOIN steps s ON s.n = w.n + 1, LATERAL (SELECT CASE WHEN len(list_filter(w.sent, lambda x: s.us - x.us < 60000000)) >= 100 THEN 'total' WHEN len(list_filter(w.sent, lambda x: x.account = s.account_id AND s.us - x.us < 3600000000)) >= 5 THEN 'account' WHEN s.rule_id IS NOT NULL AND len(list_filter(w.sent, lambda x: x.rule = s.rule_id AND s.us - x.us < 3600000000)) >= 50 THEN 'rule' END AS why) t)
-    SELECT alert_id, reason FROM walk WHERE n > 0""")
-def win_19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Limits on what is sent, in all, by account and by rule; time runs 2,000 times as fast."""
-    rows = view(spark, sf_dir, "alert").withColumn("created_us", F.expr("(created_us - 1704067200000000) div 2000"))
-    return lifecycle.throttled(rows, cut)
-
-
 @query("fn_d07_on_call", "SELECT alert_id, CASE (created_us - 1704067200000000) // 43200000000 % 3 WHEN 0 THEN 'ann' WHEN 1 THEN 'bob' ELSE 'cem' END AS who FROM alert")
 def fn_d07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is on duty when an alert comes."""

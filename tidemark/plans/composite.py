@@ -77,20 +77,6 @@ def st_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").select("transaction_id")
 
 
-_LIMIT = """
-    WITH RECURSIVE steps AS (SELECT transaction_id AS id, account_id AS k, us // 400 AS us, ROW_NUMBER() OVER (PARTITION BY account_id ORDER BY us // 400, transaction_id) AS n FROM (SELECT *, epoch_us(ts) - 1704067200000000 AS us FROM txn WHERE account_id < 40) t),
-    walk AS (SELECT 0::BIGINT AS n, k, NULL::BIGINT AS id, NULL::BOOLEAN AS allowed, []::BIGINT[] AS sent FROM (SELECT DISTINCT k FROM steps) a
-      UNION ALL SELECT s.n, s.k, s.id, t.free, CASE WHEN t.free THEN list_append(list_filter(w.sent, lambda x: s.us - x < 3600000000), s.us) ELSE w.sent END FROM walk w JOIN steps s ON s.k = w.k AND s.n = w.n + 1, LATERAL (SELECT len(list_filter(w.sent, lambda x: s.us - x < 3600000000)) < 5 AS free) t)
-    SELECT id AS transaction_id, allowed FROM walk WHERE n > 0"""
-
-
-@query("st_09_rate_limit", _LIMIT)
-def st_09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most five of an account within an hour, those turned away not counting; time runs 400 times as fast."""
-    rows = view(spark, sf_dir, "txn").filter("account_id < 40").select("transaction_id", "account_id", F.expr("(us - 1704067200000000) div 400").alias("at"))
-    return lifecycle.rate_limited(rows, "transaction_id", "account_id", "at", 5, 3600, cut).select("transaction_id", "allowed")
-
-
 @query("src_19_generated")
 def src_19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated transactions with planted patterns: the share and the amounts of each."""

@@ -17,7 +17,6 @@ SHARED: dict[str, str] = {
     "agg_02_several_fields": "SELECT account_id, COUNT(amount) AS n_amount, CAST(SUM(amount) AS DOUBLE) AS sum_amount, ROUND(AVG(lat), 6) AS mean_lat, MIN(lat) AS least_lat, MAX(lat) AS most_lat, ROUND(STDDEV_SAMP(lon), 6) AS sd_lon FROM txn GROUP BY account_id",
     "win_15_importance_rank": "SELECT feature, ROW_NUMBER() OVER (ORDER BY importance DESC, feature) AS place, importance FROM (SELECT channel AS feature, ROUND(AVG(ABS(lat)), 6) AS importance FROM txn GROUP BY channel) f",
     "srt_02_export_cap": "SELECT transaction_id FROM txn ORDER BY us DESC, transaction_id LIMIT 50000",
-    "srt_07_page": "SELECT page_no, transaction_id FROM (SELECT transaction_id, @div{ROW_NUMBER() OVER (ORDER BY us DESC, transaction_id) - 1||,||100} + 1 AS page_no FROM txn) paged WHERE page_no = LEAST(GREATEST(3, 1), (SELECT @div{COUNT(*) + 99||,||100} FROM txn))",
     "srt_08_open_by_severity": "SELECT alert_id, severity FROM alert WHERE status = 'open' ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, created_us, alert_id",
     "srt_09_newest_quarantined": "SELECT transaction_id, us FROM txn WHERE mcc_slot IS NULL ORDER BY us DESC, transaction_id LIMIT 100",
     "srt_12_registry_order": "SELECT model, changed FROM (SELECT channel AS model, COALESCE(MAX(CASE WHEN channel = 'pos' THEN us END), MAX(CASE WHEN status = 'declined' THEN us END), MIN(us)) AS changed FROM txn GROUP BY channel) r ORDER BY changed DESC, model",

@@ -54,8 +54,10 @@ REPORTS: dict[str, str] = {
         FROM txn t JOIN latest_score s ON t.transaction_id = s.transaction_id GROUP BY t.customer_id""",
     "agg_18_velocity_by_hour": "SELECT account_id, @us{date_trunc('hour', ts)} AS hour_us, COUNT(*) AS n, CAST(SUM(amount) AS DOUBLE) AS total, COUNT(DISTINCT merchant_id) AS merchants FROM txn GROUP BY account_id, date_trunc('hour', ts)",
     "agg_19_kpis": """
-        SELECT COUNT(*) AS n_rows, COUNT(DISTINCT t.transaction_id) AS n, CAST(SUM(t.amount) AS DOUBLE) AS fanned_total, COUNT(DISTINCT a.alert_id) FILTER (WHERE a.status IN ('new', 'investigating')) AS open_alerts, COUNT(DISTINCT t.account_id) FILTER (WHERE s.score >= 0.8) AS risky_accounts, ROUND(AVG(s.score), 9) AS mean_score
-        FROM txn t LEFT JOIN txn_score s ON t.transaction_id = s.transaction_id LEFT JOIN alert a ON t.transaction_id = a.transaction_id""",
+        SELECT COUNT(*) AS total_txns, COUNT(*) FILTER (WHERE t.state = 'flagged') AS flagged_txns, ROUND(COALESCE(AVG(s.score), 0), 9) AS avg_risk_score, COUNT(DISTINCT a.alert_id) FILTER (WHERE a.status = 'open') AS active_alerts,
+               COUNT(DISTINCT t.transaction_id) AS distinct_txns, CAST(SUM(t.amount) AS DOUBLE) AS fanned_total, COUNT(DISTINCT t.account_id) FILTER (WHERE s.score >= 0.8) AS risky_accounts
+        FROM (SELECT x.*, CASE WHEN transaction_id % 25 = 3 THEN 'flagged' ELSE status END AS state FROM txn x) t LEFT JOIN txn_score s ON t.transaction_id = s.transaction_id LEFT JOIN alert a ON t.transaction_id = a.transaction_id
+        WHERE t.us BETWEEN (SELECT MIN(us) FROM txn) + 3600000000 AND (SELECT MAX(us) FROM txn) AND (CAST(NULL AS VARCHAR(9)) IS NULL OR t.channel = CAST(NULL AS VARCHAR(9))) AND ('JP' IS NULL OR t.country <> 'JP')""",
     "agg_20_minute_volume": "SELECT @us{date_trunc('minute', ts)} AS minute_us, COUNT(*) AS n, CAST(SUM(amount) AS DOUBLE) AS total FROM txn GROUP BY date_trunc('minute', ts)",
     "agg_21_breakdowns": "SELECT 'country' AS kind, country AS name, COUNT(*) AS n FROM txn GROUP BY country UNION ALL SELECT 'channel', channel, COUNT(*) FROM txn GROUP BY channel",
     "agg_22_period_delta": """
@@ -76,11 +78,19 @@ REPORTS: dict[str, str] = {
         WITH ends AS (SELECT MAX(us) AS now_us FROM txn),
         timed AS (SELECT severity, (COALESCE(resolved_us, now_us) - created_us) / 3.6e9 AS hours, CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 4 WHEN 'medium' THEN 24 ELSE 72 END AS target FROM alert CROSS JOIN ends)
         SELECT severity, COUNT(*) AS n, COUNT(*) FILTER (WHERE hours <= target) AS met, COUNT(*) FILTER (WHERE hours > target) AS breached, ROUND(AVG(hours), 6) AS mean_hours FROM timed GROUP BY severity""",
-    "agg_29_alert_kpis": "SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE status = 'new') AS fresh, COUNT(*) FILTER (WHERE resolved_us IS NOT NULL) AS closed, ROUND(AVG((resolved_us - created_us) / 3.6e9), 6) AS mean_hours, COUNT(*) FILTER (WHERE severity = 'critical' AND resolved_us IS NULL) AS open_critical FROM alert",
+    "agg_29_alert_kpis": """
+        WITH ends AS (SELECT MAX(us) AS now_us FROM txn),
+        timed AS (SELECT a.*, (COALESCE(resolved_us, now_us) - created_us) / 3.6e9 AS hours, CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 4 WHEN 'medium' THEN 24 ELSE 72 END AS target FROM alert a CROSS JOIN ends)
+        SELECT COUNT(*) AS total_alerts, COUNT(*) FILTER (WHERE status IN ('open', 'investigating')) AS open_alerts, CASE WHEN COUNT(*) = 0 THEN 0e0 ELSE CAST(COUNT(*) FILTER (WHERE status IN ('resolved', 'false_positive')) AS DOUBLE) / COUNT(*) END AS resolution_rate,
+               CASE WHEN COUNT(*) FILTER (WHERE status IN ('resolved', 'false_positive')) = 0 THEN 0e0 ELSE CAST(COUNT(*) FILTER (WHERE status = 'false_positive') AS DOUBLE) / COUNT(*) FILTER (WHERE status IN ('resolved', 'false_positive')) END AS false_positive_rate,
+               CASE WHEN COUNT(*) = 0 THEN 0e0 ELSE CAST(COUNT(*) FILTER (WHERE hours <= target) AS DOUBLE) / COUNT(*) END AS sla_compliance, ROUND(COALESCE(AVG((resolved_us - created_us) / 3.6e9), 0), 6) AS avg_response_hours FROM timed""",
     "agg_30_resolution_by_analyst": "SELECT assigned_to, COUNT(*) AS n, COUNT(*) FILTER (WHERE status = 'resolved') AS resolved, COUNT(*) FILTER (WHERE status = 'false_positive') AS wrong, ROUND(AVG((resolved_us - created_us) / 3.6e9), 6) AS mean_hours FROM alert WHERE assigned_to IS NOT NULL GROUP BY assigned_to",
     "agg_31_analyst_workload": """
-        SELECT assigned_to, COUNT(*) FILTER (WHERE status = 'new') AS fresh, COUNT(*) FILTER (WHERE status = 'investigating') AS open, COUNT(*) FILTER (WHERE status = 'escalated') AS escalated, COUNT(*) FILTER (WHERE severity = 'critical') AS critical, ROUND(AVG(score) FILTER (WHERE status <> 'new'), 9) AS mean_score, MAX(created_us) AS last_us
-        FROM alert WHERE assigned_to IS NOT NULL GROUP BY assigned_to""",
+        WITH ends AS (SELECT MAX(us) AS now_us FROM txn), who AS (SELECT DISTINCT assigned_to AS analyst FROM alert WHERE assigned_to IS NOT NULL),
+        mine AS (SELECT assigned_to, COUNT(*) FILTER (WHERE status = 'investigating') AS my_active, COUNT(*) FILTER (WHERE status IN ('resolved', 'false_positive') AND resolved_us >= now_us - 604800000000) AS my_closed_7d FROM alert CROSS JOIN ends GROUP BY assigned_to),
+        everyone AS (SELECT COUNT(*) FILTER (WHERE status = 'open') AS open_alerts, COUNT(*) FILTER (WHERE status = 'investigating') AS investigating_alerts, COUNT(*) FILTER (WHERE status IN ('resolved', 'false_positive')) AS closed_alerts,
+          ROUND(COALESCE(AVG((resolved_us - created_us) / 3.6e9) FILTER (WHERE status IN ('resolved', 'false_positive') AND resolved_us IS NOT NULL), 0), 6) AS avg_resolution_hours FROM alert)
+        SELECT analyst, open_alerts, investigating_alerts, closed_alerts, my_active, my_closed_7d, avg_resolution_hours FROM who JOIN mine ON analyst = assigned_to CROSS JOIN everyone""",
     "agg_33_channel_union": """
         WITH hours AS (SELECT @us{date_trunc('hour', ts)} AS hour_us, COUNT(*) FILTER (WHERE status = 'declined') AS bad, COUNT(*) FILTER (WHERE channel = 'online') AS online, COUNT(*) FILTER (WHERE channel = 'pos') AS pos, COUNT(*) FILTER (WHERE channel = 'atm') AS atm, COUNT(*) FILTER (WHERE channel = 'mobile') AS mobile FROM txn GROUP BY date_trunc('hour', ts))
         SELECT hour_us, 'online' AS channel, online AS n, bad FROM hours UNION ALL SELECT hour_us, 'pos', pos, bad FROM hours UNION ALL SELECT hour_us, 'atm', atm, bad FROM hours UNION ALL SELECT hour_us, 'mobile', mobile, bad FROM hours""",

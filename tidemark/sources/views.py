@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 DIALECTS = {
-    "spark": {"us": "unix_micros(CAST({} AS TIMESTAMP))", "ts": "CAST({} AS TIMESTAMP)", "k": "CAST(get_json_object(props, '$.k') AS BIGINT)", "hours": "make_dt_interval(0, {})", "div": "({}) DIV ({})"},
-    "duckdb": {"us": "epoch_us({})", "ts": "{}", "k": "CAST(props->>'$.k' AS BIGINT)", "hours": "to_hours(CAST({} AS INTEGER))", "div": "({}) // ({})"},
+    "spark": {"us": "unix_micros(CAST({} AS TIMESTAMP))", "ts": "CAST({} AS TIMESTAMP)", "k": "CAST(get_json_object(props, '$.k') AS BIGINT)", "hours": "make_dt_interval(0, {})", "div": "({}) DIV ({})", "hex": "CAST(conv({}, 16, 10) AS BIGINT)"},
+    "duckdb": {"us": "epoch_us({})", "ts": "{}", "k": "CAST(props->>'$.k' AS BIGINT)", "hours": "to_hours(CAST({} AS INTEGER))", "div": "({}) // ({})", "hex": "CAST('0x' || {} AS BIGINT)"},
 }
 
 #: View -> text. A view may read those before it.
@@ -88,6 +88,22 @@ VIEWS: dict[str, str] = {
     "fact_line": """
         SELECT l.l_orderkey AS transaction_id, l.l_linenumber AS line, l.l_suppkey AS merchant_id, l.l_partkey AS part_id, p.p_brand AS category, CAST(l.l_extendedprice AS DECIMAL(18,2)) AS line_amount, (l.l_orderkey * 11) % 29 = 0 AS is_fraud, s.s_nationkey AS merchant_nation
         FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey""",
+    "network": """
+        SELECT net_key, family, length, lo, hi, country_code, country_name, city, latitude, longitude, is_vpn, is_proxy, is_tor,
+               CASE WHEN family = 4 THEN CAST(@div{lo||,||16777216} AS VARCHAR(3)) || '.' || CAST(@div{lo % 16777216||,||65536} AS VARCHAR(3)) || '.' || CAST(@div{lo % 65536||,||256} AS VARCHAR(3)) || '.' || CAST(lo % 256 AS VARCHAR(3)) || '/' || CAST(length AS VARCHAR(3))
+                    WHEN length = 48 THEN '2001:db8:' || CAST(slot AS VARCHAR(4)) || '::/48' ELSE '2001:0DB8:' || CAST(slot AS VARCHAR(4)) || ':' || CAST(net_key % 10 AS VARCHAR(4)) || ':0:0:0:0/64' END AS network
+        FROM (SELECT net_key, family, length, slot, CASE WHEN family = 4 THEN low4 ELSE low6 END AS lo, CASE WHEN family = 4 THEN low4 + size4 - 1 WHEN length = 48 THEN low6 + 65535 ELSE low6 END AS hi, country_code, 'land of ' || country_code AS country_name, 'city' || CAST(net_key % 50 AS VARCHAR(9)) AS city,
+                     CAST(net_key % 170 AS DOUBLE) - 85 AS latitude, CAST(net_key * 7 % 350 AS DOUBLE) - 175 AS longitude, net_key % 11 = 0 AS is_vpn, net_key % 13 = 0 AS is_proxy, net_key % 17 = 0 AS is_tor
+              FROM (SELECT k.*, spot - spot % size4 AS low4, 2306139568115548160 + @hex{CAST(slot AS VARCHAR(4))} * 65536 + CASE WHEN length = 64 THEN net_key % 10 ELSE 0 END AS low6
+                    FROM (SELECT c_custkey AS net_key, CASE WHEN c_custkey % 4 = 0 THEN 6 ELSE 4 END AS family, CASE WHEN c_custkey % 4 <> 0 THEN 12 + c_custkey % 15 WHEN c_custkey % 8 = 0 THEN 48 ELSE 64 END AS length, c_custkey * 37 % 1000 AS slot, 167772160 + c_custkey * 7919 % 65536 * 256 + c_custkey % 256 AS spot,
+                                 CAST(POWER(2, 20 - c_custkey % 15) AS BIGINT) AS size4, CASE c_custkey % 9 WHEN 0 THEN 'KP' WHEN 1 THEN 'NG' WHEN 2 THEN 'GB' WHEN 3 THEN 'SY' WHEN 4 THEN '' WHEN 5 THEN 'ZZ' ELSE 'US' END AS country_code FROM customer) k) sized) shaped""",
+    "addressed": """
+        SELECT transaction_id, customer_id, us, lat, lon, country, CASE WHEN transaction_id % 6 = 5 THEN 6 ELSE 4 END AS family, CASE WHEN kind = 6 THEN num6 WHEN kind <> 8 THEN num4 END AS num,
+               CASE WHEN kind = 8 THEN CASE transaction_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '10.0.0.256' WHEN 2 THEN 'unknown' ELSE '' END
+                    WHEN kind = 6 THEN '2001:db8:' || CAST(slot AS VARCHAR(4)) || ':' || CAST(customer_id % 10 AS VARCHAR(4)) || '::' || CAST(transaction_id % 9999 AS VARCHAR(4))
+                    ELSE CASE WHEN transaction_id % 5 = 4 THEN '::ffff:' ELSE '' END || CAST(@div{num4||,||16777216} AS VARCHAR(3)) || '.' || CAST(@div{num4 % 16777216||,||65536} AS VARCHAR(3)) || '.' || CAST(@div{num4 % 65536||,||256} AS VARCHAR(3)) || '.' || CAST(num4 % 256 AS VARCHAR(3)) END AS ip_address
+        FROM (SELECT t.*, CASE WHEN transaction_id % 50 = 7 THEN 8 WHEN transaction_id % 6 = 5 THEN 6 ELSE 4 END AS kind, transaction_id * 11 % 1000 AS slot, CASE WHEN transaction_id % 3 = 0 THEN 167772161 WHEN transaction_id % 10 = 1 THEN 3232235520 + transaction_id % 65536 ELSE 167772160 + transaction_id * 104729 % 16777216 END AS num4,
+                     2306139568115548160 + @hex{CAST(transaction_id * 11 % 1000 AS VARCHAR(4))} * 65536 + customer_id % 10 AS num6 FROM txn t) numbered""",
     "scored_label": """
         SELECT d.doc_id, l.toxic AS label, l.quality, CAST(d.n_chars % 1000 AS DOUBLE) / 1000 AS score, d.lang AS segment, CASE WHEN d.doc_id % 2 = 0 THEN 'base' ELSE 'now' END AS period
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
