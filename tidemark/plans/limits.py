@@ -1,12 +1,12 @@
-"""Queries of limits on what is sent, of pages and of distinct values up to a time."""
+"""Queries of limits on what is sent, of pages, of distinct values up to a time and of tables refreshed from deltas."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import admission, frames, lifecycle
-from ..operators.lineage import cut
+from ..operators import admission, frames, lifecycle, refresh
+from ..operators.lineage import cut, scratch
 from ..sources.views import view
 from .derived import query
 
@@ -75,3 +75,38 @@ def agg_03_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("transaction_id")
     rows = view(spark, sf_dir, "txn").withColumn("country", F.when(i % 4 == 0, "").when(i % 9 != 0, F.col("country")))
     return frames.distinct_counts(rows, "account_id", "us", {"countries": ("country", 86_400)}, inclusive=False).select("transaction_id", "countries")
+
+
+def _thrice(rows: DataFrame, what: refresh.Aggregate) -> DataFrame:
+    """A table refreshed at three times, the last of which is now."""
+    spark, folder = rows.sparkSession, scratch(rows.sparkSession)
+    first, last = rows.agg(F.min(what.at), F.max(what.at)).first()
+    if first is not None:
+        for now in (first + (last - first) // 2, first + (last - first) * 9 // 10, last):
+            refresh.refreshed(folder, rows, what, now)
+        return refresh.current(spark, folder, what)
+    return rows.groupBy(*what.keys).agg(*[F.sum(c).alias(n) for n, c in what.sums.items()], *[F.max(c).alias(n) for n, c in what.maxima.items()], *[F.count_distinct(c).alias(n) for n, c in what.distinct.items()])
+
+
+@query("snk_16_velocity_table", "SELECT account_id, us // 3600000000 AS hour, COUNT(*) AS n, CAST(SUM(amount) AS DOUBLE) AS total, COUNT(DISTINCT merchant_id) AS merchants FROM txn GROUP BY ALL")
+def snk_16_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly velocity of accounts, kept and refreshed."""
+    rows = view(spark, sf_dir, "txn").select("account_id", F.expr("us div 3600000000").alias("hour"), "us", "amount", "merchant_id")
+    what = refresh.Aggregate(("account_id", "hour"), "us", {"n": F.lit(1), "total": F.col("amount")}, distinct={"merchants": "merchant_id"})
+    return _thrice(rows, what).withColumn("total", F.col("total").cast("double"))
+
+
+@query("snk_16_merchant_table", "SELECT merchant_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE status = 'declined') AS declined, COUNT(DISTINCT customer_id) AS customers, ROUND(COUNT(*) FILTER (WHERE status = 'declined') / CAST(COUNT(*) AS DOUBLE), 9) AS rate FROM txn GROUP BY merchant_id HAVING COUNT(*) >= 10")
+def snk_16_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risky merchants of ten transactions or more, kept and refreshed."""
+    rows = view(spark, sf_dir, "txn").select("merchant_id", "us", "status", "customer_id")
+    what = refresh.Aggregate(("merchant_id",), "us", {"n": F.lit(1), "declined": (F.col("status") == "declined").cast("bigint")}, distinct={"customers": "customer_id"})
+    return _thrice(rows, what).filter("n >= 10").withColumn("rate", F.round(F.col("declined") / F.col("n"), 9))
+
+
+@query("snk_16_customer_table", "SELECT t.customer_id, COUNT(*) AS n, ROUND(AVG(s.score), 9) AS mean_score, MAX(s.score) AS top_score, COUNT(*) FILTER (WHERE s.score >= 0.8) AS risky FROM txn t JOIN latest_score s USING (transaction_id) GROUP BY t.customer_id")
+def snk_16_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' risk, kept and refreshed."""
+    rows = view(spark, sf_dir, "txn").join(view(spark, sf_dir, "latest_score"), "transaction_id").select("customer_id", "us", "score")
+    what = refresh.Aggregate(("customer_id",), "us", {"n": F.lit(1), "score": F.col("score"), "risky": (F.col("score") >= 0.8).cast("bigint")}, {"top_score": F.col("score")})
+    return _thrice(rows, what).select("customer_id", "n", F.round(F.col("score") / F.col("n"), 9).alias("mean_score"), "top_score", "risky")
