@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, lifecycle, merge, models, validate
+from ..operators import clean, explain, merge, models, validate
 from ..operators.lineage import cut, scratch
 from ..sources import generate
 from ..sources import reference as ref
@@ -106,15 +106,28 @@ def udf_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.score_forest(txns, "transaction_id", INPUTS, models.fit_forest(txns, "transaction_id", INPUTS))
 
 
-@query("udf_06_risk_model")
-def udf_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees trained on the first part of the time, calibrated on the second, applied to the rest."""
+def _risk_model(spark: SparkSession, sf_dir: str) -> tuple[models.RiskModel, DataFrame]:
+    """A model trained on the first part of the time and calibrated on the second, and the rows of the rest."""
     rows = view(spark, sf_dir, "risk_txn").withColumn("label", ((F.col("amount") > 5000) & (F.col("status") == "declined") | (F.col("transaction_id") % 97 == 0)).cast("int"))
-    inputs = ["amount", "lat", "lon", "merchant_id"]
     part = F.when(F.col("us") < 1_705_000_000_000_000, "train").when(F.col("us") < 1_705_600_000_000_000, "calibrate").otherwise("test")
     marked = rows.withColumn("part", part)
-    model = models.RiskModel(inputs).fit(marked.filter("part = 'train'"), marked.filter("part = 'calibrate'"))
-    return model.predict(marked.filter("part = 'test'")).select("transaction_id", F.round("risk", 6).alias("risk"))
+    model = models.RiskModel(["amount", "lat", "lon", "merchant_id"]).fit(marked.filter("part = 'train'"), marked.filter("part = 'calibrate'"))
+    return model, marked.filter("part = 'test'")
+
+
+@query("udf_06_risk_model")
+def udf_06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees trained on the first part of the time, calibrated on the second, applied to the rest."""
+    model, rows = _risk_model(spark, sf_dir)
+    return model.predict(rows).select("transaction_id", F.round("risk", 6).alias("risk"))
+
+
+@query("udf_06_explanation")
+def udf_06_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each input adds to the margin of every row that the model is applied to."""
+    model, rows = _risk_model(spark, sf_dir)
+    out = explain.explained(rows, "transaction_id", model.inputs, model.model)
+    return out.select("transaction_id", F.round("base", 6).alias("base"), F.round("margin", 6).alias("margin"), F.posexplode("reasons").alias("place", "reason")).select("transaction_id", "base", "margin", "place", "reason.feature", F.round("reason.contribution", 6).alias("contribution"), "reason.value", "reason.direction")
 
 
 @query("udf_08_registry", "SELECT * FROM (VALUES ('a', '1', 'archived', 30), ('a', '2', 'production', 40), ('a', '3', 'archived', 40), ('b', '1', 'production', 5)) AS t(model, version, status, changed)")
