@@ -32,15 +32,33 @@ def feature_psi(rows: DataFrame, bins: int = 20, epsilon: float = 1e-8) -> DataF
     return share.groupBy("feature").agg(F.sum((F.col("n") - F.col("b")) * F.log(F.col("n") / F.col("b"))).alias("psi"))
 
 
+def score_psi(rows: DataFrame, by: list[str], bins: int = 50, epsilon: float = 1e-8, least: int = 100) -> DataFrame:
+    """``by`` and ``psi`` of scores from ``rows`` of ``by``, ``score`` and ``base`` (true for the baseline).
+
+    Bins are equal parts of 0 to 1; scores outside don't count. Densities get ``epsilon`` and are scaled to 1. Null with fewer
+    than ``least`` scores after the baseline. Only counts by bin are shuffled."""
+    inside = rows.filter(F.col("score").between(0.0, 1.0)).groupBy(*by, F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int").alias("bin"))
+    counts = inside.agg(F.count_if("base").alias("b"), F.count_if(~F.col("base")).alias("c"))
+    wide = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("b", "c")))).alias("held"), F.sum("b").alias("all_b"), F.sum("c").alias("all_c"))  # a row a bin
+    at = lambda k, name: F.coalesce(F.try_element_at("held", k)[name], F.lit(0))
+    density = lambda name, total: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.coalesce(F.try_divide(at(k, name) * float(bins), F.col(total)), F.lit(0.0)) + epsilon)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    dense = wide.select(*by, "all_c", density("b", "all_b").alias("b"), density("c", "all_c").alias("c"))
+    scaled = dense.select(*by, "all_c", total(F.col("b")).alias("sum_b"), total(F.col("c")).alias("sum_c"), "b", "c")
+    terms = F.zip_with("b", "c", lambda b, c: (c / F.col("sum_c") - b / F.col("sum_b")) * F.log((c / F.col("sum_c")) / (b / F.col("sum_b"))))
+    return scaled.select(*by, F.when(F.col("all_c") >= least, total(terms)).alias("psi"))
+
+
 def drift_alerts(psi: DataFrame, warning: float = 0.1, critical: float = 0.5) -> DataFrame:
     """``metric``, ``severity``, ``value``, ``threshold`` for each feature that drifted."""
     hit = psi.filter(F.col("psi") > warning)
     return hit.select(F.concat(F.lit("feature_drift_"), "feature").alias("metric"), F.when(F.col("psi") > critical, "critical").otherwise("warning").alias("severity"), F.col("psi").alias("value"), F.lit(warning).alias("threshold"))
 
 
-def prediction_alert(psi: DataFrame) -> DataFrame:
-    """The same for the scores themselves: critical over 0.25."""
-    return drift_alerts(psi, 0.1, 0.25).withColumn("metric", F.lit("prediction_psi"))
+def prediction_alert(psi: DataFrame, by: list[str]) -> DataFrame:
+    """The same for the scores of each of ``by``: critical over 0.25."""
+    hit = psi.filter(F.col("psi") > 0.1)
+    return hit.select(*by, F.lit("prediction_psi").alias("metric"), F.when(F.col("psi") > 0.25, "critical").otherwise("warning").alias("severity"), F.col("psi").alias("value"), F.lit(0.1).alias("threshold"))
 
 
 def degradation_alerts(labelled: DataFrame, latencies: DataFrame, auc_floor: float = 0.75, latency_p95: float = 250.0) -> DataFrame:

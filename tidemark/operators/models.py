@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 #: Rows of each tree's sample; all samples together bound what reaches the driver.
 TREES, SAMPLE = 100, 256
 
@@ -79,9 +81,21 @@ def score_forest(rows: DataFrame, key: str, inputs: list[str], forest: Forest) -
     return rows.select(key, *[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) for c in inputs]).mapInArrow(run, f"{key} {kind}, anomaly double")
 
 
-def contamination_cut(scored: DataFrame, share: float) -> float:
-    """The score under which about ``share`` of the rows lie."""
-    return scored.agg(F.percentile_approx("anomaly", share, 10_000)).first()[0]
+def contamination_scores(scored: DataFrame, label: str, shares: list[float]) -> DataFrame:
+    """``contamination``, ``threshold``, ``f1`` and ``best`` for each share of rows to be taken for strange.
+
+    ``scored`` has ``anomaly`` (less is stranger) and a boolean ``label`` (null: false). A row is taken for strange if its score is
+    under the share's percentile, interpolated. The best one has the largest F1, the first of equal ones; none has if all
+    are 0. All shares come from the counts by score and one more pass; a row a share is all that is compared."""
+    names = {f"__t{k}": c for k, c in enumerate(shares)}
+    cuts = ranks.percentiles(scored, "anomaly", names)
+    true, low = F.coalesce(F.col(label), F.lit(False)), {t: F.col("anomaly") < F.col(t) for t in names}
+    sums = scored.crossJoin(F.broadcast(cuts)).agg(F.count_if(true).alias("__p"), *[F.max(t).alias(t) for t in names], *[F.count_if(low[t]).alias(f"{t}n") for t in names], *[F.count_if(low[t] & true).alias(f"{t}p") for t in names])  # one row joined
+    f1 = lambda t: F.coalesce(F.try_divide(2.0 * F.col(f"{t}p"), F.col(f"{t}n") + F.col("__p")), F.lit(0.0))
+    found = F.array(*[F.struct(F.lit(float(c)).alias("contamination"), F.col(t).alias("threshold"), f1(t).alias("f1")) for t, c in names.items()])
+    rows = sums.select(found.alias("found")).select(F.array_max(F.transform("found", lambda x: x["f1"])).alias("__top"), F.posexplode("found").alias("__k", "x"), "found")
+    first = F.array_position(F.transform("found", lambda x: x["f1"]), F.col("__top")) - 1
+    return rows.select("x.*", ((F.col("__k") == first) & (F.col("__top") > 0)).alias("best"))
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:

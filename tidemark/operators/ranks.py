@@ -6,6 +6,8 @@ about equally large; the ranges' totals are few rows, and each range is ordered
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +83,19 @@ def auc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def ks(rows: DataFrame, value: str, first: Column) -> DataFrame:
-    """``ks``: the largest distance of two samples' distributions; ``first`` is true for rows of the first one."""
+    """``ks``: the largest distance of two samples' distributions, and ``a`` and ``b``, their rows; ``first`` is true for rows of
+    the first one."""
     counts = rows.groupBy(value).agg(F.count(F.when(first, 1)).alias("a"), F.count(F.when(~first, 1)).alias("b"))
     placed = running(counts, value, ["a", "b"])
-    return placed.agg(F.max(F.abs(F.col("upto_a") / F.col("all_a") - F.col("upto_b") / F.col("all_b"))).alias("ks"))
+    distance = F.abs(F.try_divide("upto_a", "all_a") - F.try_divide("upto_b", "all_b"))
+    return placed.agg(F.max(distance).alias("ks"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def ks_p_value(distance: Column, a: Column, b: Column, terms: int = 20) -> Column:
+    """The chance of a distance at least as large between two large samples of ``a`` and ``b`` rows from one distribution.
+
+    Kolmogorov's series, in the form that converges fast: alternating for large distances, else its transform."""
+    x = distance * F.sqrt(a.cast("double") * b / (a + b))
+    large = sum(((2.0 if k % 2 else -2.0) * F.exp(-2.0 * k * k * x * x) for k in range(1, terms + 1)), F.lit(0.0))
+    small = 1.0 - F.try_divide(F.lit(math.sqrt(2 * math.pi)), x) * sum((F.exp(-((2 * k - 1) * math.pi) ** 2 / (8.0 * x * x)) for k in range(1, terms + 1)), F.lit(0.0))
+    return F.when(x >= 1.0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), large))).when(x > 0.04, F.least(F.lit(1.0), F.greatest(F.lit(0.0), small))).when(x.isNotNull(), 1.0)

@@ -149,6 +149,26 @@ REPORTS: dict[str, str] = {
     "agg_50_measures": """
         WITH months AS (SELECT date_trunc('month', day) AS month, COUNT(*) AS n, SUM(amount) AS total, COUNT(*) FILTER (WHERE is_fraud) AS frauds FROM fact GROUP BY date_trunc('month', day))
         SELECT @us{m.month} AS month_us, m.n, CAST(m.total AS DOUBLE) AS total, CAST(m.frauds AS DOUBLE) / NULLIF(m.n, 0) AS rate, CAST(m.n - b.n AS DOUBLE) / NULLIF(b.n, 0) AS month_change FROM months m LEFT JOIN months b ON @us{b.month} = @us{m.month - INTERVAL '1' MONTH}""",
+    "agg_50_all_measures": """
+        WITH f AS (SELECT x.*, CAST(EXTRACT(YEAR FROM day) * 12 + EXTRACT(MONTH FROM day) - 1 AS INTEGER) AS month, transaction_id % 24 AS hour, is_flagged AND transaction_id % 5 IN (2, 3) AS closed, is_flagged AND transaction_id % 5 = 3 AS wrong,
+                     (transaction_id % 96) * 60 + transaction_id % 47 AS minutes, CASE WHEN (score >= 0.5) = is_fraud THEN 1e0 ELSE 0e0 END AS hit, CASE risk_level WHEN 'critical' THEN 60 WHEN 'high' THEN 240 ELSE 1440 END AS target FROM fact x),
+        hours AS (SELECT month, day, hour, COUNT(*) AS n FROM f GROUP BY month, day, hour),
+        uptime AS (SELECT month, AVG(CAST(n AS DOUBLE)) AS per_hour, CAST(COUNT(*) AS DOUBLE) / COUNT(DISTINCT day) / 24 * 100 AS pct FROM hours GROUP BY month),
+        placed AS (SELECT month, day, minutes, target, ROW_NUMBER() OVER (PARTITION BY day ORDER BY minutes, transaction_id) - 1 AS place, (COUNT(*) OVER (PARTITION BY day) - 1) * 0.95e0 AS spot FROM f WHERE closed),
+        solved_day AS (SELECT month, day, AVG(CAST(minutes AS DOUBLE)) AS mean, AVG(CASE WHEN minutes <= target THEN 1e0 ELSE 0e0 END) AS sla, SUM(CASE WHEN place = FLOOR(spot) THEN minutes * (1 - (spot - FLOOR(spot))) WHEN place = FLOOR(spot) + 1 THEN minutes * (spot - FLOOR(spot)) ELSE 0e0 END) AS p95 FROM placed GROUP BY month, day),
+        solved AS (SELECT month, AVG(mean) AS mean, AVG(p95) AS p95, AVG(sla) AS sla FROM solved_day GROUP BY month),
+        accurate AS (SELECT month, AVG(hit) AS accuracy, MAX(last_day) AS last_day FROM (SELECT month, AVG(hit) AS hit, MAX(day) AS last_day FROM f GROUP BY month, day) d GROUP BY month),
+        ranked AS (SELECT f.month, f.is_fraud, RANK() OVER (PARTITION BY f.day ORDER BY f.score) + (COUNT(*) OVER (PARTITION BY f.day, f.score) - 1) / 2e0 AS rk FROM f JOIN accurate a ON f.day = a.last_day),
+        area AS (SELECT month, (SUM(rk) FILTER (WHERE is_fraud) - COUNT(*) FILTER (WHERE is_fraud) * (COUNT(*) FILTER (WHERE is_fraud) + 1) / 2e0) / NULLIF(COUNT(*) FILTER (WHERE is_fraud) * COUNT(*) FILTER (WHERE NOT is_fraud), 0) AS auc FROM ranked GROUP BY month),
+        lines AS (SELECT f.month, CAST(COUNT(*) FILTER (WHERE l.is_fraud AND l.category < 'Brand#3') AS DOUBLE) / NULLIF(COUNT(*) FILTER (WHERE l.category < 'Brand#3'), 0) AS category_rate FROM fact_line l JOIN f ON l.transaction_id = f.transaction_id GROUP BY f.month),
+        base AS (SELECT month, COUNT(*) AS n, CAST(SUM(amount) AS DOUBLE) AS total, COUNT(*) FILTER (WHERE is_fraud) AS frauds, CAST(COALESCE(SUM(amount) FILTER (WHERE is_fraud), 0) AS DOUBLE) AS fraud_amount,
+                   CAST(COALESCE(SUM(amount) FILTER (WHERE is_fraud AND is_flagged), 0) AS DOUBLE) AS prevented, COUNT(*) FILTER (WHERE is_fraud AND is_flagged) AS preventions, COUNT(*) FILTER (WHERE is_flagged) * 12.5e0 + COUNT(*) * 0.002e0 AS cost,
+                   COALESCE(CAST(COUNT(*) FILTER (WHERE wrong) AS DOUBLE) / NULLIF(COUNT(*) FILTER (WHERE closed), 0), 0) AS wrong_rate, COUNT(*) FILTER (WHERE risk_level IN ('high', 'critical')) AS high_risk, CAST(COUNT(*) FILTER (WHERE is_fraud) AS DOUBLE) / COUNT(*) AS rate,
+                   COALESCE(CAST(COUNT(*) FILTER (WHERE is_fraud AND channel = 'online') AS DOUBLE) / NULLIF(COUNT(*) FILTER (WHERE channel = 'online'), 0), 0) AS channel_rate, COALESCE(CAST(COUNT(*) FILTER (WHERE is_fraud AND geo_key < 8) AS DOUBLE) / NULLIF(COUNT(*) FILTER (WHERE geo_key < 8), 0), 0) AS geography_rate FROM f GROUP BY month)
+        SELECT b.month, b.n AS total_transactions, b.total AS total_transaction_amount, b.frauds AS fraud_transactions, b.fraud_amount, b.prevented AS fraud_prevented, b.preventions AS fraud_prevention_count, ROUND(b.rate, 9) AS fraud_rate, ROUND(b.rate - COALESCE(m.rate, 0), 9) AS fraud_rate_mom, ROUND(b.rate - COALESCE(y.rate, 0), 9) AS fraud_rate_yoy,
+               ROUND(COALESCE((b.prevented - b.cost) / NULLIF(b.cost, 0), 0), 6) AS platform_roi, ROUND(a.accuracy, 9) AS model_accuracy, ROUND(area.auc, 9) AS latest_model_auc, ROUND(s.mean, 6) AS average_alert_resolution_minutes, ROUND(s.p95, 6) AS p95_alert_resolution_minutes, ROUND(s.sla, 9) AS sla_compliance_rate, ROUND(b.wrong_rate, 9) AS false_positive_rate,
+               ROUND(u.per_hour, 9) AS pipeline_throughput_per_hour, ROUND(u.pct / 100, 9) AS system_uptime, b.high_risk AS high_risk_indicator_count, ROUND(b.fraud_amount - COALESCE(y.fraud_amount, 0), 4) AS fraud_amount_yoy, ROUND(COALESCE(l.category_rate, 0), 9) AS merchant_category_fraud_rate, ROUND(b.channel_rate, 9) AS channel_fraud_rate, ROUND(b.geography_rate, 9) AS geography_fraud_rate
+        FROM base b LEFT JOIN base m ON m.month = b.month - 1 LEFT JOIN base y ON y.month = b.month - 12 JOIN uptime u ON u.month = b.month JOIN accurate a ON a.month = b.month LEFT JOIN solved s ON s.month = b.month LEFT JOIN area ON area.month = b.month LEFT JOIN lines l ON l.month = b.month""",
     "agg_51_histogram": "SELECT CAST(LEAST(FLOOR(score * 20), 19) AS INTEGER) AS bin, COUNT(*) AS n FROM latest_score GROUP BY CAST(LEAST(FLOOR(score * 20), 19) AS INTEGER)",
     "agg_54_filtered_count": "SELECT COUNT(*) AS n FROM txn WHERE status = 'approved' AND channel = 'online' AND amount >= 50",
     "agg_57_platform_metrics": """
@@ -197,6 +217,11 @@ REPORTS: dict[str, str] = {
     "win_11_rapid_succession": "SELECT transaction_id, COUNT(*) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND 1 PRECEDING) > 0 AS rapid FROM txn",
     "win_12_symmetric": "SELECT transaction_id, COUNT(*) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 600000000 PRECEDING AND 600000000 FOLLOWING) - 1 AS around FROM txn",
     "win_14_latest_per_key": "SELECT customer_id, transaction_id, us FROM (SELECT customer_id, transaction_id, us, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY us DESC, transaction_id DESC) AS rn FROM txn) r WHERE rn = 1",
+    "win_16_expanding_folds": """
+        WITH days AS (SELECT @div{us||,||86400000000} AS day, COUNT(*) AS n FROM txn GROUP BY @div{us||,||86400000000}),
+        run AS (SELECT day, COALESCE(SUM(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier, SUM(n) OVER () AS n FROM days),
+        placed AS (SELECT t.transaction_id, @div{r.n||,||6} AS size, r.n, r.earlier + ROW_NUMBER() OVER (PARTITION BY r.day ORDER BY t.us, t.transaction_id) AS rn FROM txn t JOIN run r ON @div{t.us||,||86400000000} = r.day)
+        SELECT transaction_id, fold, CASE WHEN rn <= n - (5 - fold) * size THEN 'train' ELSE 'test' END AS part FROM placed CROSS JOIN (SELECT 0 AS fold UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) f WHERE rn <= n - (4 - fold) * size""",
     "win_16_time_split": """
         WITH days AS (SELECT @div{us||,||86400000000} AS day, COUNT(*) AS n FROM txn GROUP BY @div{us||,||86400000000}),
         run AS (SELECT day, COALESCE(SUM(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier, SUM(n) OVER () AS n FROM days),
