@@ -202,11 +202,37 @@ def with_merchant(txns: DataFrame, frauds: Column, new_days: float = 30.0, high_
 
 
 def with_velocity(txns: DataFrame) -> DataFrame:
-    """The customer's velocity, ``velocity_breaches`` and ``velocity_risk``."""
-    rows = frames.velocity(txns).withColumn("velocity_breaches", breaches())
+    """The customer's velocity, the mean and largest amount of the hour (the row included), ``velocity_breaches`` and
+    ``velocity_risk``."""
+    hour = frames.history("customer_id", "us", 3600)
+    rows = frames.velocity(txns).withColumns({"mean_1h": F.avg("amount").over(hour).cast("double"), "largest_1h": F.max("amount").over(hour).cast("double")}).withColumn("velocity_breaches", breaches())
     return rows.withColumn("velocity_risk", breach_risk(F.col("velocity_breaches")))
 
 
+#: Kinds of devices; any other is unknown: fixed values.
+DEVICE_TYPES = ("mobile", "desktop", "tablet", "pos", "atm")
+
+
+def with_device_details(rows: DataFrame) -> DataFrame:
+    """``with_device``'s rows with the device's kind, fingerprint, systems and flags, and ``device_risk`` raised by 0.2 for
+    emulators and 0.1 for rooted devices, at most 1.
+
+    Reads ``device_type``, ``user_agent``, ``screen_resolution``, ``timezone_offset``, ``os_family``, ``browser_family``, ``is_emulator`` and
+    ``is_rooted``. The fingerprint is 16 digits of a sha256 over the first four and the id, missing ones empty. Without a
+    device the flags are false and the risk stays."""
+    there, kind = F.col("device_id").isNotNull(), F.lower("device_type")
+    known = F.when(there & F.coalesce(kind.isin(*DEVICE_TYPES), F.lit(False)), kind).otherwise("unknown")
+    rows = rows.withColumn("device_type", known)
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("device_id", "device_type", "user_agent", "screen_resolution", "timezone_offset")]
+    flag = lambda c: there & F.coalesce(F.col(c), F.lit(False))
+    more = F.when(flag("is_emulator"), 0.2).otherwise(0.0) + F.when(flag("is_rooted"), 0.1).otherwise(0.0)
+    return rows.withColumns({
+        "device_fingerprint_hash": F.when(there, F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(16))),
+        "device_os_family": F.when(there, F.coalesce("os_family", F.lit("unknown"))), "device_browser_family": F.when(there, F.coalesce("browser_family", F.lit("unknown"))),
+        "device_is_emulator": flag("is_emulator"), "device_is_rooted": flag("is_rooted"), "device_risk": F.least(F.lit(1.0), F.col("device_risk") + more),
+    })
+
+
 #: Weights of rules, anomaly and model; least confidence of a model and what a lesser one leaves of its weight: fixed values.
 WEIGHTS = {"rule_engine": 0.3, "anomaly_detector": 0.3, "ml_model": 0.4}
 MIN_CONFIDENCE, PENALTY = 0.5, 0.5

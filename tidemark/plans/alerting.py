@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle
-from ..operators.lineage import cut
 from ..sources.views import view
 from .derived import query
 

@@ -1,4 +1,4 @@
-"""Queries of places: addresses looked up among networks, and what follows from where a transaction is."""
+"""Queries of places, devices and velocity: addresses looked up among networks, and what stages add to transactions."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import addresses, enrich
 from ..sources import reference as ref
-from ..sources.views import view
-from .derived import _MILES, query
+from ..sources.views import spark_sql, view
+from .derived import _LEVELS, _MILES, _R, _SPANS, DERIVED, query
 from .records import _table
 from .scoring import _ARC, _P
 
@@ -59,3 +59,35 @@ def stg_07_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("transaction_id")
     txns = view(spark, sf_dir, "txn").withColumns({"lat": F.when(i % 9 != 0, F.col("lat")), "country": F.when(i % 14 != 0, F.col("country")), "city": F.when(F.col("merchant_id") % 2 == 0, "town")})
     return _geo(enrich.placed_by_fields(txns))
+
+
+_DEVICE = """SELECT transaction_id, CASE WHEN transaction_id % 31 <> 0 THEN device_id END AS device_id, CASE transaction_id % 6 WHEN 0 THEN 'Mobile' WHEN 1 THEN 'desktop' WHEN 2 THEN 'TABLET' WHEN 3 THEN 'watch' WHEN 4 THEN NULL ELSE 'atm' END AS device_type,
+  CASE WHEN transaction_id % 4 > 0 THEN 'agent ' || CAST(customer_id % 5 AS VARCHAR(9)) END AS user_agent, CASE WHEN transaction_id % 3 > 0 THEN '1920x1080' END AS screen_resolution, CASE WHEN transaction_id % 5 > 0 THEN CAST(customer_id % 24 AS VARCHAR(9)) END AS timezone_offset,
+  CASE WHEN transaction_id % 2 = 0 THEN 'ios' END AS os_family, CASE WHEN transaction_id % 7 > 2 THEN 'safari' END AS browser_family, CASE WHEN transaction_id % 9 > 0 THEN transaction_id % 8 = 1 END AS is_emulator, transaction_id % 11 = 3 AS is_rooted FROM risk_txn"""
+
+
+@query("stg_08_device_details", f"""
+    WITH base AS ({DERIVED["stg_08_device"][1]}), raw AS ({_DEVICE}), kinds AS (SELECT *, CASE WHEN device_id IS NOT NULL AND LOWER(device_type) IN ('mobile', 'desktop', 'tablet', 'pos', 'atm') THEN LOWER(device_type) ELSE 'unknown' END AS kind FROM raw)
+    SELECT transaction_id, kind AS device_type, CASE WHEN device_id IS NOT NULL THEN left(sha256(CAST(device_id AS VARCHAR) || '|' || kind || '|' || COALESCE(user_agent, '') || '|' || COALESCE(screen_resolution, '') || '|' || COALESCE(timezone_offset, '')), 16) END AS device_fingerprint_hash,
+      CASE WHEN device_id IS NOT NULL THEN COALESCE(os_family, 'unknown') END AS device_os_family, CASE WHEN device_id IS NOT NULL THEN COALESCE(browser_family, 'unknown') END AS device_browser_family, device_id IS NOT NULL AND COALESCE(is_emulator, FALSE) AS device_is_emulator, device_id IS NOT NULL AND is_rooted AS device_is_rooted,
+      ROUND(LEAST(1e0, risk + CASE WHEN device_id IS NOT NULL AND is_emulator THEN 0.2e0 ELSE 0e0 END + CASE WHEN device_id IS NOT NULL AND is_rooted THEN 0.1e0 ELSE 0e0 END), 6) AS device_risk FROM base JOIN kinds USING (transaction_id)""")
+def stg_08_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A device's kind, fingerprint and flags, and the risk with them."""
+    more = spark_sql(spark, sf_dir, _DEVICE).drop("device_id")
+    rows = view(spark, sf_dir, "risk_txn").withColumn("device_id", F.when(F.col("transaction_id") % 31 != 0, F.col("device_id"))).join(more, "transaction_id")
+    out = enrich.with_device_details(enrich.with_device(rows))
+    return out.select("transaction_id", "device_type", "device_fingerprint_hash", "device_os_family", "device_browser_family", "device_is_emulator", "device_is_rooted", F.round("device_risk", 6).alias("device_risk"))
+
+
+_COUNTS = ", ".join(f"COUNT(*) OVER ({_R.format(us)}) AS n_{n}, SUM(amount) OVER ({_R.format(us)}) AS sum_{n}" for n, us in _SPANS.items())
+_CRITICAL = " + ".join(f"CASE WHEN {m} >= {c} THEN 1 ELSE 0 END" for m, (w, c) in _LEVELS.items())
+_WARNING = " + ".join(f"CASE WHEN {m} >= {w} AND {m} < {c} THEN 1 ELSE 0 END" for m, (w, c) in _LEVELS.items())
+
+
+@query("stg_10_velocity", f"""
+    WITH v AS (SELECT transaction_id, AVG(amount) OVER ({_R.format(3600000000)}) AS mean, MAX(amount) OVER ({_R.format(3600000000)}) AS largest, {_COUNTS}, COUNT(DISTINCT merchant_id) OVER ({_R.format(3600000000)}) AS merchants_1h, COUNT(DISTINCT merchant_id) OVER ({_R.format(86400000000)}) AS merchants_24h FROM risk_txn)
+    SELECT transaction_id, n_1h, n_24h, ROUND(CAST(mean AS DOUBLE), 4) AS mean_1h, CAST(largest AS DOUBLE) AS largest_1h, {_CRITICAL} + {_WARNING} AS breaches, ROUND(LEAST(1e0, 0.3e0 * ({_CRITICAL}) + 0.1e0 * ({_WARNING})), 6) AS risk FROM v""")
+def stg_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Velocity, the hour's amounts, and the thresholds reached."""
+    out = enrich.with_velocity(view(spark, sf_dir, "risk_txn"))
+    return out.select("transaction_id", "n_1h", "n_24h", F.round("mean_1h", 4).alias("mean_1h"), "largest_1h", F.size("velocity_breaches").alias("breaches"), F.round("velocity_risk", 6).alias("risk"))

@@ -91,12 +91,12 @@ def fn_s05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "txn").select("transaction_id", *[clean.masked(k, v).alias(short[k]) for k, v in values.items()])
 
 
-@query("fn_s10_scrub", "SELECT transaction_id, 'mail ***REDACTED_EMAIL*** ssn ***REDACTED_SSN*** card ***REDACTED_CARD*** call (***REDACTED_PHONE*** id ' || CAST(transaction_id AS VARCHAR) AS line FROM txn WHERE transaction_id < 1000000")
+@query("fn_s10_scrub", "SELECT transaction_id, 'mail ***REDACTED_EMAIL*** ssn ***REDACTED_SSN*** card ***REDACTED_CARD*** call (***REDACTED_PHONE*** id ' || CAST(transaction_id AS VARCHAR) AS line FROM txn")
 def fn_s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data blacked out in log lines."""
     i = F.col("transaction_id").cast("string")
     line = F.concat(F.lit("mail a.b"), i, F.lit("@Mail.example ssn 123-45-6789 card 4111 1111 1111 1111 call (555) 123-4567 id "), i)
-    return view(spark, sf_dir, "txn").filter("transaction_id < 1000000").select("transaction_id", clean.scrubbed(line).alias("line"))
+    return view(spark, sf_dir, "txn").select("transaction_id", clean.scrubbed(line).alias("line"))
 
 
 @query("flt_04_formats", """
