@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,22 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[s
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def merge_into(target: DataFrame, source: DataFrame, keys: list[str], update: list[str], insert: list[str], allowed: list[str] | None = None) -> DataFrame:
+    """MERGE with its columns as parameters: matched rows take ``update`` from the source; rows that match nothing are added
+    with ``insert`` (null elsewhere), or not at all if it is empty.
+
+    Names must be plain identifiers of both tables and, where ``allowed`` is given, on that list; keys can't be updated
+    (``ValueError``). Of source rows with one key a single one is taken; a null key matches nothing."""
+    for name in (*keys, *update, *insert):
+        if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name) or (allowed is not None and name not in allowed) or name not in source.columns or name not in target.columns:
+            raise ValueError(f"{name!r} is no column that a merge may name")
+    if not keys or set(keys) & set(update):
+        raise ValueError("a merge needs keys, and leaves them as they are")
+    once, there = source.dropDuplicates(keys), target.select(*keys).distinct()
+    merged = upsert(target, once.join(there, keys, "left_semi"), keys, update)
+    return merged.unionByName(once.join(there, keys, "left_anti").select(*insert), allowMissingColumns=True) if insert else merged
+
+
 def insert_new(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """INSERT ... ON CONFLICT DO NOTHING; of source rows with the same key one goes in."""
     return target.unionByName(source.dropDuplicates(keys).join(target.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)

@@ -1,4 +1,4 @@
-"""Queries of messages in Avro's binary form."""
+"""Queries of messages in Avro's binary form, and of merges with named columns."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import merge
 from ..sources import avro
 from ..sources.views import view
 from .derived import query
@@ -33,3 +34,13 @@ def src_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = avro.decoded(old.union(new).withColumn("value", hurt), "value", json.dumps(_NEW), {1: json.dumps(_OLD), 2: json.dumps(_NEW)})
     r = F.col("record")
     return out.select("key", r["transaction_id"].alias("transaction_id"), r["amount"].cast("double").alias("amount"), r["status"].alias("status"), r["mcc_slot"].alias("mcc_slot"), F.get(r["place"], F.lit(0)).alias("lat"), F.get(r["place"], F.lit(1)).alias("lon"), r["channel"].alias("channel"), F.col("error").isNotNull().alias("broken"))
+
+
+@query("snk_09_merge_into", """
+    WITH t AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer WHERE c_custkey % 3 > 0), s AS (SELECT c_custkey AS id, UPPER(c_name) AS name, c_acctbal + 1 AS balance, 'new' AS segment FROM customer WHERE c_custkey % 2 = 0)
+    SELECT t.id, t.name, CASE WHEN s.id IS NULL THEN t.balance ELSE s.balance END AS balance, t.segment FROM t LEFT JOIN s ON t.id = s.id UNION ALL SELECT s.id, s.name, NULL, s.segment FROM s LEFT JOIN t ON t.id = s.id WHERE t.id IS NULL""")
+def snk_09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge that updates one column and inserts three."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    source = customers.filter("id % 2 = 0").select("id", F.upper("name").alias("name"), (F.col("balance") + 1).alias("balance"), F.lit("new").alias("segment"))
+    return merge.merge_into(customers.filter("id % 3 > 0"), source, ["id"], ["balance"], ["id", "name", "segment"], customers.columns)
