@@ -1,4 +1,4 @@
-"""Queries of messages in Avro's binary form, and of merges with named columns."""
+"""Queries of messages in Avro's binary form, of merges with named columns and of types found in texts."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge
-from ..sources import avro
+from ..sources import avro, files
 from ..sources.views import view
 from .derived import query
 
@@ -44,3 +44,16 @@ def snk_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
     source = customers.filter("id % 2 = 0").select("id", F.upper("name").alias("name"), (F.col("balance") + 1).alias("balance"), F.lit("new").alias("segment"))
     return merge.merge_into(customers.filter("id % 3 > 0"), source, ["id"], ["balance"], ["id", "name", "segment"], customers.columns)
+
+
+_TEXTS = ("transaction_amount", "transaction_timestamp", "transaction_currency", "account_id", "mcc", "flag", "share")
+_FIRST = " UNION ALL ".join(f"""SELECT '{c}' AS field, COALESCE((SELECT kind FROM (SELECT transaction_id, CASE WHEN regexp_full_match({c}, '[ ]*[+-]?[0-9]+[ ]*') THEN 'int64' WHEN regexp_full_match({c}, '[ ]*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?[ ]*') THEN 'float64' WHEN LOWER({c}) IN ('true', 'false') THEN 'bool' END AS kind FROM texts) k WHERE kind IS NOT NULL ORDER BY transaction_id LIMIT 1), 'string') AS type,
+  (SELECT COUNT(*) FROM texts WHERE {c} <> '') AS filled""" for c in _TEXTS)
+
+
+@query("src_08_text_types", f"WITH texts AS (SELECT *, CASE WHEN transaction_id % 3 = 0 THEN 'True' WHEN transaction_id % 3 = 1 THEN 'no' END AS flag, CASE WHEN transaction_id % 2 = 0 THEN '' ELSE '1.5e' || CAST(transaction_id % 3 AS VARCHAR) END AS share FROM raw_txn) {_FIRST}")
+def src_08_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of columns that came as text."""
+    i = F.col("transaction_id")
+    rows = view(spark, sf_dir, "raw_txn").withColumns({"flag": F.when(i % 3 == 0, "True").when(i % 3 == 1, "no"), "share": F.when(i % 2 == 0, "").otherwise(F.concat(F.lit("1.5e"), (i % 3).cast("string")))})
+    return files.detected_text_types(rows, list(_TEXTS), "transaction_id")

@@ -99,6 +99,29 @@ def detected_schema(df: DataFrame) -> DataFrame:
     return nulls.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.lit(k).alias("type"), (F.col(c) > 0).alias("nullable")) for c, k in kinds.items()])))
 
 
+#: What texts of whole and of other numbers look like: signs, underscores between digits, exponents, nan and infinity.
+_WHOLE = r"^\s*[+-]?\d(_?\d)*\s*$"
+_NUMBER = r"^\s*[+-]?((\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?|(?i:nan|inf|infinity))\s*$"
+
+
+def text_type(value: Column) -> Column:
+    """``int64``, ``float64``, ``bool`` or ``string`` by what a text holds; ``string`` for null and empty ones."""
+    return F.when(value.rlike(_WHOLE), "int64").when(value.rlike(_NUMBER), "float64").when(F.lower(value).isin("true", "false"), "bool").otherwise("string")
+
+
+def detected_text_types(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """``field``, ``type`` and ``filled`` (values that aren't null or empty) of columns of text, from one pass over all rows.
+
+    A field's type is that of its first value, in ``order``, that isn't plain text; plain text if there is none. Only one
+    value a task and column is shuffled."""
+    found = []
+    for c in columns:
+        kind = text_type(F.col(c))
+        first = F.min_by(F.when(kind != "string", kind), F.when(kind != "string", F.col(order)))
+        found.append(F.struct(F.lit(c).alias("field"), F.coalesce(first, F.lit("string")).alias("type"), F.count_if(F.coalesce(F.col(c) != "", F.lit(False))).alias("filled")))
+    return rows.agg(F.array(*found).alias("found")).select(F.inline("found"))
+
+
 def column_differences(have: list[str], want: list[str]) -> tuple[list[str], list[str]]:
     """Wanted columns that are lacking, and columns that are not wanted."""
     return [c for c in want if c not in have], [c for c in have if c not in want]
