@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.risk import breach_risk, breaches, miles
 from ..sources import reference as ref
-from . import frames
+from . import frames, standing
 
 #: Month and day of holidays, and hours that are unusual: fixed values.
 HOLIDAYS = ((1, 1), (1, 20), (2, 17), (5, 26), (6, 19), (7, 4), (9, 1), (10, 13), (11, 11), (11, 27), (12, 25))
@@ -29,7 +29,7 @@ def features(txns: DataFrame) -> DataFrame:
     day = frames.history("customer_id", "us", 86_400)
     same = lambda c: Window.partitionBy("customer_id", c).orderBy("us").rangeBetween(-86_400 * frames.SECOND, 0)
     amount, ts = F.col("amount").cast("double"), F.timestamp_micros("us")
-    rows = frames.share_not_above(txns, "customer_id", "amount", "us", "transaction_id")
+    rows = standing.share_not_above(txns, "customer_id", "amount", "us", "transaction_id")
     rows = frames.distinct_counts(rows, "customer_id", "us", {"m24": ("merchant_id", 86_400), "c24": ("country", 86_400)})
     declined = F.col("status") == "declined"
     rows = rows.withColumns({

@@ -81,21 +81,6 @@ def velocity(txns: DataFrame, key: str = "customer_id") -> DataFrame:
     return out
 
 
-def share_not_above(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
-    """``rows`` with ``share``: the part of a key's earlier rows in ``order`` whose ``value`` is no larger; null for the first.
-
-    Rows are numbered by key. The rows before number p fall into one block of 2^l rows for each bit l that is set in p: the
-    left half of the block of 2^(l+1) rows that p is in. So each row is looked at once for each bit, among the rows of its
-    block in order of value, and blocks of a key spread over tasks. Time grows with n log n; nothing is gathered."""
-    numbered = rows.withColumn("__p", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
-    numbered = numbered.withColumn("__top", F.floor(F.log2(F.greatest(F.max("__p").over(Window.partitionBy(key)), F.lit(1)))).cast("int"))
-    dealt = numbered.withColumn("__level", F.explode(F.sequence(F.lit(0), "__top"))).withColumns({"__block": F.expr("shiftright(__p, __level + 1)"), "__right": F.expr("(shiftright(__p, __level) & 1) = 1")})
-    w = Window.partitionBy(key, "__level", "__block").orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    counted = dealt.withColumn("__n", F.when(F.col("__right"), F.count(F.when(~F.col("__right") & F.col(value).isNotNull(), 1)).over(w)))
-    found = counted.groupBy(key, "__p").agg(F.sum("__n").alias("__below"), F.first(F.struct(*rows.columns)).alias("__row"))
-    return found.select("__row.*", F.try_divide(F.coalesce("__below", F.lit(0)).cast("double"), F.col("__p")).alias("share"))
-
-
 def windowed_stats(txns: DataFrame, key: str, as_of: Column, spans: dict[str, int]) -> DataFrame:
     """Count, sum, mean, sample deviation (0 below two rows), least and largest amount in [as_of - W, as_of) for each key:
     one pass over the rows of the longest span."""

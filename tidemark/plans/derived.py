@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import risk, text
-from ..operators import alerts, frames, merge, rules, validate
+from ..operators import alerts, frames, merge, rules, standing, validate
 from ..sources import files
 from ..sources.views import view
 
@@ -66,7 +66,7 @@ def agg_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM numbered a LEFT JOIN numbered b ON a.customer_id = b.customer_id AND b.rn < a.rn GROUP BY a.transaction_id""")
 def win_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a customer's earlier amounts that are no larger."""
-    rows = frames.share_not_above(view(spark, sf_dir, "txn"), "customer_id", "amount", "us", "transaction_id")
+    rows = standing.share_not_above(view(spark, sf_dir, "txn"), "customer_id", "amount", "us", "transaction_id")
     return rows.select("transaction_id", F.round(F.coalesce("share", F.lit(0.5)), 9).alias("pct"))
 
 
