@@ -285,7 +285,7 @@ def test_masks_fit_every_allowed_pattern(spark):
     assert got == {(i, n) for i, (n, _) in enumerate(some[:7])}
 
 
-@pytest.mark.parametrize("limit", [decontam.BROADCAST_SEEDS, 0])
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
 def test_decontamination_against_all_alignments(spark, limit):
     """Items of 1 to 30 words pasted with substitutions, and cut at either end, by broadcast and by shuffle."""
     items = [(n, " ".join(f"{rng.choice(WORDS)}{rng.choice(WORDS)}" for _ in range(n))) for n in (1, 2, 5, 6, 7, 9, 12, 13, 14, 20, 30)]
@@ -300,6 +300,18 @@ def test_decontamination_against_all_alignments(spark, limit):
     assert got == brute.op8(rows, items)
 
 
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
+def test_decontamination_of_repeated_rows_and_ids(spark, limit):
+    """Items that share an id, a null item id, repeated rows on both sides and documents without an id."""
+    one, two = (" ".join(f"{rng.choice(WORDS)}{rng.choice(WORDS)}{n}{k}" for k in range(20)) for n in "ab")
+    bench = spark.createDataFrame([(1, one), (1, two), (1, one), (None, two)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, one), (1, one), (2, f"{prose(9)} {two}"), (None, one), (None, prose(30)), (3, prose(30))], "doc_id long, text string")
+    got = decontam.leaks(docs, bench, limit)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, 13, 13, 0), (2, 1, 13, 13, 9), (2, None, 13, 13, 9), (None, 1, 13, 13, 0)], key=str)
+    kept = decontam.clean(docs, bench).select("doc_id", "text")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.filter("doc_id is null or doc_id = 3").collect()))
+
+
 def test_toxicity_learns_pairs_of_neutral_terms():
     """Two words of which exactly one makes a text toxic: neither tells anything by itself, and both are kept."""
     import numpy as np

@@ -20,8 +20,8 @@ SHORT_MASKS = ((0, 1, 2, 4), (0, 3, 4, 5), (0, 1, 3, 6))
 PERCENT = 75
 #: Words compared before and behind a hit.
 REACH = 20
-#: Benchmark seeds that may be broadcast (about 50 MB); more of them are joined by a shuffle.
-BROADCAST_SEEDS = 1_000_000
+#: Bytes that a benchmark's seeds and words may take to be broadcast, each row counted with ROW_BYTES of overhead.
+BROADCAST_BYTES, ROW_BYTES = 256 << 20, 64
 
 
 def _words(text: Column) -> Column:
@@ -41,26 +41,32 @@ def _seeds(rows: DataFrame, masks: list[tuple[int, ...]], *carried: str, fits=la
     return places.select(*carried, "h", "p", F.explode(F.array(*hashes)).alias("seed")).filter("seed is not null")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``doc_id``, ``item_id``, ``matched`` (agreeing words of the best run), ``run`` (its length) and ``at`` (the word of
     the document where the item would begin, negative if it begins earlier) for each leaked item and document.
 
     Null and empty texts have no words and leak nothing; all words of an item of fewer than ``SPAN`` words must agree.
-    Repeated rows give one row. If the benchmark has at most ``broadcast_seeds`` seeds they are broadcast, and documents
-    are read once and never shuffled. If it has more, seeds are shuffled alone (``doc_id``, place and hash), and the
-    documents' words are read again and move once, to meet their hits."""
-    items = benchmark.select("item_id", _words(F.col("text")).alias("h"))
-    sizes = sorted(r[0] for r in items.select(F.least(F.size("h"), F.lit(RUN))).distinct().collect() if r[0])  # at most RUN rows
+    Repeated rows give one row; rows of one ``item_id`` with other words are items of their own that share it. If the
+    benchmark's seeds and words take at most ``broadcast_bytes`` they are broadcast, words once an item and not once a
+    seed, and documents are read once and never shuffled. If they take more, seeds are shuffled alone (``doc_id``, place
+    and hash), and the documents' words are read again and move once, to meet their hits."""
+    items = benchmark.select("item_id", _words(F.col("text")).alias("h")).distinct().withColumn("version", F.xxhash64("h"))
+    id_bytes = F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0))
+    taken = items.groupBy(F.least(F.size("h"), F.lit(RUN)).alias("n")).agg(F.sum(ROW_BYTES + id_bytes + 8 * F.size("h")).alias("bytes")).collect()  # at most RUN + 1 rows
+    sizes = sorted(r["n"] for r in taken if r["n"])
     masks = list(dict.fromkeys(m for n in sizes for m in masks_for(n))) or [MASKS[0]]
     fits = lambda mask: F.least(F.size("h"), F.lit(RUN)).isin([n for n in sizes if mask in masks_for(n)])
-    seeds = _seeds(items, masks, "item_id", fits=fits).select("seed", "item_id", F.col("p").alias("q"), F.col("h").alias("item")).dropDuplicates(["seed", "item_id", "q"])
+    seeds = _seeds(items, masks, "item_id", "version", fits=fits).select("seed", "item_id", "version", F.col("p").alias("q"))
+    whole = items.select(F.col("item_id").alias("hit_item"), F.col("version").alias("hit_version"), F.col("h").alias("item"))
+    of_item = F.col("item_id").eqNullSafe(F.col("hit_item")) & (F.col("version") == F.col("hit_version"))
+    all_bytes = sum(r["bytes"] for r in taken) + (seeds.agg(F.sum(ROW_BYTES + id_bytes)).first()[0] or 0)
     words = docs.select("doc_id", _words(F.col("text")).alias("h"))
-    if seeds.count() <= broadcast_seeds:
-        hits = _seeds(words, masks, "doc_id").join(F.broadcast(seeds), "seed")
+    if all_bytes <= broadcast_bytes:
+        hits = _seeds(words, masks, "doc_id").join(F.broadcast(seeds), "seed").join(F.broadcast(whole), of_item)
     else:
-        met = _seeds(words, masks, "doc_id").select("doc_id", "p", "seed").join(seeds.select("seed", "item_id", "q"), "seed")
-        shifts = met.groupBy(F.col("doc_id").alias("hit"), F.col("item_id").alias("hit_item"), (F.col("p") - F.col("q")).alias("shift"), "q").agg(F.count("*").alias("n"))
-        hits = words.join(shifts, F.col("doc_id").eqNullSafe(F.col("hit"))).join(items.select("item_id", F.col("h").alias("item")).distinct(), F.col("hit_item").eqNullSafe(F.col("item_id")))
+        met = _seeds(words, masks, "doc_id").select("doc_id", "p", "seed").join(seeds, "seed")
+        shifts = met.groupBy(F.col("doc_id").alias("hit"), "item_id", "version", (F.col("p") - F.col("q")).alias("shift"), "q").agg(F.count("*").alias("n"))
+        hits = words.join(shifts, F.col("doc_id").eqNullSafe(F.col("hit"))).join(whole, of_item)
         hits = hits.select("doc_id", "item_id", (F.col("q") + F.col("shift")).alias("p"), "q", "h", "item")
     # the aligned stretch: item words [lo, hi) stand at document words [lo + shift, hi + shift)
     shift = F.col("p") - F.col("q")
