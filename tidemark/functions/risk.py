@@ -48,9 +48,11 @@ def noisy_or(confidences: Column) -> Column:
     return F.round(1 - F.aggregate(confidences, F.lit(1.0), lambda a, p: a * (1 - p)), 4)
 
 
-def raised(severities: Column) -> Column:
-    """Highest of an array of tiers 0..3, one more for each two further matches, at most 3; null if empty."""
-    return F.when(F.size(severities) > 0, F.least(F.lit(3), F.array_max(severities) + F.floor((F.size(severities) - 1) / 2).cast("int")))
+def raised(severities: Column, per_tier: int = 2, most: int = 3) -> Column:
+    """Highest of an array of tiers 0..3, one more for each ``per_tier`` further matches (0: never), at most ``most``; null
+    if empty."""
+    more = F.floor((F.size(severities) - 1) / per_tier).cast("int") if per_tier else F.lit(0)
+    return F.when(F.size(severities) > 0, F.least(F.lit(most), F.array_max(severities) + more))
 
 
 def breaches(thresholds: dict[str, tuple[float, float]] = BREACHES) -> Column:

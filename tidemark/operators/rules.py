@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -182,74 +183,113 @@ FRAUD_RULES = {
     "TMP-002": (2, 0.70, "temporal"),
     "TMP-003": (1, 0.65, "temporal"),
 }
-#: Parameters of the fraud rules: fixed values, each may be given anew.
-FRAUD_PARAMETERS: dict[str, Any] = {
-    "multiplier": 3.0,
-    "min_history": 5,
-    "fallback_average": 500.0,
-    "report_from": 9000.0,
-    "report_below": 10000.0,
-    "round_from": 5000.0,
-    "round_by": 1000,
-    "rapid_count": 5,
-    "rapid_minutes": 10,
-    "min_declines": 3,
-    "decline_minutes": 30,
-    "rising_count": 3,
-    "rising_factor": 2.0,
-    "rising_minutes": 60,
-    "max_mph": 500,
-    "min_miles": 100,
-    "min_domestic": 10,
-    "high_risk_countries": ("NG", "RU", "UA", "VN", "PH", "ID", "BR", "KP", "IR", "SY"),
-    "new_device_amount": 1000.0,
-    "new_device_days": 1,
-    "category_history": 10,
-    "max_category_share": 0.05,
-    "small_amount": 5.0,
-    "small_count": 3,
-    "large_amount": 500.0,
-    "testing_minutes": 30,
-    "max_accounts": 2,
-    "channel_history": 10,
-    "night_from": 0,
-    "night_until": 5,
-    "night_amount": 2000.0,
-    "dormant_days": 90,
-    "silence_hours": 48,
-    "burst_count": 5,
-    "burst_minutes": 30,
+#: Parameters of the fraud rules by rule, under the names of the rules' configuration: fixed values, each may be given anew.
+FRAUD_PARAMETERS: dict[str, dict[str, Any]] = {
+    "AMT-001": {"multiplier": 3.0, "min_history_count": 5, "fallback_average": 500.0},
+    "AMT-002": {"threshold": 10000.0, "lower_bound": 9000.0},
+    "AMT-003": {"min_amount": 5000.0, "modulo": 1000},
+    "VEL-001": {"max_count": 5, "window_minutes": 10},
+    "VEL-002": {"min_declines": 3, "window_minutes": 30},
+    "VEL-003": {"min_transactions": 3, "escalation_factor": 2.0, "window_minutes": 60},
+    "GEO-001": {"max_speed_mph": 500, "min_distance_miles": 100},
+    "GEO-002": {"min_domestic_transactions": 10},
+    "GEO-003": {"high_risk_countries": ["NG", "RU", "UA", "VN", "PH", "ID", "BR", "KP", "IR", "SY"]},
+    "PAT-001": {"amount_threshold": 1000.0, "device_age_days": 1},
+    "PAT-002": {"min_history_count": 10, "max_category_pct": 0.05},
+    "PAT-003": {"small_amount_threshold": 5.0, "min_small_count": 3, "large_amount_threshold": 500.0, "window_minutes": 30},
+    "PAT-004": {"max_accounts": 2},
+    "PAT-005": {"min_history_count": 10},
+    "TMP-001": {"start_hour": 0, "end_hour": 5, "amount_threshold": 2000.0},
+    "TMP-002": {"dormant_days": 90},
+    "TMP-003": {"silence_hours": 48, "burst_count": 5, "burst_window_minutes": 30},
 }
-
-
-def fraud_matches(txns: DataFrame, **parameters: Any) -> DataFrame:
-    """A boolean column for each fraud rule, from frames over the customer's (and the device's) transactions.
-
-    ``txns`` has the columns of the risk view; ``parameters`` replace those of ``FRAUD_PARAMETERS``. Frames around a row
-    hold the others within the given minutes on both sides. A missing value breaks no rule. Rows are shuffled by customer
+#: Tiers of severities, lowest first: fixed values.
+SEVERITIES = ("low", "medium", "high", "critical")
+
+
+@dataclass(frozen=True)
+class FraudConfig:
+    """Rules in force: ``rules`` (id -> tier, confidence, category), their ``parameters``, and the number of further rules
+    that raise the severity by a tier (``per_tier``, 0: never) up to tier ``most``."""
+
+    rules: dict[str, tuple[int, float, str]]
+    parameters: dict[str, dict[str, Any]]
+    per_tier: int = 2
+    most: int = 3
+
+
+def fraud_config(settings: dict[str, Any] | None = None) -> FraudConfig:
+    """The rules under ``settings``, a configuration file's content as parsed: ``rules`` is a list of mappings with an
+    ``id`` (with or without ``FRAUD-`` before it) and any of ``enabled``, ``severity``, ``confidence`` and ``parameters``;
+    ``severity_escalation`` may have ``enabled``, ``rules_per_tier`` and ``max_severity``. Other entries, such as names and
+    tags, decide nothing. What isn't given keeps its fixed value; a rule that isn't listed stays as it is.
+
+    Unknown rules, parameters and severities, confidences outside 0 to 1, parameters of another kind than the fixed ones
+    and tiers of less than one rule are refused, so that a changed file can't silently switch a rule off."""
+    settings = settings or {}
+    known, parameters = dict(FRAUD_RULES), {k: dict(v) for k, v in FRAUD_PARAMETERS.items()}
+    for entry in settings.get("rules") or []:
+        rule = str(entry["id"]).removeprefix("FRAUD-")
+        if rule not in FRAUD_RULES:
+            raise ValueError(f"unknown rule: {entry['id']}")
+        tier, confidence, category = FRAUD_RULES[rule]
+        tier, confidence = _tier(entry.get("severity", SEVERITIES[tier])), entry.get("confidence", confidence)
+        if not _number(confidence) or not 0 <= confidence <= 1:
+            raise ValueError(f"not a confidence: {rule} {confidence}")
+        for name, value in (entry.get("parameters") or {}).items():
+            fixed = FRAUD_PARAMETERS[rule].get(name)
+            right = _number(value) if _number(fixed) else isinstance(fixed, list) and isinstance(value, (list, tuple)) and all(isinstance(x, str) for x in value)
+            if not right:
+                raise ValueError(f"not a parameter: {rule} {name} {value!r}")
+            parameters[rule][name] = value
+        known[rule] = (tier, float(confidence), category)
+        if not entry.get("enabled", True):
+            del known[rule]
+    raising = settings.get("severity_escalation") or {}
+    per_tier = raising.get("rules_per_tier", 2)
+    if not _number(per_tier) or per_tier < 1:
+        raise ValueError(f"not a number of rules: {per_tier}")
+    return FraudConfig(known, parameters, int(per_tier) if raising.get("enabled", True) else 0, _tier(raising.get("max_severity", SEVERITIES[-1])))
+
+
+def _tier(severity: str) -> int:
+    if severity not in SEVERITIES:
+        raise ValueError(f"unknown severity: {severity}")
+    return SEVERITIES.index(severity)
+
+
+def _number(x: Any) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
+def fraud_matches(txns: DataFrame, config: FraudConfig | None = None) -> DataFrame:
+    """A boolean column for each fraud rule in force, from frames over the customer's (and the device's) transactions.
+
+    ``txns`` has the columns of the risk view; ``config`` comes from ``fraud_config``. Frames around a row hold the others within the given minutes on both sides. A missing value breaks no rule. Rows are shuffled by customer
     and by device, once each; only the amounts of one hour are gathered."""
-    p = FRAUD_PARAMETERS | parameters
+    config = config or fraud_config()
+    p = config.parameters
     window = frames.Window
     order = window.partitionBy("customer_id").orderBy("us", "transaction_id")
     prior = frames.prior("customer_id", "us", "transaction_id")
-    near = lambda minutes: frames.around("customer_id", "us", minutes * 60)
+    near = lambda minutes: frames.around("customer_id", "us", int(minutes * 60))
     same = lambda column: window.partitionBy("customer_id", column).orderBy("us", "transaction_id").rowsBetween(window.unboundedPreceding, -1)
     amount = F.col("amount").cast("double")
-    burst = p["burst_minutes"] * 60 * frames.SECOND
+    burst = int(p["TMP-003"]["burst_window_minutes"] * 60) * frames.SECOND
     earlier = window.partitionBy("customer_id").orderBy("us").rangeBetween(window.unboundedPreceding, -burst - 1)
     device = window.partitionBy("device_id").orderBy("us", "transaction_id")
     so_far = device.rowsBetween(window.unboundedPreceding, 0)
     abroad = F.col("country") != "US"
-    small = F.count(F.when(amount <= p["small_amount"], 1)).over(near(p["testing_minutes"]))
+    small = F.count(F.when(amount <= p["PAT-003"]["small_amount_threshold"], 1)).over(near(p["PAT-003"]["window_minutes"]))
     rows = txns.repartition("customer_id").withColumns({
         "n_prior": F.count("*").over(prior),
         "sum_prior": F.sum("amount").over(prior).cast("double"),
         "abroad_prior": F.count(F.when(abroad, 1)).over(prior),
-        "rapid": F.count("*").over(near(p["rapid_minutes"])) - 1,
-        "declines": F.count(F.when(F.col("status") == "declined", 1)).over(near(p["decline_minutes"])) - (F.col("status") == "declined").cast("int"),
-        "hour_amounts": F.sort_array(F.collect_list(amount).over(near(p["rising_minutes"]))),
-        "small": small - (amount <= p["small_amount"]).cast("int"),
-        "in_burst": F.count("*").over(near(p["burst_minutes"])) - 1,
+        "rapid": F.count("*").over(near(p["VEL-001"]["window_minutes"])) - 1,
+        "declines": F.count(F.when(F.col("status") == "declined", 1)).over(near(p["VEL-002"]["window_minutes"])) - (F.col("status") == "declined").cast("int"),
+        "hour_amounts": F.sort_array(F.collect_list(amount).over(near(p["VEL-003"]["window_minutes"]))),
+        "small": small - (amount <= p["PAT-003"]["small_amount_threshold"]).cast("int"),
+        "in_burst": F.count("*").over(near(p["TMP-003"]["burst_window_minutes"])) - 1,
         "before_burst": F.max("us").over(earlier),
         "last_us": F.lag("us").over(order),
         "last_lat": F.lag("lat").over(order),
@@ -262,37 +302,40 @@ def fraud_matches(txns: DataFrame, **parameters: Any) -> DataFrame:
     hours = F.col("idle") / 3600
     distance = miles(F.col("last_lat"), F.col("last_lon"), F.col("lat"), F.col("lon"))
     there = (F.col("lat") != 0) & (F.col("lon") != 0) & (F.col("last_lat") != 0) & (F.col("last_lon") != 0)
-    top = F.slice("hour_amounts", -p["rising_count"], p["rising_count"])
-    rising = F.forall(F.sequence(F.lit(1), F.lit(p["rising_count"] - 1)), lambda i: F.get(top, i) >= F.get(top, i - 1) * p["rising_factor"])
+    top = F.slice("hour_amounts", -p["VEL-003"]["min_transactions"], p["VEL-003"]["min_transactions"])
+    rising = F.forall(F.sequence(F.lit(1), F.lit(p["VEL-003"]["min_transactions"] - 1)), lambda i: F.get(top, i) >= F.get(top, i - 1) * p["VEL-003"]["escalation_factor"])
     silent = F.when(F.col("before_burst").isNotNull(), (F.col("us") - F.col("before_burst") - burst) / frames.SECOND).otherwise(F.col("idle"))
     matches = {
-        "AMT-001": amount > p["multiplier"] * F.when(F.col("n_prior") < p["min_history"], F.lit(p["fallback_average"])).otherwise(F.try_divide("sum_prior", "n_prior")),
-        "AMT-002": (amount >= p["report_from"]) & (amount < p["report_below"]),
-        "AMT-003": (amount >= p["round_from"]) & (amount % p["round_by"] == 0),
-        "VEL-001": F.col("rapid") >= p["rapid_count"],
-        "VEL-002": (F.col("status") == "approved") & (F.col("declines") >= p["min_declines"]),
-        "VEL-003": F.when(F.size("hour_amounts") >= p["rising_count"], (F.get(top, F.lit(0)) > 0) & rising),
-        "GEO-001": there & (distance >= p["min_miles"]) & (hours > 0) & (distance > p["max_mph"] * hours),
-        "GEO-002": abroad & (F.col("abroad_prior") == 0) & (F.col("n_prior") >= p["min_domestic"]),
-        "GEO-003": F.col("country").isin(*p["high_risk_countries"]),
-        "PAT-001": (F.col("us") - F.col("device_since") <= p["new_device_days"] * 86_400 * frames.SECOND) & (amount >= p["new_device_amount"]),
-        "PAT-002": (F.col("n_prior") >= p["category_history"]) & (F.col("same_mcc") <= p["max_category_share"] * F.col("n_prior")),
-        "PAT-003": (amount >= p["large_amount"]) & (F.col("small") >= p["small_count"]),
-        "PAT-004": F.col("device_accounts") > p["max_accounts"],
-        "PAT-005": (F.col("n_prior") >= p["channel_history"]) & (F.col("same_channel") == 0),
-        "TMP-001": F.expr("us div 3600000000 % 24").between(p["night_from"], p["night_until"] - 1) & (amount >= p["night_amount"]),
-        "TMP-002": F.col("idle") >= p["dormant_days"] * 86_400,
-        "TMP-003": (F.col("in_burst") >= p["burst_count"] - 1) & (silent >= p["silence_hours"] * 3600),
+        "AMT-001": amount > p["AMT-001"]["multiplier"] * F.when(F.col("n_prior") < p["AMT-001"]["min_history_count"], F.lit(p["AMT-001"]["fallback_average"])).otherwise(F.try_divide("sum_prior", "n_prior")),
+        "AMT-002": (amount >= p["AMT-002"]["lower_bound"]) & (amount < p["AMT-002"]["threshold"]),
+        "AMT-003": (amount >= p["AMT-003"]["min_amount"]) & (amount % p["AMT-003"]["modulo"] == 0),
+        "VEL-001": F.col("rapid") >= p["VEL-001"]["max_count"],
+        "VEL-002": (F.col("status") == "approved") & (F.col("declines") >= p["VEL-002"]["min_declines"]),
+        "VEL-003": F.when(F.size("hour_amounts") >= p["VEL-003"]["min_transactions"], (F.get(top, F.lit(0)) > 0) & rising),
+        "GEO-001": there & (distance >= p["GEO-001"]["min_distance_miles"]) & (hours > 0) & (distance > p["GEO-001"]["max_speed_mph"] * hours),
+        "GEO-002": abroad & (F.col("abroad_prior") == 0) & (F.col("n_prior") >= p["GEO-002"]["min_domestic_transactions"]),
+        "GEO-003": F.col("country").isin(*p["GEO-003"]["high_risk_countries"]),
+        "PAT-001": (F.col("us") - F.col("device_since") <= p["PAT-001"]["device_age_days"] * 86_400 * frames.SECOND) & (amount >= p["PAT-001"]["amount_threshold"]),
+        "PAT-002": (F.col("n_prior") >= p["PAT-002"]["min_history_count"]) & (F.col("same_mcc") <= p["PAT-002"]["max_category_pct"] * F.col("n_prior")),
+        "PAT-003": (amount >= p["PAT-003"]["large_amount_threshold"]) & (F.col("small") >= p["PAT-003"]["min_small_count"]),
+        "PAT-004": F.col("device_accounts") > p["PAT-004"]["max_accounts"],
+        "PAT-005": (F.col("n_prior") >= p["PAT-005"]["min_history_count"]) & (F.col("same_channel") == 0),
+        "TMP-001": F.expr("us div 3600000000 % 24").between(p["TMP-001"]["start_hour"], p["TMP-001"]["end_hour"] - 1) & (amount >= p["TMP-001"]["amount_threshold"]),
+        "TMP-002": F.col("idle") >= p["TMP-002"]["dormant_days"] * 86_400,
+        "TMP-003": (F.col("in_burst") >= p["TMP-003"]["burst_count"] - 1) & (silent >= p["TMP-003"]["silence_hours"] * 3600),
     }
-    return rows.select("transaction_id", "amount", *[F.coalesce(m, F.lit(False)).alias(k) for k, m in matches.items()])
+    return rows.select("transaction_id", "amount", *[F.coalesce(m, F.lit(False)).alias(k) for k, m in matches.items() if k in config.rules])
 
 
-def fraud_score(matches: DataFrame) -> DataFrame:
+def fraud_score(matches: DataFrame, config: FraudConfig | None = None) -> DataFrame:
     """``n_rules``, ``severity`` (tier), ``confidence`` and ``score`` of each transaction."""
-    found = F.filter(F.array(*[F.when(F.col(k), F.struct(F.lit(t).alias("tier"), F.lit(p).alias("p"), F.lit(c).alias("category"))) for k, (t, p, c) in FRAUD_RULES.items()]), lambda x: x.isNotNull())
+    config = config or fraud_config()
+    if not config.rules:
+        return matches.select("transaction_id", F.lit(0).alias("n_rules"), F.lit(-1).alias("severity"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("score"))
+    found = F.filter(F.array(*[F.when(F.col(k), F.struct(F.lit(t).alias("tier"), F.lit(p).alias("p"), F.lit(c).alias("category"))) for k, (t, p, c) in config.rules.items()]), lambda x: x.isNotNull())
     rows = matches.select("transaction_id", found.alias("found"))
     tiers = F.transform("found", lambda x: x["tier"])
-    rows = rows.select("transaction_id", F.size("found").alias("n_rules"), raised(tiers).alias("severity"), noisy_or(F.transform("found", lambda x: x["p"])).alias("confidence"), F.size(F.array_distinct(F.transform("found", lambda x: x["category"]))).alias("kinds"))
+    rows = rows.select("transaction_id", F.size("found").alias("n_rules"), raised(tiers, config.per_tier, config.most).alias("severity"), noisy_or(F.transform("found", lambda x: x["p"])).alias("confidence"), F.size(F.array_distinct(F.transform("found", lambda x: x["category"]))).alias("kinds"))
     score = F.when(F.col("n_rules") > 0, 0.5 * F.col("confidence") + 0.3 * F.col("severity") / 3 + 0.2 * F.least(F.col("kinds") / 5, F.lit(1.0))).otherwise(0.0)
     return rows.select("transaction_id", "n_rules", F.coalesce("severity", F.lit(-1)).alias("severity"), "confidence", F.round(score, 6).alias("score"))
 

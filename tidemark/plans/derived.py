@@ -182,6 +182,30 @@ def fr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.fraud_score(rules.fraud_matches(view(spark, sf_dir, "risk_txn")))
 
 
+#: Settings as a configuration file gives them: three rules with other parameters, all others off, a tier for every match.
+_SETTINGS = {
+    "severity_escalation": {"enabled": True, "rules_per_tier": 1, "max_severity": "high"},
+    "rules": [
+        {"id": "FRAUD-AMT-002", "severity": "low", "confidence": 0.5, "parameters": {"lower_bound": 2000.0, "threshold": 8000.0}},
+        {"id": "FRAUD-AMT-003", "severity": "medium", "parameters": {"min_amount": 100.0, "modulo": 5}},
+        {"id": "FRAUD-GEO-003", "severity": "low", "parameters": {"high_risk_countries": ["NG", "BR"]}},
+        *[{"id": f"FRAUD-{rule}", "enabled": False} for rule in rules.FRAUD_RULES if rule not in ("AMT-002", "AMT-003", "GEO-003")],
+    ],
+}
+
+
+@query("fr_configured", """
+    WITH m AS (SELECT transaction_id, amount >= 2000 AND amount < 8000 AS a2, amount >= 100 AND amount % 5 = 0 AS a3, COALESCE(country IN ('NG', 'BR'), FALSE) AS g3 FROM risk_txn),
+    one AS (SELECT *, CAST(a2 AS INT) + CAST(a3 AS INT) + CAST(g3 AS INT) AS n_rules, CASE WHEN a3 THEN 1 WHEN a2 OR g3 THEN 0 ELSE -1 END AS tier, CASE WHEN a2 OR a3 THEN 1 ELSE 0 END + CAST(g3 AS INT) AS kinds,
+                   ROUND(1 - CASE WHEN a2 THEN 0.5e0 ELSE 1e0 END * CASE WHEN a3 THEN 0.45e0 ELSE 1e0 END * CASE WHEN g3 THEN 0.35e0 ELSE 1e0 END, 4) AS confidence FROM m),
+    two AS (SELECT *, CASE WHEN n_rules > 0 THEN LEAST(2, tier + n_rules - 1) ELSE -1 END AS severity FROM one)
+    SELECT transaction_id, n_rules, severity, confidence, CASE WHEN n_rules > 0 THEN ROUND(0.5e0 * confidence + 0.3e0 * severity / 3 + 0.2e0 * kinds / 5, 6) ELSE 0 END AS score FROM two""")
+def fr_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score under a configuration that switches rules off and changes parameters, severities and escalation."""
+    config = rules.fraud_config(_SETTINGS)
+    return rules.fraud_score(rules.fraud_matches(view(spark, sf_dir, "risk_txn"), config), config)
+
+
 def _rule_counts(short: str, long: str) -> str:
     return f"SELECT '{long}' AS rule_id, COUNT(*) FILTER (WHERE {short} AND is_fraud) AS tp, COUNT(*) FILTER (WHERE {short} AND NOT is_fraud) AS fp, COUNT(*) FILTER (WHERE NOT {short} AND is_fraud) AS fn, COUNT(*) FILTER (WHERE NOT {short} AND NOT is_fraud) AS tn FROM labelled"
 
