@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.views import spark_sql, with_views
-from . import alerting, composite, limits, messages, monitoring, places, ranked, records, scoring, warehouse  # noqa: F401  they register their queries
+from . import alerting, composite, layered, limits, messages, monitoring, places, ranked, records, scoring, warehouse  # noqa: F401  they register their queries
 from . import replays  # noqa: F401, I001  after those whose oracles it shares
 from .derived import DERIVED
 from .reports import REPORTS
