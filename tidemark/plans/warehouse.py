@@ -158,7 +158,7 @@ def snk_08(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some hours of a table that is laid out by hour; other folders are not read."""
     path = scratch(spark)
-    files.write_partitioned(spark.read.parquet(f"{sf_dir}/events.parquet").filter("ts >= timestamp '2024-01-09' and ts < timestamp '2024-01-12'"), path, "ts")
+    files.write_partitioned(spark.read.parquet(f"{sf_dir}/events.parquet"), path, "ts")
     return files.read_hours(spark, path, "2024-01-10 05:00:00", "2024-01-10 09:00:00").select("event_id")
 
 
