@@ -92,3 +92,14 @@ def test_passes_dont_follow_the_time(spark):
         assert out.filter("reason is null").count() == 5 * hours
         passes.append(len(seen))
     assert passes[0] == passes[1] <= 6
+
+
+def test_one_fold_where_all_limits_meet(spark):
+    """Three limits that are full in the same alerts all the time don't take passes: the alerts are stored once."""
+    rng = random.Random(3)
+    alerts = [(i, rng.randrange(40), rng.choice(["x", "y", "z", None]), i * S // 4) for i in range(3000)]
+    df = spark.createDataFrame(alerts, "alert_id long, account_id long, rule_id string, created_us long")
+    limits, seen = {"account": (3, 90), "rule": (9, 60), "total": (12, 20)}, []
+    got = admission.throttled(df, lambda x: seen.append(1) or cut(x), limits, (11, 7)).collect()
+    assert {r["alert_id"]: r["reason"] for r in got} == throttle(alerts, limits, (11, 7)) and len(got) == len(alerts)
+    assert len(seen) == 1
