@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +195,19 @@ def test_readers_and_gates_raise(spark, tmp_path):
         rules.transformed(rows, ["a; DROP TABLE x"])
     with pytest.raises(ValueError, match="not allowed"):
         rules.where_from({"b": ("=", 1)}, {"a"})
+
+
+def test_crowded_sums_take_linear_time(spark):
+    """Rows of one key that all lie within a day of one another, with nulls and ties, and against plain frames where few."""
+    rows = spark.range(100_000).select(F.lit(1).alias("account_id"), F.col("id"), (F.col("id") * 1000).alias("us"), F.lit(1).cast("decimal(15,2)").alias("amount"))
+    began = time.time()
+    assert rules.cumulative_rule(rows, "much", max_amount=100.0).filter("much").count() == 100_000 - 100
+    assert rules.velocity_rule(rows, "many", max_count=100, seconds=86_400).filter("many").count() == 100_000 - 100
+    assert time.time() - began < 20
+    rng = random.Random(4)
+    few = [(i, rng.choice([1, 2, None]), rng.choice([None, *range(0, 40, 2)]), rng.choice([None, 1, 3])) for i in range(300)]
+    df = spark.createDataFrame(few, "id long, k long, s long, v long").withColumn("us", F.col("s") * 1_000_000)
+    w = frames.history("k", "us", 4)
+    got = frames.sums_within(df, "k", "us", {"a": (F.col("v"), 4), "b": (F.lit(1), 2)})
+    want = df.withColumns({"a": F.sum("v").over(w), "b": F.count("*").over(frames.history("k", "us", 2))})
+    assert sorted(got.select("id", "a", "b").collect()) == sorted(want.select("id", "a", "b").collect(), key=lambda r: r[0])

@@ -31,6 +31,24 @@ def prior(key: str, *order: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def sums_within(rows: DataFrame, key: str, us: str, wanted: dict[str, tuple[Column, int]]) -> DataFrame:
+    """``rows`` with the sum of a value within [t - W, t] for each of ``wanted``: name -> (value, seconds); null where no value
+    there is one. Values must be whole numbers or decimals, so that what was added can be taken away.
+
+    A value is added at its row and taken away W later by a row of its own; the answer is a running sum, so no frame is
+    summed anew for each row: time is linear in the rows of a key but for sorting. Rows without a time see one another."""
+    own = F.struct(F.col(us).alias("__at"), F.lit(True).alias("__own"), *[F.struct(v.alias("v"), F.when(v.isNotNull(), 1).otherwise(0).alias("n")).alias(f"__{n}") for n, (v, _) in wanted.items()])
+    steps = [own]
+    for seconds in sorted({s for _, s in wanted.values()}):
+        end = F.col(us) + seconds * SECOND + 1
+        gone = [F.when(F.lit(s == seconds), F.struct((-v).cast(rows.select(v).schema[0].dataType).alias("v"), F.when(v.isNotNull(), -1).otherwise(0).alias("n"))).alias(f"__{n}") for n, (v, s) in wanted.items()]
+        steps.append(F.when(end.isNotNull(), F.struct(end.alias("__at"), F.lit(False).alias("__own"), *gone)))
+    events = rows.withColumn("__step", F.explode(F.filter(F.array(*steps), lambda x: x.isNotNull()))).select(*rows.columns, "__step.*")
+    running = Window.partitionBy(key, F.col("__at").isNull()).orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    out = {n: F.when(F.sum(f"__{n}.n").over(running) > 0, F.sum(f"__{n}.v").over(running)) for n in wanted}
+    return events.withColumns(out).filter("__own").select(*rows.columns, *wanted)
+
+
 def distinct_counts(rows: DataFrame, key: str, us: str, wanted: dict[str, tuple[str, int]], inclusive: bool = True) -> DataFrame:
     """``rows`` with the number of distinct values of a column within [t - W, t] for each of ``wanted``: name ->
     (column, seconds). Within [t - W, t) if not ``inclusive``. Null and the empty string aren't values.

@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.risk import miles, noisy_or, raised
 from . import frames
@@ -48,12 +49,16 @@ def velocity_rule(txns: DataFrame, name: str, key: str = "account_id", max_count
     """``name``: whether the rows of ``key`` within the look-back, the current one included, are more than ``max_count``; only
     amounts up to ``amount_threshold`` count, if one is given. A missing key breaks no rule."""
     counted = F.lit(1) if amount_threshold is None else F.when(F.col("amount") <= amount_threshold, 1)
-    return txns.withColumn(name, F.col(key).isNotNull() & (F.count(counted).over(frames.history(key, "us", seconds)) > max_count))
+    rows = frames.sums_within(txns.drop(name), key, "us", {name: (counted.cast("bigint"), seconds)})
+    return rows.withColumn(name, F.col(key).isNotNull() & (F.coalesce(F.col(name), F.lit(0)) > max_count))
 
 
 def cumulative_rule(txns: DataFrame, name: str, key: str = "account_id", max_amount: float = 100_000.0, seconds: int = 86_400) -> DataFrame:
     """``name``: whether the amounts of ``key`` within the look-back add up to more than ``max_amount``."""
-    return txns.withColumn(name, F.col(key).isNotNull() & (F.sum("amount").over(frames.history(key, "us", seconds)) > max_amount))
+    if isinstance(txns.schema["amount"].dataType, (T.FloatType, T.DoubleType)):  # sums of these can't be taken back exactly
+        return txns.withColumn(name, F.col(key).isNotNull() & (F.sum("amount").over(frames.history(key, "us", seconds)) > max_amount))
+    rows = frames.sums_within(txns.drop(name), key, "us", {name: (F.col("amount"), seconds)})
+    return rows.withColumn(name, F.col(key).isNotNull() & (F.col(name) > max_amount))
 
 
 def cardinality_rule(txns: DataFrame, name: str, group_by: str, count_field: str, max_distinct: int = 3, seconds: int = 3600) -> DataFrame:
