@@ -74,3 +74,21 @@ def test_devices_over_batches(play):
     got = {r[0]: r[1:] for r in play(batches, "transaction_id long, customer_id long, at long, device_id long", stateful.devices)}
     assert [got[i][:2] for i in (1, 2, 3, 4, 5, 6)] == [(False, True), (True, True), (False, True), (False, False), (True, False), (False, True)]
     assert [got[i][3] for i in (1, 2, 3, 4, 5, 6)] == [0, 1, 1, 2, 3, 0] and got[5][5] == pytest.approx(0.3 + 0.2 * (1 - 0.59)) and 9 not in got
+
+
+def test_escalations_are_kept_by_bucket(play):
+    """Alerts share calls, state and timers by bucket; steps are those of each alert."""
+    batches = [[(i, i * M // 10, "critical" if i % 2 else "high", 0) for i in range(300)], [(i, 31 * M, "high", 1) for i in range(0, 300, 4)], [(999, 500 * M, "low", 0)]]
+    got = play(batches, "alert_id long, at long, severity string, is_ack int", lambda s: stateful.escalations(s, lifecycle.POLICIES, buckets=3))
+    assert {r[0] for r in got} == set(range(300))
+    steps = {}
+    for alert, _, level, state, when in got:
+        steps.setdefault(alert, []).append((when - EPOCH, level, state))
+    for i in range(300):
+        at, waits = i * M // 10, (5, 15, 30, 60) if i % 2 else (15, 30, 60)
+        ends, want = [at + sum(waits[: k + 1]) * M for k in range(len(waits))], [(at, 1, "pending")]
+        ack = 31 * M if i % 4 == 0 else None
+        due = [e for e in ends if ack is None or e <= ack]
+        want += [(e, min(k + 2, len(ends)), "timed_out" if k + 1 == len(ends) else "escalated") for k, e in enumerate(due)]
+        want += [(ack, len(due) + 1, "acknowledged")] if ack is not None and len(due) < len(ends) else []
+        assert sorted(steps[i]) == sorted(want)
