@@ -38,3 +38,11 @@ def test_a_batch_loaded_again_and_one_without_rows(spark):
     once = layers.load(layers.empty(spark), raw, profiles, scores, alerts, 1, 20240115)
     for again in (layers.load(once, raw, profiles, scores, alerts, 1, 20240115), layers.load(once, raw, profiles, scores, alerts, 5, 20240101)):
         assert {k: sorted(map(tuple, df.collect()), key=str) for k, df in again.items()} == {k: sorted(map(tuple, df.collect()), key=str) for k, df in once.items()}
+
+
+def test_raw_data_is_read_once_a_row(spark):
+    """However many fields are needed, a row's JSON is parsed once when it is staged."""
+    raw = spark.range(9).select(F.parse_json(F.to_json(F.struct(F.col("id").alias("transaction_id"), F.lit(1).alias("account_id"), F.lit(2.5).alias("amount")))).alias("raw_data"), F.lit(1).alias("batch"))
+    rows = layers.staged(raw, 1)
+    assert rows.count() == 9
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1

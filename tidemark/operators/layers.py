@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import merge, ranks
-from .lineage import cut
+from .lineage import scratch
 
 #: Staged columns: name -> type of the raw field.
 STAGED = {
@@ -44,7 +44,9 @@ def key_of(*parts: Column) -> Column:
 def staged(raw: DataFrame, batch: int) -> DataFrame:
     """Typed rows of a batch of ``raw`` (``raw_data`` variant, ``batch``). Rows that lack a field of ``NEEDED``, or have it in
     another type, are left out; other fields of a wrong type are null. A transaction that comes again stays once."""
-    rows = raw.filter(F.col("batch") == batch).select(*[F.try_variant_get("raw_data", f"$.{c}", t).alias(c) for c, t in STAGED.items()], F.col("batch").cast("int").alias("batch"))
+    fields = F.struct(*[F.try_variant_get("raw_data", f"$.{c}", t).alias(c) for c, t in STAGED.items()])
+    # rows that a generator makes: a filter on a field stays behind them, where pushed below it would read the raw data anew for each
+    rows = raw.filter(F.col("batch") == batch).select(F.inline(F.array(fields)), F.col("batch").cast("int").alias("batch"))
     rows = rows.withColumn("ts", F.expr("try_to_timestamp(ts)").cast("timestamp_ntz")).dropna(subset=list(NEEDED))
     return rows.dropDuplicates(["transaction_id"])
 
@@ -70,25 +72,30 @@ def kept(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
     return {name: df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()}
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    return kept({"rows": df}, scratch(df.sparkSession))["rows"]
+
+
 def load(tables: dict[str, DataFrame], raw: DataFrame, profiles: DataFrame, scores: DataFrame, alerts: DataFrame, batch: int, date_key: int) -> dict[str, DataFrame]:
     """The warehouse after ``batch``, with the summary of the day ``date_key`` made anew.
 
     ``profiles`` (customer_id, tier, largest), ``scores`` (transaction_id, score) and ``alerts`` (transaction_id, severity,
     alert_status) have a row for each key. Transactions that staging has are not loaded again, so a batch that broke off can
     be loaded again; for merchants' counts and customers' versions only a batch with new transactions counts. Customers
-    whose tier or largest amount changed get a version from this batch on; a fact takes the version that is current then."""
-    new = cut(merge.missing(staged(raw, batch), tables["staging"], ["transaction_id"]))  # stored once, as all layers read it
-    seen = cut(profiles.join(new.select("customer_id").distinct(), "customer_id", "left_semi"))
+    whose tier or largest amount changed get a version from this batch on; a fact takes the version that is current then.
+    The batch's new rows and their facts are each made and stored once; the summary and its median read the stored facts."""
+    new = _stored(merge.missing(staged(raw, batch), tables["staging"], ["transaction_id"]))  # stored once, as all layers read it
+    seen = _stored(profiles.join(new.select("customer_id").distinct(), "customer_id", "left_semi"))
     customers = merge.scd2(tables["customers"], seen, "customer_id", ["tier", "largest"], F.lit(batch).cast("bigint"))
     customers = customers.withColumn("valid_to", F.coalesce("valid_to", F.lit(FOREVER)))
     merchants = merge.upsert_dimension(tables["merchants"], new, ["merchant_id"], "n")
     places = merge.insert_new_null_safe(tables["places"], new.filter("country is not null").withColumn("city", F.coalesce("city", F.lit(""))), ["country", "city"])
     current = customers.filter("is_current").select("customer_id", key_of(F.col("customer_id"), F.col("valid_from")).alias("customer_key"))
     rows = new.join(current, "customer_id", "left").join(scores.select("transaction_id", "score"), "transaction_id", "left").join(alerts.select("transaction_id", "severity", "alert_status"), "transaction_id", "left")
-    facts = rows.select(
+    facts = _stored(rows.select(
         "transaction_id", F.date_format("ts", "yyyyMMdd").cast("int").alias("date_key"), "customer_key", key_of(F.col("merchant_id")).alias("merchant_key"), key_of(F.col("country"), F.col("city")).alias("place_key"), "amount", "score",
         F.coalesce(F.col("alert_status") == "resolved", F.lit(False)).alias("is_fraud"), F.coalesce(F.col("status") == "flagged", F.lit(False)).alias("is_flagged"), "severity", "batch",
-    )
+    ))
     facts = tables["facts"].unionByName(facts)
     daily = tables["daily"].filter(F.col("date_key") != date_key).unionByName(summary(facts, date_key))
     return {"staging": tables["staging"].unionByName(new), "customers": customers, "merchants": merchants, "places": places, "facts": facts, "daily": daily}
