@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import standing
 
 
@@ -41,3 +43,16 @@ def test_no_task_holds_a_frequent_key(spark):
     assert blocks.agg({"count": "max"}).first()[0] <= 2 * 8000 / 16
     got = standing.share_not_above(df, "k", "v", "us", "id", parts=16, seldom=1)
     assert got.columns == ["id", "k", "us", "v", "share"] and got.count() == 8000
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """More rows are dealt to more tasks, which Spark doesn't join to a few large ones."""
+    monkeypatch.setattr(standing, "A_TASK", 500)
+    rows = spark.range(2000).select((F.col("id") % 5).alias("k"), (F.col("id") * 7919 % 1000).alias("v"), F.col("id").alias("t"))
+    out = standing.share_not_above(rows, "k", "v", "t")
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    seen = {}
+    for r in sorted(out.collect(), key=lambda r: r["t"]):
+        earlier = seen.setdefault(r["k"], [])
+        assert r["share"] == (sum(v <= r["v"] for v in earlier) / len(earlier) if earlier else None)
+        earlier.append(r["v"])

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 PARTS = 256
 #: Keys of at most so many rows never are.
 SELDOM = 100_000
+#: Rows that a task has at most on average, as partitions that Spark joins by their packed size may be many times that in memory.
+A_TASK = 500_000
 
 
 def _below(cuts: str, x: Column) -> Column:
@@ -89,6 +91,14 @@ def dealt(rows: DataFrame, key: str, value: str, order: tuple[str, ...], parts:
     )
 
 
+def _tasks(rows: DataFrame, key: str) -> int:
+    """Tasks for the rows looked at, at most one for each bit of a row's number within its key; 0 where Spark's own will do."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    looks = counts.agg(F.sum(F.col("__n") * (F.floor(F.log2(F.col("__n"))) + 1))).first()[0] or 0
+    needed = -(-looks // A_TASK)
+    return needed if needed > rows.sparkSession.sparkContext.defaultParallelism else 0
+
+
 def share_not_above(rows: DataFrame, key: str, value: str, *order: str, parts: int = PARTS, seldom: int = SELDOM) -> DataFrame:
     """``rows`` with ``share``: the part of a key's earlier rows in ``order`` whose ``value`` is no larger; null for the first.
 
@@ -98,7 +108,11 @@ def share_not_above(rows: DataFrame, key: str, value: str, *order: str, parts: i
     all rows, but for rows of one key at one instant, which stay together. Time grows with n log n; nothing is gathered."""
     w = Window.partitionBy("__key", "__cell", "__level", "__block").orderBy("__value").rangeBetween(Window.unboundedPreceding, 0)
     left = F.when(~F.col("__right") & F.col("__value").isNotNull(), 1)
-    counted = dealt(rows, key, value, order, parts, seldom).withColumn("__n", F.when(F.col("__right"), F.count(left).over(w)))
+    looks = dealt(rows, key, value, order, parts, seldom)
+    tasks = _tasks(rows, key)
+    looks = looks.repartition(tasks, "__key", "__cell", "__level", "__block") if tasks else looks
+    counted = looks.withColumn("__n", F.when(F.col("__right"), F.count(left).over(w)))
+    counted = counted.repartition(tasks, "__key", "__s", "__p") if tasks else counted
     found = counted.groupBy("__key", "__s", "__p").agg(F.sum("__n").alias("__near"), F.first("__row", ignorenulls=True).alias("__row"))
     below = F.coalesce("__near", F.lit(0)) + F.col("__row.__less")
     share = F.try_divide(below.cast("double"), F.col("__row.__gone") + F.col("__p"))
