@@ -92,3 +92,13 @@ def test_places_of_fields(spark):
     assert out[1]["geo_is_high_risk_country"] and out[1]["geo_distance_from_home_miles"] == 0 and out[1]["geo_travel_speed_mph"] is None
     assert out[2]["geo_country_risk_score"] == 0 and out[2]["geo_latitude"] is None and not out[2]["geo_is_vpn"]
     assert out[3]["geo_country_code"] == "" and out[3]["geo_country_risk_score"] == 0.5 and out[3]["geo_travel_speed_mph"] is None
+
+
+def test_cuts_carry_no_places(spark):
+    """Of an address's networks only the longest length is kept, by hashing: nothing is sorted that grows with their number."""
+    rows = spark.createDataFrame([(1, "10.0.4.9"), (2, "10.9.9.9"), (3, "2001:db8:1::7"), (4, None)], "i int, ip_address string")
+    networks = spark.createDataFrame([(n, k, "x" * 50) for k, n in enumerate(NETS) if n], "network string, k int, note string")
+    out = addresses.located(rows, networks)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "max_by" not in plan and all("key=[net#" in x for x in plan.splitlines() if "SortAggregate" in x)
+    assert {r["i"]: r["place"] and NETS[r["place"]["k"]] for r in out.collect()} == {1: "10.0.4.9/32", 2: "10.0.0.0/8", 3: "2001:db8:1::/112", 4: None}

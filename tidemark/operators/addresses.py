@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .skew import join_frequent
 from .validate import not_ip
 
@@ -81,22 +82,31 @@ def located(rows: DataFrame, networks: DataFrame, address: str = "ip_address", n
     """``rows`` with ``place``, a struct of the other columns of ``networks`` for the longest one that holds the address.
 
     Null where no network does, or the address is null or ill-formed. Networks given twice count once, with the least
-    values; ill-formed ones are left out. Each distinct address is looked up once, whatever the number of its rows, as
-    at most 33 and 129 cuts (as many as there are lengths); then it meets its rows, those of frequent addresses without
-    a shuffle. Lengths are all that comes to the driver. Spark broadcasts the networks where they are few."""
+    values; ill-formed ones are left out. Each distinct text is read once, whatever the number of its rows. Each address
+    is looked up as at most 33 and 129 cuts (as many as there are lengths), of which only the longest length is kept, in
+    a number; then the place is fetched for that one, and meets the address's rows, those of frequent addresses without a
+    shuffle. Lengths are all that comes to the driver. Spark broadcasts the networks where they are few."""
     columns = [c for c in networks.columns if c != network]
-    nets = networks.select(parsed_network(F.col(network)).alias("net"), F.struct(*columns).alias("place")).filter("net is not null").groupBy("net").agg(F.min("place").alias("place")).select("net.*", "place")
+    given = networks.select(F.col(network).alias("text"), F.struct(*columns).alias("place")).repartition("text").groupBy("text").agg(F.min("place").alias("place"))
+    read = cut(given.select(parsed_network(F.col("text")).alias("net"), "place")).filter("net is not null")
+    keys = ["family", "length", "hi", "lo"]
+    nets = read.groupBy("net").agg(F.min("place").alias("place")).select("net.*", "place")
     lengths: dict[int, list[int]] = {4: [], 6: []}
-    for r in nets.select("family", "length").distinct().collect():
+    for r in read.select("net.family", "net.length").distinct().collect():
         lengths[r["family"]].append(r["length"])
-    keyed = rows.withColumn("__ip", parsed(F.col(address)))
-    some = keyed.filter("__ip is not null")
-    counted = some.groupBy("__ip").agg(F.count("*").alias("n"))
     of = {family: F.array(*[F.lit(n) for n in sorted(found)]).cast("array<int>") for family, found in lengths.items()}
-    cuts = counted.select("__ip", "n", F.explode(F.when(F.col("__ip.family") == 4, of[4]).otherwise(of[6])).alias("length"))
-    cuts = cuts.select("__ip", "length", F.col("__ip.family").alias("family"), F.col("__ip.hi").bitwiseAND(_mask(F.col("length"))).alias("hi"), F.col("__ip.lo").bitwiseAND(_mask(F.col("length") - 64)).alias("lo"))
-    best = cuts.join(nets, ["family", "length", "hi", "lo"]).groupBy("__ip").agg(F.max_by("place", "length").alias("place"))
-    kind = nets.schema["place"].dataType
-    found = join_frequent(some, best, counted, ["__ip"])
-    none = keyed.filter("__ip is null").withColumn("place", F.lit(None).cast(kind))
-    return found.drop("__ip").unionByName(none.drop("__ip"))
+    upper, lower = F.col("hi").bitwiseAND(_mask(F.col("length"))).alias("hi"), F.col("lo").bitwiseAND(_mask(F.col("length") - 64)).alias("lo")
+
+    def places(texts: DataFrame) -> DataFrame:
+        """``__text`` and ``place`` of the distinct ``texts`` that some network holds."""
+        numbers = texts.filter("__ip is not null").select("__text", "__ip.*")
+        cuts = numbers.select("*", F.explode(F.when(F.col("family") == 4, of[4]).otherwise(of[6])).alias("length"))
+        cuts = cuts.select("__text", F.col("hi").alias("all_hi"), F.col("lo").alias("all_lo"), "family", "length", upper, lower)
+        longest = cuts.join(read.select("net.*").distinct(), keys).groupBy("__text", "family", F.col("all_hi").alias("hi"), F.col("all_lo").alias("lo")).agg(F.max("length").alias("length"))
+        return longest.select("__text", "family", "length", upper, lower).join(nets, keys).select("__text", "place")
+
+    keyed = rows.withColumn("__text", _let(F.col(address), lambda x: F.trim(x)))  # noqa: PLW0108  F.trim itself would be given the index
+    some, none = keyed.filter("__text is not null"), keyed.filter("__text is null").withColumn("place", F.lit(None).cast(nets.schema["place"].dataType))
+    counted = cut(some.groupBy("__text").agg(F.count("*").alias("n")).withColumn("__ip", parsed(F.col("__text"))))
+    found = join_frequent(some, places, counted, ["__text"])
+    return found.drop("__text").unionByName(none.drop("__text"))

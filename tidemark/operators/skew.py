@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,15 +13,18 @@ OFTEN = 10_000
 SELDOM = 10_000
 
 
-def join_frequent(rows: DataFrame, values: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
+def join_frequent(rows: DataFrame, values: DataFrame | Callable[[DataFrame], DataFrame], counts: DataFrame, on: list[str]) -> DataFrame:
     """Left join of ``rows`` with ``values`` (one row a key), given ``counts`` with the number ``n`` of rows of each key.
 
-    Rows of frequent keys meet a broadcast of these keys' values, of which there are fewer than ``OFTEN``, and stay
-    where they are; only the others are shuffled, so no task gathers the rows of one key. ``on`` must not be null."""
+    ``values`` may be what makes them from rows of ``counts``, so that each key's is made once. Rows of frequent keys meet
+    a broadcast of these keys' values, of which there are fewer than ``OFTEN``, and stay where they are; only the others are
+    shuffled, so no task gathers the rows of one key. ``on`` must not be null."""
+    made = values if callable(values) else lambda _: values
     least = max(SELDOM, (counts.agg(F.sum("n")).first()[0] or 0) // OFTEN)
-    few = counts.filter(F.col("n") > F.lit(least)).select(*on)
+    many = counts.filter(F.col("n") > F.lit(least))
+    few = many.select(*on)
     if few.isEmpty():
-        return rows.join(values, on, "left")
-    often = F.broadcast(few.join(values, on, "left"))
-    rest = rows.join(F.broadcast(few), on, "left_anti").join(values, on, "left")
+        return rows.join(made(counts), on, "left")
+    often = F.broadcast(few.join(made(many), on, "left"))
+    rest = rows.join(F.broadcast(few), on, "left_anti").join(made(counts.filter(F.col("n") <= F.lit(least))), on, "left")
     return rows.join(often, on).select(*rest.columns).union(rest)
