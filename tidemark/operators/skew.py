@@ -1,4 +1,4 @@
-"""Joins whose keys may be very frequent."""
+"""Joins whose keys may be very frequent, and rows dealt to tasks of even size."""
 
 from __future__ import annotations
 
@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 OFTEN = 10_000
 #: Keys of at most so many rows never are.
 SELDOM = 10_000
+#: Rows of one task where rows are dealt by keys.
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, number: int, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` in so many parts that each has about ``TASK_ROWS`` of a ``number`` of rows, so that what a task sorts
+    or groups doesn't grow with their number. Two sides dealt by the same number are joined by these keys where they lie."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-number // TASK_ROWS)), *keys)
 
 
 def join_frequent(rows: DataFrame, values: DataFrame | Callable[[DataFrame], DataFrame], counts: DataFrame, on: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Reports on ranks and percentiles, by ranges of values; their oracle texts are those of the reports."""
+"""Reports whose work is dealt to tasks, most on ranks and percentiles by ranges of values; their oracle texts are those of the reports."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import drift
-from ..operators import models, ranks
+from ..operators import models, ranks, skew
 from ..sources.views import spark_sql, view
 from .derived import query
 from .reports import REPORTS
@@ -166,3 +166,15 @@ def udf_05_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, score = F.col("transaction_id"), F.col("score")
     rows = view(spark, sf_dir, "latest_score").select((1 - 2 * F.pow(score, F.lit(3))).alias("anomaly"), ((score >= 0.96) & (i % 3 > 0) | (i % 211 == 0)).alias("fraud"))
     return models.contamination_scores(rows, "fraud", list(_GRID)).select("contamination", F.round("threshold", 9).alias("threshold"), F.round("f1", 9).alias("f1"), "best")
+
+
+@query("agg_16_merchant_daily_risk")
+def agg_16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merchants' days with a fraud, by the SQL in ``reports``; lines are dealt to tasks by their number, twice."""
+    number = spark_sql(spark, sf_dir, "SELECT COUNT(*) FROM lineitem").first()[0]
+    lines = view(spark, sf_dir, "fact_line").select("transaction_id", "merchant_id", "is_fraud", "line_amount")
+    days = view(spark, sf_dir, "fact").select("transaction_id", "day")
+    both = skew.dealt(lines, number, "transaction_id").join(skew.dealt(days, number, "transaction_id"), "transaction_id")
+    rows = skew.dealt(both.drop("transaction_id"), number, "merchant_id", "day").groupBy("merchant_id", "day")
+    out = rows.agg(F.count("*").alias("n"), F.count_if("is_fraud").alias("frauds"), F.sum("line_amount").cast("double").alias("total"))
+    return out.filter("frauds >= 1").withColumn("day", F.col("day").cast("string"))
