@@ -1,6 +1,7 @@
 """All operators on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import brute
@@ -129,6 +130,21 @@ def test_repeated_bytes(docs, rows, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_a_window_of_many_places_stays_in_its_tasks(spark):
+    """Rows of one frequent window aren't gathered in a task, where windows are too many for Spark to broadcast them."""
+    seg = bytes(range(40, 80)).decode()
+    rows = spark.range(4000).repartition(4).select(F.col("id").alias("doc_id"), F.col("id").alias("rid"), F.lit(0).cast("long").alias("first"), F.lit(seg).cast("binary").alias("seg"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = suffix._counted_repeats(rows, 40).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == 4000 == len({r["doc_id"] for r in got}) and {(r["lo"], r["hi"]) for r in got} == {(0, 40)}
+    assert max(Counter(r["task"] for r in got).values()) <= 2000
+
+
 def test_sorting_matches_sorted():
     for _ in range(200):
         some = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(90))) for _ in range(rng.randrange(1, 30))]
